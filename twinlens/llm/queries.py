@@ -23,9 +23,34 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack_documents(table(spark, d, "documents"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    from twinlens.llm.spans import shared_share
+
+    return shared_share(table(spark, d, "documents")).where("2 * shared_chars >= chars").select("doc_id")
+
+
+def p8_shared(spark: SparkSession, d: str) -> DataFrame:
+    from twinlens.llm.spans import shared_share
+
+    return shared_share(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "p6_ids": p6_ids,
     "p7_containers": p7_containers,
+    "p8_found": p8_found,
+    "p8_shared": p8_shared,
 }
 
-SQL: dict[str, str] = {}
+_SHARED = """
+windows AS (SELECT doc_id, n, i, md5(substr(text, i, 200)) AS w
+  FROM (SELECT doc_id, text, length(text) AS n, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
+many AS (SELECT w FROM windows GROUP BY w HAVING min(doc_id) <> max(doc_id)),
+hits AS (SELECT doc_id, n, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM windows WHERE w IN (SELECT w FROM many)),
+shared AS (SELECT doc_id, CAST(max(n) AS BIGINT) AS chars, CAST(sum(CASE WHEN before IS NULL THEN 200 ELSE least(200, i - before) END) AS BIGINT) AS shared_chars FROM hits GROUP BY doc_id)
+"""
+
+SQL: dict[str, str] = {
+    "p8_found": f"WITH {_SHARED} SELECT doc_id FROM shared WHERE 2 * shared_chars >= chars",
+    "p8_shared": f"WITH {_SHARED} SELECT doc_id, chars, shared_chars FROM shared",
+}
