@@ -5,12 +5,39 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from twinlens.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    from twinlens.llm.ledger import hit_ledger
+
+    return hit_ledger(table(spark, d, "hits")).copies()
+
+
+def p2_copies(spark: SparkSession, d: str) -> DataFrame:
+    from twinlens.llm.ledger import hit_ledger
+
+    return hit_ledger(table(spark, d, "hits")).representatives()
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    from twinlens.llm.groups import candidate_groups
+
+    linked = candidate_groups(table(spark, d, "match_pairs"), table(spark, d, "cards"))
+    return linked.where("group_cid < cid")
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    from twinlens.llm.groups import candidate_groups
+
+    linked = candidate_groups(table(spark, d, "match_pairs"), table(spark, d, "cards"))
+    return linked.groupBy("group_cid").agg(F.count("*").alias("members"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     from twinlens.llm.bpe import encode_column
 
@@ -36,12 +63,48 @@ def p8_shared(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p2_found": p2_found,
+    "p2_copies": p2_copies,
+    "p4_found": p4_found,
+    "p4_groups": p4_groups,
     "p6_ids": p6_ids,
     "p7_containers": p7_containers,
     "p8_found": p8_found,
     "p8_shared": p8_shared,
 }
 
+_COPIES = r"""
+raw AS (SELECT DISTINCT unnest([url, page_url]) AS u FROM hits),
+c0 AS (SELECT u, lower(regexp_replace(u, '[\s\p{Z}\p{Cc}\p{Cf}]+', '', 'g')) AS c FROM raw WHERE u IS NOT NULL),
+c1 AS (SELECT u, replace(replace(replace(replace(replace(c, '\/', '/'), chr(92) || 'u0026', '&'), chr(92) || 'u003d', '='), '&amp;', '&'), '&#38;', '&') AS c FROM c0),
+c2 AS (SELECT u, regexp_replace(c, '^[<("''\[{]*(url:)?[<("''\[{]*', '') AS c FROM c1),
+c3 AS (SELECT u, CASE WHEN contains(c, '(') THEN regexp_replace(c, '[>\]}"'',;.#?&]+$', '') ELSE regexp_replace(c, '[>)\]}"'',;.#?&]+$', '') END AS c FROM c2),
+c4 AS (SELECT u, regexp_extract(c, '^([a-z][a-z0-9+.\-]*):', 1) AS scheme, regexp_extract(c, '#(.*)$', 1) AS fragment,
+  regexp_replace(regexp_extract(c, '^([^#]*)', 1), '^([a-z][a-z0-9+.\-]*:)?/*', '') AS rest FROM c3),
+c5 AS (SELECT *, regexp_extract(rest, '^([^?]*)', 1) AS main, regexp_extract(rest, '\?(.*)$', 1) AS query FROM c4),
+c6 AS (SELECT u, scheme, fragment, regexp_extract(main, '^[^/]*(.*)$', 1) AS path, query,
+  regexp_replace(regexp_replace(regexp_extract(main, '^([^/]*)', 1), CASE scheme WHEN 'http' THEN ':0*80$' WHEN 'https' THEN ':0*443$' ELSE ':$' END, ''), '\.+$', '') AS host FROM c5),
+canon AS (SELECT u, concat(scheme, '://', host, '|',
+  array_to_string(list_transform(list_filter(string_split(path, '/'), lambda x: x <> '' AND x <> '.'), lambda x: lower(url_decode(x))), '|/'), '|?',
+  array_to_string(list_sort(list_transform(list_filter(string_split(query, '&'), lambda x: x <> ''), lambda x: lower(url_decode(replace(x, '+', '%20'))))), '|&'), '|#',
+  lower(url_decode(fragment))) AS k FROM c6),
+first_of AS (SELECT h.seq, a.k AS a, coalesce(b.k, '') AS b, min(h.seq) OVER (PARTITION BY a.k, coalesce(b.k, '')) AS first_seq
+  FROM (SELECT DISTINCT seq, url, nullif(page_url, '') AS page_url FROM hits WHERE url IS NOT NULL) h JOIN canon a ON a.u = h.url LEFT JOIN canon b ON b.u = h.page_url)
+"""
+
+_GROUPS = """
+links AS (
+  SELECT cid_a AS a, cid_b AS b FROM match_pairs WHERE is_match AND cid_a IS NOT NULL AND cid_b IS NOT NULL
+  UNION SELECT list_min(member_cids), unnest(member_cids) FROM cards),
+both_ways AS (SELECT a, b FROM links WHERE b IS NOT NULL UNION SELECT b, a FROM links WHERE b IS NOT NULL),
+walk(root, cid) AS (
+  SELECT a, a FROM both_ways
+  UNION
+  SELECT w.root, e.b FROM walk w JOIN both_ways e ON w.cid = e.a WHERE e.b > w.root),
+linked AS (SELECT cid, min(root) AS group_cid FROM walk GROUP BY cid),
+grouped AS (SELECT group_cid, cid FROM linked)
+"""
+
 _SHARED = """
 windows AS (SELECT doc_id, n, i, md5(substr(text, i, 200)) AS w
   FROM (SELECT doc_id, text, length(text) AS n, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
@@ -51,6 +114,10 @@ shared AS (SELECT doc_id, CAST(max(n) AS BIGINT) AS chars, CAST(sum(CASE WHEN be
 """
 
 SQL: dict[str, str] = {
+    "p2_found": f"WITH {_COPIES} SELECT first_seq, seq FROM first_of WHERE seq > first_seq",
+    "p2_copies": f"WITH {_COPIES} SELECT first_seq, count(*) AS copies FROM first_of GROUP BY first_seq",
+    "p4_found": f"WITH RECURSIVE {_GROUPS} SELECT group_cid, cid FROM grouped WHERE group_cid < cid",
+    "p4_groups": f"WITH RECURSIVE {_GROUPS} SELECT group_cid, count(*) AS members FROM grouped GROUP BY group_cid HAVING count(*) > 1",
     "p8_found": f"WITH {_SHARED} SELECT doc_id FROM shared WHERE 2 * shared_chars >= chars",
     "p8_shared": f"WITH {_SHARED} SELECT doc_id, chars, shared_chars FROM shared",
 }
