@@ -12,6 +12,18 @@ from twinlens.session import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    from twinlens.llm.minmax import near_candidates
+
+    return near_candidates(table(spark, d, "candidates"))
+
+
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    from twinlens.llm.minmax import candidate_classes
+
+    return candidate_classes(table(spark, d, "candidates"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     from twinlens.llm.ledger import hit_ledger
 
@@ -24,6 +36,16 @@ def p2_copies(spark: SparkSession, d: str) -> DataFrame:
     return hit_ledger(table(spark, d, "hits")).representatives()
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_records(spark, d).select("card_key", "representative_cid", "url_cid")
+
+
+def p3_records(spark: SparkSession, d: str) -> DataFrame:
+    from twinlens.llm.survivor import surviving_records
+
+    return surviving_records(table(spark, d, "cards"), table(spark, d, "candidates"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     from twinlens.llm.groups import candidate_groups
 
@@ -38,6 +60,12 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return linked.groupBy("group_cid").agg(F.count("*").alias("members"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from twinlens.llm.vptree import neighbour_pairs
+
+    return neighbour_pairs(table(spark, d, "descriptors"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     from twinlens.llm.bpe import encode_column
 
@@ -63,16 +91,52 @@ def p8_shared(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p1_found": p1_found,
+    "p1_classes": p1_classes,
     "p2_found": p2_found,
     "p2_copies": p2_copies,
+    "p3_found": p3_found,
+    "p3_records": p3_records,
     "p4_found": p4_found,
     "p4_groups": p4_groups,
+    "p5_found": p5_found,
     "p6_ids": p6_ids,
     "p7_containers": p7_containers,
     "p8_found": p8_found,
     "p8_shared": p8_shared,
 }
 
+_PRINTS = r"""
+texts AS (SELECT cid, unnest(['p', 'd', 'w', 'a']) AS h, unnest([phash, dhash, whash, ahash]) AS t FROM candidates),
+digits AS (SELECT cid, h, regexp_extract(regexp_replace(lower(t), '[\s\p{Z}\p{Cc}\p{Cf}:_\-''"]+', '', 'g'), '^(?:0x)?0*([0-9a-f]{1,16})$', 1) AS x FROM texts),
+numbers AS (SELECT cid, h, CAST('0x' || x AS UBIGINT) AS v FROM digits WHERE x <> ''),
+prints AS (SELECT cid, max(v) FILTER (h = 'p') AS p, max(v) FILTER (h = 'd') AS d, max(v) FILTER (h = 'w') AS w, max(v) FILTER (h = 'a') AS a
+  FROM numbers GROUP BY cid HAVING count(*) = 4)
+"""
+
+_NEAR = "45 * CAST(bit_count(xor(x.p, y.p)) AS INT) + 25 * CAST(bit_count(xor(x.d, y.d)) AS INT) + 20 * CAST(bit_count(xor(x.w, y.w)) AS INT) + 10 * CAST(bit_count(xor(x.a, y.a)) AS INT) <= 640"
+
+_RANKED = """
+members AS (SELECT DISTINCT card_key, unnest(member_cids) AS cid FROM cards),
+counted AS (SELECT card_key, count(*) AS n FROM members WHERE cid IS NOT NULL GROUP BY card_key),
+ranked AS (
+  SELECT m.card_key, c.cid, c.url, row_number() OVER (PARTITION BY m.card_key, c.url IS NOT NULL AND c.url <> '' ORDER BY o) AS rank_url,
+    row_number() OVER (PARTITION BY m.card_key ORDER BY o) AS rank
+  FROM members m JOIN counted n ON n.card_key = m.card_key AND n.n >= 2
+  JOIN (SELECT *, (-(CAST(width AS BIGINT) * height), coalesce(-epoch_us(fetched_at), 9223372036854775807), cid) AS o FROM candidates) c
+    ON c.cid = m.cid AND c.error IS NULL AND c.width > 0 AND c.height > 0)
+"""
+
+_NEIGHBOURS = """
+good AS (SELECT vec_id, backend, list_transform(vector, lambda x: CAST(x AS DOUBLE)) AS v FROM descriptors
+  WHERE len(vector) = CASE backend WHEN 'classical-descriptor' THEN 368 WHEN 'clip:ViT-B-32' THEN 512 END
+    AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
+unit AS (SELECT vec_id, backend, v, sqrt(list_inner_product(v, v)) AS n FROM good),
+scored AS (SELECT x.vec_id AS a, y.vec_id AS b, round(list_inner_product(x.v, y.v) / (x.n * y.n), 6) AS c
+  FROM unit x JOIN unit y ON x.backend = y.backend AND x.vec_id <> y.vec_id),
+top AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS r FROM scored WHERE c >= 0.8)
+"""
+
 _COPIES = r"""
 raw AS (SELECT DISTINCT unnest([url, page_url]) AS u FROM hits),
 c0 AS (SELECT u, lower(regexp_replace(u, '[\s\p{Z}\p{Cc}\p{Cf}]+', '', 'g')) AS c FROM raw WHERE u IS NOT NULL),
@@ -114,6 +178,13 @@ shared AS (SELECT doc_id, CAST(max(n) AS BIGINT) AS chars, CAST(sum(CASE WHEN be
 """
 
 SQL: dict[str, str] = {
+    "p1_found": f"WITH {_PRINTS} SELECT x.cid AS cid_a, y.cid AS cid_b FROM prints x JOIN prints y ON x.cid < y.cid WHERE {_NEAR}",
+    "p1_classes": f"""WITH {_PRINTS}, classes AS (SELECT p, d, w, a, min(cid) AS class_cid, count(*) AS records FROM prints GROUP BY p, d, w, a)
+        SELECT x.class_cid, x.records, count(y.class_cid) AS links FROM classes x LEFT JOIN classes y ON x.class_cid <> y.class_cid AND {_NEAR}
+        GROUP BY x.class_cid, x.records""",
+    "p3_found": f"""WITH {_RANKED} SELECT r.card_key, r.cid AS representative_cid, coalesce(u.cid, '') AS url_cid FROM ranked r
+        LEFT JOIN ranked u ON u.card_key = r.card_key AND u.rank_url = 1 AND u.url <> '' WHERE r.rank = 1""",
+    "p5_found": f"WITH {_NEIGHBOURS} SELECT DISTINCT least(a, b) AS vec_id_a, greatest(a, b) AS vec_id_b FROM top WHERE r <= 10",
     "p2_found": f"WITH {_COPIES} SELECT first_seq, seq FROM first_of WHERE seq > first_seq",
     "p2_copies": f"WITH {_COPIES} SELECT first_seq, count(*) AS copies FROM first_of GROUP BY first_seq",
     "p4_found": f"WITH RECURSIVE {_GROUPS} SELECT group_cid, cid FROM grouped WHERE group_cid < cid",
