@@ -26,7 +26,8 @@ def pairs_within(df: DataFrame, label: str, cid: str, keep: list[str]) -> DataFr
 def band_pairs(df: DataFrame, key: list[str], value: str, cid: str, width: float = BAND) -> DataFrame:
     """Pairs of equal key whose values differ by at most ``width``: values are put into bands of that
     width, one side looks into three, and the exact condition decides. An equi-join, not a nested loop."""
-    rows = df.where(F.col(value).isNotNull()).withColumn("__band", F.floor(F.col(value) / width))
+    # a little wider than the condition, so that rounding can't put partners two bands apart
+    rows = df.where(F.col(value).isNotNull()).withColumn("__band", F.floor(F.col(value) / (width * 1.001)))
     a = rows.select(*key, F.explode(F.array(*(F.col("__band") + i for i in (-1, 0, 1)))).alias("__band"), F.col(cid).alias("cid_a"), F.col(value).alias("value_a"))
     b = rows.select(*key, "__band", F.col(cid).alias("cid_b"), F.col(value).alias("value_b"))
     near = F.round(F.abs(F.col("value_a") - F.col("value_b")), 9) <= width

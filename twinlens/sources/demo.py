@@ -94,6 +94,7 @@ def variants(a: np.ndarray) -> dict[str, tuple[np.ndarray, str]]:
         "mirrored": (orient(a, "mirror-h"), "EDITED_1TO1"),
         "crop_centre": (a[h // 4 : h * 3 // 4, w // 4 : w * 3 // 4], "CROP"),
         "crop_corner": (a[: int(h * 0.66), : int(w * 0.62)], "CROP"),
+        "crop_wide": (a[h // 10 : h * 9 // 10, w // 10 : w * 9 // 10], "CROP"),
         "lookalike": (lookalike(a), "VISUALLY_SIMILAR"),
         "unrelated": (unrelated(777, w, h), "UNRELATED"),
     }
@@ -121,7 +122,7 @@ def result_set(a: np.ndarray, include_unrelated: int = 3) -> list[dict]:
 
     made = variants(a)
     for name, (img, expected) in made.items():
-        if expected not in ("VISUALLY_SIMILAR", "UNRELATED") and len(out) < 16:
+        if expected not in ("VISUALLY_SIMILAR", "UNRELATED") and len(out) < 17:
             add(name, img)
     add("identical_again", a, url="https://images.example/identical.png?again=1")
     add("identical_elsewhere", a)

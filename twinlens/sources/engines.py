@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Callable, Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 HIT_DDL = "seq bigint, url string, engine string, engine_label string, page_url string, title string, width int, height int, engine_score double, data binary"
@@ -25,7 +28,7 @@ def registered() -> list[str]:
 class _Engine(InputPartition):
     def __init__(self, name: str, search: Callable[[bytes], list[dict]]):
         super().__init__(name)
-        self.name, self.search = name, search
+        self.name, self.blob = name, cloudpickle.dumps(search)  # by value: a worker needn't know the engine's module
 
 
 class _Reader(DataSourceReader):
@@ -37,7 +40,7 @@ class _Reader(DataSourceReader):
 
     def read(self, part: InputPartition) -> Iterator[tuple]:
         try:
-            hits = part.search(self.image)
+            hits = cloudpickle.loads(part.blob)(self.image)
         except Exception as e:  # one engine's failure doesn't end the search
             yield tuple({"engine": part.name, "title": f"error: {e}", "seq": -1}.get(k) for k in _FIELDS)
             return
@@ -47,7 +50,9 @@ class _Reader(DataSourceReader):
 
 
 class EngineSource(DataSource):
-    """``engines``: names, comma-separated (all without); ``image``: the query image in base64."""
+    """``engines``: the engines' functions by name, pickled; ``image``: the query image; both in base64.
+
+    The functions travel with the read, as the process that plans it has a registry of its own."""
 
     @classmethod
     def name(cls) -> str:
@@ -57,10 +62,8 @@ class EngineSource(DataSource):
         return HIT_DDL
 
     def reader(self, schema) -> DataSourceReader:
-        import base64
-
-        names = [n for n in self.options.get("engines", "").split(",") if n] or registered()
-        return _Reader([_Engine(n, _ENGINES[n]) for n in names if n in _ENGINES], base64.b64decode(self.options.get("image", "")))
+        chosen = cloudpickle.loads(base64.b64decode(self.options["engines"]))
+        return _Reader([_Engine(n, f) for n, f in sorted(chosen.items())], base64.b64decode(self.options["image"]))
 
 
 def _demo(image: bytes) -> list[dict]:
@@ -74,13 +77,12 @@ register("demo", _demo)
 
 
 def search(spark: SparkSession, image: bytes, names: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(hits, outcomes): all engines' hits, one partition each, and per engine its count or error."""
-    import base64
-
-    from pyspark.sql import functions as F
-
+    """(hits, outcomes): all engines' hits, one partition each, and per engine its count or error.
+    Names that aren't registered are left out; without any left, all engines are asked."""
+    chosen = {n: _ENGINES[n] for n in names or () if n in _ENGINES} or dict(_ENGINES)
     spark.dataSource.register(EngineSource)
-    rows = spark.read.format("engines").options(engines=",".join(names or []), image=base64.b64encode(image).decode()).load()
+    options = {"engines": base64.b64encode(cloudpickle.dumps(chosen)).decode(), "image": base64.b64encode(image).decode()}
+    rows = spark.read.format("engines").options(**options).load()
     outcomes = rows.groupBy("engine").agg(
         F.count_if(F.col("seq") > 0).alias("count"), F.max(F.when(F.col("seq") < 0, F.regexp_replace("title", "^error: ", ""))).alias("error")
     )
