@@ -36,13 +36,13 @@ def _bits(v: Column, test) -> Column:
 
 
 def average_bits(v: Column) -> Column:
-    m = mean(v)
-    return _bits(v, lambda x: x >= m)
+    bound = F.transform(F.array(v), lambda t: F.struct(t.alias("t"), mean(t).alias("m")))
+    return F.element_at(F.transform(bound, lambda b: _bits(b["t"], lambda x: x >= b["m"])), 1)
 
 
 def median_bits(v: Column) -> Column:
-    m = median(v)
-    return _bits(v, lambda x: x > m)
+    bound = F.transform(F.array(v), lambda t: F.struct(t.alias("t"), median(t).alias("m")))
+    return F.element_at(F.transform(bound, lambda b: _bits(b["t"], lambda x: x > b["m"])), 1)
 
 
 def difference_bits(v: Column) -> Column:
@@ -60,14 +60,14 @@ def dct(v: Column) -> Column:
     """The 64 coefficients of a tile, as two passes over rows and columns."""
     c = cosine_matrix()
     rows = F.array(*(_weighted([(F.get(v, F.lit(y * SIDE + x)), c[k][x]) for x in range(SIDE)]) for y in range(SIDE) for k in range(SIDE)))
-    basis = F.array(*(F.array(*(F.lit(x) for x in row)) for row in c))
+    basis = F.array(*(F.array(*(F.lit(w) for w in row)) for row in c for _ in range(SIDE)))
+    ys = F.array(*(F.lit(y * SIDE) for y in range(SIDE)))
 
     def column(i: Column, m: Column) -> Column:
-        k, x = F.floor(i / SIDE).cast("int"), i % SIDE
-        w = F.get(basis, k)
-        return _sum(F.transform(F.sequence(F.lit(0), F.lit(SIDE - 1)), lambda y: F.get(m, y * SIDE + x) * F.get(w, y)))
+        at = F.zip_with(ys, F.get(basis, i), lambda y, w: F.get(m, y + i % SIDE) * w)
+        return _sum(at)
 
-    index = F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1))
+    index = F.array(*(F.lit(i) for i in range(SIDE * SIDE)))
     return F.element_at(F.transform(F.array(rows), lambda m: F.transform(index, lambda i: column(i, m))), 1)
 
 
@@ -81,7 +81,8 @@ def _weighted(terms: list[tuple[Column, float]]) -> Column:
 def dct_bits(v: Column) -> Column:
     """Greater than the median of the 63 coefficients other than the first, whose bit is emitted too."""
     coefficients = F.transform(dct(v), lambda x: F.round(x, 9))
-    return F.element_at(F.transform(F.array(coefficients), lambda c: _bits(c, lambda x: x > median(F.slice(c, 2, 63)))), 1)
+    bound = F.transform(F.array(coefficients), lambda c: F.struct(c.alias("c"), median(F.slice(c, 2, 63)).alias("m")))
+    return F.element_at(F.transform(bound, lambda b: _bits(b["c"], lambda x: x > b["m"])), 1)
 
 
 #: Source index of each place of the tile, by orientation; clockwise rotations, mirrored left to right first.

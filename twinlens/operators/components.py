@@ -41,9 +41,11 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v").distinct()
     now, before = ws.save(pairs, "edges"), None
     while True:
-        nxt = ws.save(_small_star(_large_star(now)), "edges")
+        half = ws.save(_large_star(now), "half")
+        nxt = ws.save(_small_star(half), "edges")
         mark = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         ws.drop(now)
+        ws.drop(half)
         now = nxt
         if mark == before:
             break
