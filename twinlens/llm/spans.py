@@ -8,7 +8,7 @@ row for every eighty characters.
 
 Seeds of anchors that stand in one document only are dropped. A seed whose whole content stands in
 two documents is shared as a whole. The others are where a repeat begins or ends: their text
-is brought together by anchor, with two witnesses of each whole seed of the anchor, and extended from
+is brought together by anchor, with one witness of each whole seed of the anchor, which stands for two documents, and extended from
 it both ways, window by window, against all seeds of the anchor at once, never pair by pair. The maximal runs so found are merged to the
 maximal shared spans of each document. Anchors with more than ``HOT_SEEDS`` seeds (a footer under
 a third of all messages) are extended through a distributed aggregate of their windows instead.
@@ -42,7 +42,7 @@ BLOCK_CHARS = 1 << 20
 SEGMENT_CHARS = 1 << 22
 _POS_BITS = 24
 
-SEEDS = "doc bigint, body bigint, chars int, anchor bigint, span bigint, start int, n int"
+SEEDS = "doc bigint, body int, chars int, anchor bigint, span bigint, start int, n int"
 
 
 def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
@@ -97,7 +97,8 @@ def _blocks(ids: list, texts: list[str], min_chars: int):
 
 
 def _body_hash(prefix: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
-    return _signed(span_hash(prefix, begin, begin + length))
+    """32 bits, to tell different texts of one id apart."""
+    return (span_hash(prefix, begin, begin + length) >> U64(32)).astype(np.uint32).view(np.int32)
 
 
 def _find_seeds(min_chars: int, gram: int):
@@ -106,7 +107,7 @@ def _find_seeds(min_chars: int, gram: int):
         for b in batches:
             for ids, texts in _blocks(b.column(0).to_pylist(), b.column(1).to_pylist(), min_chars):
                 chars = np.array([len(t) for t in texts])
-                body = np.empty(len(texts), dtype=np.int64)
+                body = np.empty(len(texts), dtype=np.int32)
                 # segments: whole texts together, or parts of one very long text
                 if chars.max() <= SEGMENT_CHARS:
                     parts = [("".join(texts), np.arange(len(texts)), np.cumsum(chars) - chars, chars, np.zeros(len(texts), dtype=np.int64))]
@@ -134,7 +135,7 @@ def _find_seeds(min_chars: int, gram: int):
     return run
 
 
-CUTS = "anchor bigint, doc bigint, body bigint, chars int, start int, n int, piece string"
+CUTS = "anchor bigint, doc bigint, other bigint, body int, chars int, start int, n int, piece string"
 
 
 def _cut(min_chars: int):
@@ -154,22 +155,23 @@ def _cut(min_chars: int):
                 seeds = part.column(4)
                 off = seeds.offsets.to_pylist()
                 flat = seeds.values if off[0] == 0 and off[-1] == len(seeds.values) else seeds.values.slice(0)
-                fields = [flat.field(k).to_numpy(zero_copy_only=False) for k in range(3)]
+                fields = [flat.field(k).to_numpy(zero_copy_only=False) for k in range(4)]
                 docs, bodies, chars = (part.column(k).to_pylist() for k in (0, 2, 3))
                 for r, t in enumerate(texts):
                     if same[r] != bodies[r]:
                         continue  # another text of the same id
                     s = slice(off[r], off[r + 1])
-                    starts, ns, anchors = (x[s].tolist() for x in fields)
+                    starts, ns, anchors, others = (x[s].tolist() for x in fields)
                     m = len(starts)
                     out[0] += anchors
                     out[1] += [docs[r]] * m
-                    out[2] += [bodies[r]] * m
-                    out[3] += [chars[r]] * m
-                    out[4] += starts
-                    out[5] += ns
-                    out[6] += [t[a : a + k + min_chars - 1] for a, k in zip(starts, ns)]
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+                    out[2] += others
+                    out[3] += [bodies[r]] * m
+                    out[4] += [chars[r]] * m
+                    out[5] += starts
+                    out[6] += ns
+                    out[7] += [t[a : a + k + min_chars - 1] for a, k in zip(starts, ns)]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, type=k) for x, k in zip(out, kinds)], names=names)
 
     return run
@@ -186,7 +188,7 @@ def _windows(pieces: list[str], n: np.ndarray, min_chars: int):
     return row, j, span_hash(prefix_hash(c), at, at + min_chars)
 
 
-FOUND = "doc bigint, body bigint, chars int, start int, length int"
+FOUND = "doc bigint, body int, chars int, start int, length int"
 
 
 def _extend(min_chars: int):
@@ -196,11 +198,13 @@ def _extend(min_chars: int):
         doc, n = t.column("doc").to_numpy(), t.column("n").to_numpy().astype(np.int64)
         row, j, h = _windows(t.column("piece").to_pylist(), n, min_chars)
         order = np.argsort(h, kind="stable")
-        hs, ds = h[order], doc[row[order]]
+        other = t.column("other").to_numpy()
+        hs, least, most = h[order], np.minimum(doc, other)[row[order]], np.maximum(doc, other)[row[order]]
         edge = np.flatnonzero(np.append(True, hs[1:] != hs[:-1]))
-        many = np.minimum.reduceat(ds, edge) != np.maximum.reduceat(ds, edge)
+        many = np.minimum.reduceat(least, edge) != np.maximum.reduceat(most, edge)
         hit = np.empty(len(h), dtype=bool)
         hit[order] = np.repeat(many, np.diff(np.append(edge, len(hs))))
+        hit &= (doc == other)[row]  # a witness is shared as a whole, which is known already
         prev = np.append(False, hit[:-1]) & (j > 0)
         first = np.flatnonzero(hit & ~prev)
         follows = np.append(hit[1:] & (j[1:] > 0), False)
@@ -237,11 +241,11 @@ def _hashed_windows(min_chars: int):
         for b in batches:
             for at in range(0, b.num_rows, 4096):
                 p = b.slice(at, 4096)
-                cols = {k: p.column(p.schema.get_field_index(k)) for k in ("doc", "body", "chars", "start", "n")}
+                cols = {k: p.column(p.schema.get_field_index(k)) for k in ("doc", "other", "body", "chars", "start", "n")}
                 n = cols["n"].to_numpy().astype(np.int64)
                 row, j, h = _windows(p.column(p.schema.get_field_index("piece")).to_pylist(), n, min_chars)
-                out = [_signed(h), *(cols[k].to_numpy()[row] for k in ("doc", "body", "chars")), (cols["start"].to_numpy()[row] + j).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["window", "doc", "body", "chars", "start"])
+                out = [_signed(h), *(cols[k].to_numpy()[row] for k in ("doc", "other", "body", "chars")), (cols["start"].to_numpy()[row] + j).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["window", "doc", "other", "body", "chars", "start"])
 
     return run
 
@@ -263,13 +267,14 @@ def shared_spans(df: DataFrame, min_chars: int = MIN_CHARS, gram: int = GRAM, id
             F.min("lo").alias("alo"),
             F.max("hi").alias("ahi"),
             F.count("*").alias("spans"),
-            F.sum(F.expr("CASE WHEN lo = hi THEN seeds ELSE 2 END")).alias("open_seeds"),
+            F.sum(F.expr("CASE WHEN lo = hi THEN seeds ELSE 1 END")).alias("open_seeds"),
             F.count_if(F.expr("lo = hi")).alias("open_spans"),
         )
         .where("alo <> ahi")
         .select("anchor", "spans", "open_seeds", "open_spans")
     )
     state = salted_join(by_span, by_anchor, "anchor", "spans", F.col("span")).select(
+        "anchor",
         "span",
         "seeds",
         "lo",
@@ -279,8 +284,9 @@ def shared_spans(df: DataFrame, min_chars: int = MIN_CHARS, gram: int = GRAM, id
         (F.col("open_seeds") > hot_seeds).alias("hot"),
     )
     marked = ws.save(
-        salted_join(seeds, state, "span", "seeds", F.col("doc"))
-        .withColumn("cut", F.expr("open and (not whole or doc = lo or doc = hi)"))
+        salted_join(seeds.drop("anchor"), state, "span", "seeds", F.col("doc"))
+        .withColumn("cut", F.expr("open and (not whole or doc = lo)"))
+        .withColumn("other", F.expr("case when whole then hi else doc end"))
         .drop("span", "seeds", "lo", "hi", "open"),
         "marked",
     )
@@ -288,7 +294,7 @@ def shared_spans(df: DataFrame, min_chars: int = MIN_CHARS, gram: int = GRAM, id
     whole = marked.where("whole").select("doc", "body", "chars", "start", (F.col("n") + (min_chars - 1)).alias("length"))
 
     def cut(part: DataFrame) -> DataFrame:
-        listed = part.groupBy("doc", "body", "chars").agg(F.collect_list(F.struct("start", "n", "anchor")).alias("seeds"))
+        listed = part.groupBy("doc", "body", "chars").agg(F.collect_list(F.struct("start", "n", "anchor", "other")).alias("seeds"))
         return listed.join(texts, "doc").select("doc", "text", "body", "chars", "seeds").mapInArrow(_cut(min_chars), CUTS)
 
     ends = marked.where("cut")
@@ -296,9 +302,9 @@ def shared_spans(df: DataFrame, min_chars: int = MIN_CHARS, gram: int = GRAM, id
         cut(ends.where("not hot")).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_extend(min_chars), FOUND)
     )
     if not ends.where("hot").isEmpty():
-        windows = ws.save(cut(ends.where("hot")).mapInArrow(_hashed_windows(min_chars), "window bigint, doc bigint, body bigint, chars int, start int"), "hot")
-        many = windows.groupBy("window").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("rows")).where("lo <> hi").select("window", "rows")
-        hit = salted_join(windows, many, "window", "rows", F.col("doc"))
+        windows = ws.save(cut(ends.where("hot")).mapInArrow(_hashed_windows(min_chars), "window bigint, doc bigint, other bigint, body int, chars int, start int"), "hot")
+        many = windows.groupBy("window").agg(F.min(F.least("doc", "other")).alias("lo"), F.max(F.greatest("doc", "other")).alias("hi"), F.count("*").alias("rows")).where("lo <> hi").select("window", "rows")
+        hit = salted_join(windows.where("doc = other"), many, "window", "rows", F.col("doc"))
         out = out.unionByName(hit.select("doc", "body", "chars", "start", F.lit(min_chars).alias("length")))
     return out
 
