@@ -82,3 +82,20 @@ def test_demo_pipeline(spark):
     assert look["label"] not in ("EXACT_1TO1", "NEAR_1TO1", "EDITED_1TO1")
     n = r.counts().first()
     assert n["raw_results"] > n["unique_urls"] == n["downloaded"] and n["one_to_one"] >= 3
+
+
+def test_api(spark, tmp_path):
+    from twinlens import api
+
+    engines.register("copies", lambda image: [{"url": "https://x/1.png", "data": image}, {"url": "https://x/1.png?again", "data": image}, {"url": "https://x/bad.png", "data": b"no"}])
+    run = api.search(spark, A, names=["copies"])
+    s = run.status().first()
+    assert (s["raw_results"], s["unique_urls"], s["failed_downloads"], s["merged_cards"], s["one_to_one"]) == (3, 2, 1, 1, 1)
+    card = run.cards().first()
+    assert card["confidence"] == 100.0 and card["sources"] == 2
+    assert bytes(run.view("q1", card["representative_cid"], "difference", 32).first()["png"])[:4] == b"\x89PNG"
+    with pytest.raises(ValueError):
+        run.view("q1", "c00000", "other")
+    run.store(str(tmp_path / "run"))
+    assert bytes(spark.read.parquet(str(tmp_path / "run" / "originals")).first()["data"]) == A
+    assert api.list_thresholds(spark).count() == 8 and api.list_engines(spark).count() >= 2
