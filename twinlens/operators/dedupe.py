@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from twinlens.config import LIMITS
+from twinlens.operators.skew import salted_join
 
 
 def first_per_key(df: DataFrame, key: list[Column], order: list[Column]) -> DataFrame:
@@ -22,10 +23,13 @@ def first_per_key(df: DataFrame, key: list[Column], order: list[Column]) -> Data
 
 
 def unique_and_aliases(df: DataFrame, key: Column, order: list[Column]) -> tuple[DataFrame, DataFrame]:
-    """(first row of each key, all later rows). One pass of ranking serves both."""
-    ranked = df.withColumn("__key", key).withColumn("__rank", F.row_number().over(Window.partitionBy("__key").orderBy(*order)))
-    plain = ranked.columns[:-2]
-    return ranked.where("__rank = 1").select(*plain), ranked.where("__rank > 1").select(*plain)
+    """(first row of each key, all later rows). The first place of a key is found by partial aggregation
+    and brought back by a salted join, so a key with very many rows isn't ranked in one task. ``order``
+    must be unique within a key: rows tied for the first place all count as first. Null is a key."""
+    tagged = df.withColumns({"__key": F.struct(key.alias("k")), "__order": F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)))})
+    firsts = tagged.groupBy("__key").agg(F.min("__order").alias("__first"), F.count("*").alias("__n"))
+    marked = salted_join(tagged, firsts, "__key", "__n", F.col("__order"))
+    return (marked.where(test).select(*df.columns) for test in ("__order = __first", "__order > __first"))
 
 
 def content_groups(df: DataFrame, key: str, order: str, keep: list[str]) -> DataFrame:

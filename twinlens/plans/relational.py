@@ -152,7 +152,8 @@ def stage1_uniques(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_RANKED_HITS} SELECT run_id, canon, seq FROM r WHERE n > 1")
 def stage1_aliases(spark: SparkSession, d: str) -> DataFrame:
     h = _clean_hits(spark, d).select("run_id", "canon", "seq")
-    return D.unique_and_aliases(h, F.struct("run_id", "canon"), [F.col("seq")])[1]
+    _, aliases = D.unique_and_aliases(h, F.struct("run_id", "canon"), [F.col("seq")])
+    return aliases
 
 
 @query(

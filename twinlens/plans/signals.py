@@ -208,7 +208,7 @@ _MOVE = """(SELECT k, 0.5 + CAST(k % 7 AS DOUBLE) / 4 AS s, x0, y0, w, h, w * 1.
 _HIT = "greatest(0, least(x0 + s * w, cw) - greatest(x0, 0)) * greatest(0, least(y0 + s * h, ch) - greatest(y0, 0))"
 
 
-@query(f"SELECT k, round({_HIT} / (s * w * s * h), 5) AS original, round({_HIT} / (cw * ch), 5) AS candidate, round(s, 6) AS scale FROM {_MOVE} m")
+@query(f"SELECT k, round({_HIT} / (s * w * s * h), 6) AS original, round({_HIT} / (cw * ch), 6) AS candidate, round(s, 6) AS scale FROM {_MOVE} m")
 def coverage_transform(spark: SparkSession, d: str) -> DataFrame:
     """Corners through a transform, clipped by the candidate's frame; here scalings with a shift, which SQL can state."""
     import numpy as np
@@ -223,7 +223,8 @@ def coverage_transform(spark: SparkSession, d: str) -> DataFrame:
             out = []
             for r in p.itertuples(index=False):
                 c = coverage_of_transform(np.array([[r.s, 0, r.x0], [0, r.s, r.y0], [0, 0, 1]]), (r.w, r.h), (r.cw, r.ch))
-                out.append((r.k, round(c["original"], 5), round(c["candidate"], 5), round(c["scale"], 6)))
+                out.append((r.k, c["original"], c["candidate"], c["scale"]))
             yield pd.DataFrame(out, columns=["k", "original", "candidate", "scale"])
 
-    return spark.sql(f"SELECT * FROM {_MOVE} AS m").mapInPandas(run, "k bigint, original double, candidate double, scale double")
+    got = spark.sql(f"SELECT * FROM {_MOVE} AS m").mapInPandas(run, "k bigint, original double, candidate double, scale double")
+    return got.select("k", *(F.round(F.round(c, 10), 6).alias(c) for c in ("original", "candidate", "scale")))

@@ -70,5 +70,10 @@ def upload_token(body: Column) -> Column:
 
 
 def number_hits(hits: DataFrame) -> DataFrame:
-    """``seq`` by engine and ordinal, so that the order doesn't hang on which engine answered first."""
-    return hits.withColumn("seq", F.row_number().over(Window.orderBy("engine", "ordinal")).cast("bigint"))
+    """``seq`` by engine and ordinal, so that the order doesn't hang on which engine answered first. Hits
+    are ranked within their engine; the engines' offsets are a table of one row an engine."""
+    counts = hits.groupBy("engine").agg(F.count("*").alias("n"))
+    before = Window.orderBy("engine").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("engine", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("engine").orderBy("ordinal")))
+    return ranked.join(F.broadcast(offsets), "engine").withColumn("seq", F.col("offset") + F.col("rank")).drop("offset", "rank")
