@@ -260,18 +260,14 @@ def shared_spans(df: DataFrame, min_chars: int = MIN_CHARS, gram: int = GRAM, id
         F.col("doc").isNotNull() & (F.length("text") >= min_chars)
     )
     seeds = ws.save(texts.mapInArrow(_find_seeds(min_chars, gram), SEEDS), "seeds")
-    by_span = seeds.groupBy("anchor", "span").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("seeds"))
-    by_anchor = (
-        by_span.groupBy("anchor")
-        .agg(
-            F.min("lo").alias("alo"),
-            F.max("hi").alias("ahi"),
-            F.count("*").alias("spans"),
-            F.sum(F.expr("CASE WHEN lo = hi THEN seeds ELSE 1 END")).alias("open_seeds"),
-            F.count_if(F.expr("lo = hi")).alias("open_spans"),
-        )
-        .where("alo <> ahi")
-        .select("anchor", "spans", "open_seeds", "open_spans")
+    several = seeds.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("all_seeds")).where("lo <> hi")
+    kept = ws.save(salted_join(seeds, several.select("anchor", "all_seeds"), "anchor", "all_seeds", F.col("doc")).drop("all_seeds"), "kept")
+    ws.drop(seeds)
+    by_span = kept.groupBy("anchor", "span").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("seeds"))
+    by_anchor = by_span.groupBy("anchor").agg(
+        F.count("*").alias("spans"),
+        F.sum(F.expr("CASE WHEN lo = hi THEN seeds ELSE 1 END")).alias("open_seeds"),
+        F.count_if(F.expr("lo = hi")).alias("open_spans"),
     )
     state = salted_join(by_span, by_anchor, "anchor", "spans", F.col("span")).select(
         "anchor",
@@ -284,13 +280,13 @@ def shared_spans(df: DataFrame, min_chars: int = MIN_CHARS, gram: int = GRAM, id
         (F.col("open_seeds") > hot_seeds).alias("hot"),
     )
     marked = ws.save(
-        salted_join(seeds.drop("anchor"), state, "span", "seeds", F.col("doc"))
+        salted_join(kept.drop("anchor"), state, "span", "seeds", F.col("doc"))
         .withColumn("cut", F.expr("open and (not whole or doc = lo)"))
         .withColumn("other", F.expr("case when whole then hi else doc end"))
         .drop("span", "seeds", "lo", "hi", "open"),
         "marked",
     )
-    ws.drop(seeds)
+    ws.drop(kept)
     whole = marked.where("whole").select("doc", "body", "chars", "start", (F.col("n") + (min_chars - 1)).alias("length"))
 
     def cut(part: DataFrame) -> DataFrame:
