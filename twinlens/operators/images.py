@@ -7,7 +7,7 @@ hold a megabyte of image.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -64,8 +64,14 @@ def fingerprints(df: DataFrame, keys: list[str], data: str = "data") -> DataFram
     return _map(df, keys, [data], PRINT, work)
 
 
-def descriptors(df: DataFrame, keys: list[str], data: str = "data") -> DataFrame:
-    return _map(df, keys, [data], "vector array<float>", lambda raw: {"vector": descriptor(read_rgb(raw))})
+def descriptors(df: DataFrame, keys: list[str], data: str = "data", embed: Callable[[np.ndarray], np.ndarray] = descriptor, backend: str = "classical-descriptor") -> DataFrame:
+    """keys, backend and vector. Another embedding than the classical one is given as a function of the
+    RGB pixels, with the name of its backend (I12); none is bundled."""
+
+    def work(raw: bytes) -> dict:
+        return {"backend": backend, "vector": embed(read_rgb(raw))}
+
+    return _map(df, keys, [data], "backend string, vector array<float>", work)
 
 
 def pair_signals(df: DataFrame, keys: list[str], original: str, candidate: str, sha_a: str, sha_b: str, deep: bool, work_size: int = 512, size: int = 256) -> DataFrame:

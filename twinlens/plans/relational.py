@@ -452,3 +452,49 @@ def report_json(spark: SparkSession, d: str) -> DataFrame:
     text = k.select("run_id", F.to_json(F.struct("card_key", "label", report.report_number(F.col("confidence"), 1).alias("confidence"), report.report_number(F.col("overlap"), 4).alias("overlap"))).alias("j"))
     back = text.select("run_id", F.from_json("j", "card_key string, label string, confidence double, overlap double").alias("c"))
     return back.groupBy("run_id").agg(F.count("*").alias("cards"), F.round(F.sum("c.confidence"), 4).alias("total"), F.count_if(F.col("c.overlap").isNotNull()).alias("with_overlap"))
+
+
+# ---- statistics -----------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT engine, count(*) AS n, round(median(luma_mean), 6) AS median_luma, round(quantile_cont(download_ms, 0.95), 6) AS p95_ms,
+    round(covar_samp(luma_mean, luma_std), 6) AS covariance, round(stddev_pop(luma_std), 6) AS spread, round(var_pop(luma_mean), 6) AS variance FROM candidates GROUP BY engine"""
+)
+def candidate_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Exact median, interpolated percentile, covariance and spread by engine."""
+    return table(spark, d, "candidates").groupBy("engine").agg(
+        F.count("*").alias("n"),
+        F.round(F.median("luma_mean"), 6).alias("median_luma"),
+        F.round(F.percentile("download_ms", 0.95), 6).alias("p95_ms"),
+        F.round(F.covar_samp("luma_mean", "luma_std"), 6).alias("covariance"),
+        F.round(F.stddev_pop("luma_std"), 6).alias("spread"),
+        F.round(F.var_pop("luma_mean"), 6).alias("variance"),
+    )
+
+
+@query("SELECT cid, error IS NULL AND sha256 IS NOT NULL AND phash IS NOT NULL AS ok FROM candidates")
+def ok_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a candidate has an image and fingerprints (P5)."""
+    ok = F.col("error").isNull() & F.col("sha256").isNotNull() & F.col("phash").isNotNull()
+    return table(spark, d, "candidates").select("cid", ok.alias("ok"))
+
+
+@query("SELECT e.engine, row_number() OVER (ORDER BY e.engine) AS position FROM engines e WHERE engine IN (SELECT engine FROM hits)")
+def engine_order(spark: SparkSession, d: str) -> DataFrame:
+    """Engines that returned hits (a semi join), by name."""
+    from pyspark.sql.window import Window
+
+    found = table(spark, d, "engines").join(table(spark, d, "hits").select("engine"), "engine", "left_semi")
+    return found.select("engine", F.row_number().over(Window.orderBy("engine")).alias("position"))
+
+
+@query(
+    """WITH s AS (SELECT engine, count(*) AS hits, count(DISTINCT run_id) AS runs FROM hits GROUP BY engine UNION ALL SELECT engine, 0, 0 FROM engines)
+    SELECT engine, sum(hits) AS hits, max(runs) AS runs FROM s GROUP BY engine"""
+)
+def engine_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Outcome rows of all engines by union."""
+    h = table(spark, d, "hits").groupBy("engine").agg(F.count("*").alias("hits"), F.count_distinct("run_id").alias("runs"))
+    e = table(spark, d, "engines").select("engine", F.lit(0).cast("bigint").alias("hits"), F.lit(0).cast("bigint").alias("runs"))
+    return report.union_sources([h, e]).groupBy("engine").agg(F.sum("hits").alias("hits"), F.max("runs").alias("runs"))
