@@ -19,6 +19,7 @@ threshold are found; extra columns don't matter; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,7 @@ def distance(a: str, b: str) -> Column:
     return d
 
 
+@lru_cache(maxsize=2)
 def _orders(permutations: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each permutation the elements by their first and by their last place, as bit * 2 + value."""
     step = int(np.gcd.reduce(WEIGHTS))
