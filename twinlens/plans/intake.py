@@ -32,7 +32,7 @@ def _once(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "hits").select("seq", "engine", "url", "page_url", "title", "width", "height", "engine_score").distinct()
 
 
-@query(f"SELECT engine, count(*) AS hits, count(DISTINCT url) AS urls, sum(width) AS width FROM (SELECT engine, coalesce(nullif(url, ''), page_url) AS url, width FROM {_CLEAN} c) x WHERE url <> '' GROUP BY engine")
+@query(f"SELECT engine, count(*) AS hits, count(DISTINCT url) AS urls, CAST(sum(width) AS BIGINT) AS width FROM (SELECT engine, coalesce(nullif(url, ''), page_url) AS url, width FROM {_CLEAN} c) x WHERE url <> '' GROUP BY engine")
 def tag_json_hits(spark: SparkSession, d: str) -> DataFrame:
     """Hits written as nested tag answers, one answer an engine and block, and read back."""
     h = _once(spark, d)
@@ -42,7 +42,7 @@ def tag_json_hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT engine, count(*) AS hits, count(engine_score) AS scored, round(sum(engine_score), 4) AS score, count_if(label = 'match') AS unlabelled
+    f"""SELECT engine, count(*) AS hits, count(engine_score) AS scored, round(sum(engine_score), 4) AS score, count(*) FILTER (label = 'match') AS unlabelled
     FROM (SELECT engine, engine_score, CASE WHEN engine_score IS NULL THEN 'match' END AS label, coalesce(nullif(url, ''), page_url) AS url FROM {_CLEAN} c) x WHERE url <> '' GROUP BY engine"""
 )
 def match_json_hits(spark: SparkSession, d: str) -> DataFrame:

@@ -167,7 +167,7 @@ def stage1_numbered(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_RANKED_HITS}, c AS (SELECT run_id, count(*) AS incoming, count_if(n = 1) AS distinct_urls FROM r GROUP BY run_id)
+    f"""WITH {_RANKED_HITS}, c AS (SELECT run_id, count(*) AS incoming, count(*) FILTER (n = 1) AS distinct_urls FROM r GROUP BY run_id)
     SELECT run_id, incoming, least(distinct_urls, 400) AS unique_urls, incoming - least(distinct_urls, 400) AS collapsed FROM c"""
 )
 def stage1_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -192,7 +192,7 @@ def content_documents(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """WITH ok AS (SELECT * FROM candidates WHERE error IS NULL AND sha256 IS NOT NULL AND sha256 <> '')
-    SELECT count(*) AS downloaded, count_if(error IS NOT NULL) AS failed, (SELECT count(*) FROM (SELECT sha256 FROM ok GROUP BY 1 HAVING count(*) > 1)) AS identical_byte_groups,
+    SELECT count(*) AS downloaded, count(*) FILTER (error IS NOT NULL) AS failed, (SELECT count(*) FROM (SELECT sha256 FROM ok GROUP BY 1 HAVING count(*) > 1)) AS identical_byte_groups,
     (SELECT count(DISTINCT sha256) FROM ok) AS content_unique FROM candidates"""
 )
 def stage2_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -235,7 +235,7 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_FILTERED} SELECT run_id, cid, CASE WHEN ok THEN rk END AS rank, by_gate OR by_net AS kept, gate OR by_net AS decided FROM d")
 def stage3_decisions(spark: SparkSession, d: str) -> DataFrame:
-    return filtering.filter_candidates(_scored(spark, d), "run_id", "cid").select("run_id", "cid", "rank", "kept", "decided")
+    return filtering.filter_candidates(_scored(spark, d), "run_id", "cid").select("run_id", "cid", F.col("rank").cast("bigint").alias("rank"), "kept", "decided")
 
 
 @query(
@@ -247,7 +247,7 @@ def stage3_reasons(spark: SparkSession, d: str) -> DataFrame:
     return f.withColumn("reason", F.when(F.col("reason").startswith("hash similarity 0."), "below").otherwise(F.col("reason"))).groupBy("run_id", "reason").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_FILTERED} SELECT run_id, count(*) AS considered, count_if(by_gate OR by_net) AS promoted, count_if(NOT (by_gate OR by_net)) AS rejected FROM d WHERE ok GROUP BY run_id")
+@query(f"WITH {_FILTERED} SELECT run_id, count(*) AS considered, count(*) FILTER (by_gate OR by_net) AS promoted, count(*) FILTER (NOT (by_gate OR by_net)) AS rejected FROM d WHERE ok GROUP BY run_id")
 def stage3_counts(spark: SparkSession, d: str) -> DataFrame:
     f = filtering.filter_candidates(_scored(spark, d), "run_id", "cid").where("ok")
     return f.groupBy("run_id").agg(F.count("*").alias("considered"), F.count_if("kept").alias("promoted"), F.count_if(~F.col("kept")).alias("rejected"))
@@ -384,8 +384,8 @@ def _cards(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_CARDS} SELECT count(*) AS merged_cards, count_if(label IN ('EXACT_1TO1','NEAR_1TO1','EDITED_1TO1')) AS one_to_one, count_if(label = 'CROP') AS crops,
-    count_if(label = 'VISUALLY_SIMILAR') AS similar, count_if(label IN ('UNRELATED','ERROR')) AS unrelated FROM k"""
+    f"""WITH {_CARDS} SELECT count(*) AS merged_cards, count(*) FILTER (label IN ('EXACT_1TO1','NEAR_1TO1','EDITED_1TO1')) AS one_to_one, count(*) FILTER (label = 'CROP') AS crops,
+    count(*) FILTER (label = 'VISUALLY_SIMILAR') AS similar, count(*) FILTER (label IN ('UNRELATED','ERROR')) AS unrelated FROM k"""
 )
 def report_counts(spark: SparkSession, d: str) -> DataFrame:
     return report.card_counts(_cards(spark, d))
@@ -408,7 +408,7 @@ def report_order(spark: SparkSession, d: str) -> DataFrame:
 
     k = _cards(spark, d).join(F.broadcast(table(spark, d, "label_groups").select("label", "group_rank")), "label", "left")
     w = Window.partitionBy("run_id").orderBy(*report.final_order(k, k))
-    return k.select("run_id", "card_key", F.row_number().over(w).alias("position"))
+    return k.select("run_id", "card_key", F.row_number().over(w).cast("bigint").alias("position"))
 
 
 @query(
@@ -423,7 +423,7 @@ def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {_CARDS} SELECT coalesce(label, 'total') AS label, count(*) AS cards, round(avg(confidence), 6) AS mean_confidence,
-    count_if(confidence >= 85) AS confident FROM k GROUP BY GROUPING SETS ((label), ())"""
+    count(*) FILTER (confidence >= 85) AS confident FROM k GROUP BY GROUPING SETS ((label), ())"""
 )
 def accuracy_summary(spark: SparkSession, d: str) -> DataFrame:
     """Mean and share by label with a grand total, by grouping sets."""
@@ -445,7 +445,7 @@ def card_headlines(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(f"WITH {_CARDS} SELECT run_id, count(*) AS cards, round(sum(confidence), 4) AS total, count_if(overlap IS NOT NULL) AS with_overlap FROM k GROUP BY run_id")
+@query(f"WITH {_CARDS} SELECT run_id, count(*) AS cards, round(sum(confidence), 4) AS total, count(*) FILTER (overlap IS NOT NULL) AS with_overlap FROM k GROUP BY run_id")
 def report_json(spark: SparkSession, d: str) -> DataFrame:
     """Cards written as report JSON and read back."""
     k = _cards(spark, d)
@@ -486,12 +486,12 @@ def engine_order(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql.window import Window
 
     found = table(spark, d, "engines").join(table(spark, d, "hits").select("engine"), "engine", "left_semi")
-    return found.select("engine", F.row_number().over(Window.orderBy("engine")).alias("position"))
+    return found.select("engine", F.row_number().over(Window.orderBy("engine")).cast("bigint").alias("position"))
 
 
 @query(
     """WITH s AS (SELECT engine, count(*) AS hits, count(DISTINCT run_id) AS runs FROM hits GROUP BY engine UNION ALL SELECT engine, 0, 0 FROM engines)
-    SELECT engine, sum(hits) AS hits, max(runs) AS runs FROM s GROUP BY engine"""
+    SELECT engine, CAST(sum(hits) AS BIGINT) AS hits, max(runs) AS runs FROM s GROUP BY engine"""
 )
 def engine_totals(spark: SparkSession, d: str) -> DataFrame:
     """Outcome rows of all engines by union."""

@@ -118,7 +118,7 @@ def orientation_label(spark: SparkSession, d: str) -> DataFrame:
     return _signals(spark, d).select("k", "n", classify.orientation_label(F.col("orientation")).alias("orientation"))
 
 
-@query("SELECT cid, 'ERROR' AS label, 0.0 AS confidence, error AS reason FROM candidates WHERE error <> ''")
+@query("SELECT cid, 'ERROR' AS label, 0.0::DOUBLE AS confidence, error AS reason FROM candidates WHERE error <> ''")
 def error_verdicts(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "candidates").where("error <> ''").select("cid", "error")
     return classify.error_verdict(c, F.col("error")).select("cid", "label", "confidence", F.col("reasons")[0].alias("reason"))

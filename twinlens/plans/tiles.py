@@ -206,7 +206,7 @@ def vector_cosine(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_TILES}, n AS (SELECT vec_id, list_transform(v, lambda x: round(x / sqrt(list_inner_product(v, v)), 6)) AS u FROM tiles) SELECT vec_id, round(list_sum(u), 4) AS total, len(u) AS length FROM n"""
+    f"""WITH {_TILES}, n AS (SELECT vec_id, list_transform(v, lambda x: round(x / sqrt(list_inner_product(v, v)), 6)) AS u FROM tiles) SELECT vec_id, round(list_sum(u), 4) AS total, CAST(len(u) AS INTEGER) AS length FROM n"""
 )
 def l2_normalise(spark: SparkSession, d: str) -> DataFrame:
     u = F.transform(V.l2_normalise(F.col("v")), lambda x: F.round(x, 6))
