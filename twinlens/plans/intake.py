@@ -75,8 +75,8 @@ def page_scrape(spark: SparkSession, d: str) -> DataFrame:
     UNION ALL SELECT doc_id, NULL, NULL, 'no data' FROM documents WHERE text IS NULL"""
 )
 def inline_payloads(spark: SparkSession, d: str) -> DataFrame:
-    """Texts as data addresses, decoded by the downloader."""
-    docs = table(spark, d, "documents").select("doc_id", I.data_url(F.encode(F.left("text", F.lit(2000)), "UTF-8")).alias("url"))
+    """Whole texts as data addresses, decoded by the downloader."""
+    docs = table(spark, d, "documents").select("doc_id", I.data_url(F.encode("text", "UTF-8")).alias("url"))
     got = I.load_bytes(docs)
     error = F.when(F.col("url").isNull(), "no data").otherwise(F.col("error"))
     return got.select(
