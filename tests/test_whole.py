@@ -16,3 +16,13 @@ def test_payloads_are_whole_texts(spark, tmp_path):
     data = [t if t is None else t.encode() for t in texts]
     want = [(i, None, None, "no data") if b is None else (i, len(b), hashlib.sha256(b).hexdigest(), None if b else "empty file") for i, b in enumerate(data)]
     assert rows(_query("inline_payloads")(spark, str(tmp_path))) == want
+
+
+def test_pairs_of_every_one_to_one_label(spark, tmp_path):
+    ones = {"EXACT_1TO1": True, "EDITED_1TO1": True, "NEAR_1TO1": True, "CROP": False}
+    spark.createDataFrame(list(ones.items()), "label string, is_one_to_one boolean").write.parquet(str(tmp_path / "label_groups.parquet"))
+    cards = [(lab, cid, c) for lab in ones for cid, c in (("a", 0.1), ("b", 0.6), ("c", 99.5), ("d", 100.0), ("d", 99.9), ("", 99.9), (None, 99.9), ("e", None))]
+    cards.append(("NEAR_1TO1", "d", 99.9))
+    spark.createDataFrame(cards, "label string, representative_cid string, confidence double").write.parquet(str(tmp_path / "cards.parquet"))
+    want = sorted((lab, a, b, n) for lab in ones if ones[lab] for a, b, n in (("a", "b", 1), ("c", "d", 2)))
+    assert rows(_query("pairs_within_label")(spark, str(tmp_path))) == want

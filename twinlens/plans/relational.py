@@ -295,8 +295,10 @@ def search_fan_out(spark: SparkSession, d: str) -> DataFrame:
     SELECT a.label, a.cid AS cid_a, b.cid AS cid_b, count(*) AS pairs FROM v a JOIN v b ON a.label = b.label AND a.cid < b.cid AND abs(a.confidence - b.confidence) <= 0.5 GROUP BY ALL"""
 )
 def pairs_within_label(spark: SparkSession, d: str) -> DataFrame:
-    v = table(spark, d, "cards").where("representative_cid <> '' AND label = 'NEAR_1TO1'").select("label", F.col("representative_cid").alias("cid"), "confidence").distinct()
-    p = merge.pairs_within(v, "label", "cid", ["confidence"]).where("abs(confidence_a - confidence_b) <= 0.5")
+    """Pairs of near confidence within each 1:1 label."""
+    ones = table(spark, d, "label_groups").where("is_one_to_one").select("label")
+    v = table(spark, d, "cards").where("representative_cid <> ''").join(F.broadcast(ones), "label", "left_semi").select("label", F.col("representative_cid").alias("cid"), "confidence").distinct()
+    p = merge.band_pairs(v, ["label"], "confidence", "cid", 0.5).where("abs(value_a - value_b) <= 0.5")
     return p.groupBy("label", "cid_a", "cid_b").agg(F.count("*").alias("pairs"))
 
 
