@@ -26,3 +26,15 @@ def test_pairs_of_every_one_to_one_label(spark, tmp_path):
     spark.createDataFrame(cards, "label string, representative_cid string, confidence double").write.parquet(str(tmp_path / "cards.parquet"))
     want = sorted((lab, a, b, n) for lab in ones if ones[lab] for a, b, n in (("a", "b", 1), ("c", "d", 2)))
     assert rows(_query("pairs_within_label")(spark, str(tmp_path))) == want
+
+
+def test_found_records_are_projected_from_whole_ones(spark, tmp_path):
+    cards = [("k", ["a", "b", "c"])]
+    cands = [(c, f"e{c}", None, f"u{c}", 10, 10, None, "p1", "l1") for c in "abc"]
+    spark.createDataFrame(cards, "card_key string, member_cids array<string>").write.parquet(str(tmp_path / "cards.parquet"))
+    fields = "cid string, engine string, error string, url string, width int, height int, fetched_at timestamp, page_url string, engine_label string"
+    spark.createDataFrame(cands, fields).write.parquet(str(tmp_path / "candidates.parquet"))
+    got = _query("p3_found")(spark, str(tmp_path))
+    assert rows(got) == [("k", "a", "a")]
+    behind = spark.read.parquet(*got.inputFiles())
+    assert rows(behind, "card_key", "pages", "labels") == [("k", ["p1"], ["l1"])]
