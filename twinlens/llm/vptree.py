@@ -13,8 +13,8 @@ finds is scored again in double precision, rounded to six decimals, ties to the
 
 Defined cases: vectors that are null, of a wrong length, all zero or with a null, NaN or
 infinite element take no part, nor do vectors of unknown kinds or without an id; equal vectors are
-neighbours with similarity 1; repeated rows of one id count once; extra columns don't matter; an
-empty table gives no rows.
+neighbours with similarity 1; repeated rows of one id and kind count once, before the search, and of
+different vectors of one id the least stands; extra columns don't matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -129,6 +129,7 @@ NEIGHBOURS = "id bigint, neighbour bigint, cosine double"
 def _search_cells(k: int, min_cos: float, relax: float, leaf_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, ids, vecs, tree, unit64, index_ids = None, [], [], None, None, None
+        last = None
 
         def answer(qid: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
             q64 = q.astype(np.float64)
@@ -158,6 +159,14 @@ def _search_cells(k: int, min_cos: float, relax: float, leaf_rows: int):
                 if lo == hi:
                     continue
                 part = batch.slice(lo, hi - lo)
+                # rows of one id follow each other, also over the end of a batch; the first stands for all
+                named = part.column(2).to_numpy()
+                fresh = np.concatenate(([last != (code[lo], named[0])], named[1:] != named[:-1]))
+                last = code[lo], named[-1]
+                if not fresh.all():
+                    part = part.filter(pa.array(fresh))
+                if not len(part):
+                    continue
                 if cells[lo] != cell:
                     cell, ids, vecs, tree = cells[lo], [], [], None
                 if roles[lo] == 0:
@@ -228,7 +237,7 @@ def nearest_neighbours(
     found = (
         index.unionAll(asked)
         .repartitionById(cells, F.col("cell"))
-        .sortWithinPartitions("cell", "role")
+        .sortWithinPartitions("cell", "role", "id", "vector")
         .mapInArrow(_search_cells(k, min_cos, relax, leaf_rows), NEIGHBOURS)
     )
     if max(shards.values()) == 1:
