@@ -58,3 +58,39 @@ def test_repeated_ids_take_no_places(spark):
         assert got == want
     near = V.nearest_neighbours(spark.createDataFrame(often, DESC), relax=1.0)
     assert near.count() == 300
+
+
+def test_few_agreeing_matches_are_found(monkeypatch):
+    import numpy as np
+
+    from twinlens.kernels import geometry as G
+
+    blank, found = np.zeros((480, 640)), 0
+    for seed in range(40):
+        r = np.random.default_rng(seed)
+        a, b = r.uniform(0, 1, (400, 2)) * [640, 480], r.uniform(0, 1, (400, 2)) * [640, 480]
+        some = r.permutation(400)[:15]
+        b[some] = a[some] * 0.8 + [30, 20]
+        words = r.integers(0, 2**64, (400, 4), dtype=np.uint64)
+        sides = iter([(a, words), (b, words)])
+        monkeypatch.setattr(G, "keypoints", lambda g: next(sides))
+        m = G.match_features(blank, blank)
+        found += bool(m["trusted"] and abs(m["transform"][0, 0] - 0.8) < 0.02)
+    assert found >= 39
+
+
+def test_samples_and_the_projective_fallback():
+    import numpy as np
+
+    from twinlens.kernels import geometry as G
+
+    assert all(len(set(x)) == 4 for x in G._samples(5, 4, 500).tolist()) and G._samples(5, 4, 500).max() == 4
+    r = np.random.default_rng(1)
+    a = r.uniform(0, 1, (60, 2)) * [640, 480]
+    h = np.array([[0.9, 0.1, 12], [-0.05, 1.1, 7], [3e-4, 2e-4, 1]])
+    x = np.c_[a, np.ones(60)] @ h.T
+    b = x[:, :2] / x[:, 2:]
+    b[:20] = r.uniform(0, 1, (20, 2)) * [640, 480]
+    m, n = G.agreed_homography(a, b, 4.0)
+    assert n >= 40 and np.allclose(m / m[2, 2], h, atol=0.05, rtol=0.05)
+    assert G.agreed_similarity(np.ones((9, 2)), a[:9], 4.0) == (None, 0)

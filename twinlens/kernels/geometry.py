@@ -135,6 +135,81 @@ def _similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack((z, qm[..., 0] - z * pm[..., 0]), axis=-1)
 
 
+def _samples(n: int, size: int, rounds: int) -> np.ndarray:
+    """Rows of ``size`` different numbers below ``n``."""
+    rng = np.random.default_rng(5)
+    pick = rng.integers(0, n - np.arange(size), (rounds, size))
+    for k in range(1, size):
+        # a draw from those left: step over the ones taken before, in their order
+        for taken in np.sort(pick[:, :k], axis=1).T:
+            pick[:, k] += pick[:, k] >= taken
+    return pick
+
+
+def agreed_similarity(a: np.ndarray, b: np.ndarray, reach: float) -> tuple[np.ndarray | None, int]:
+    """The turn, scale and shift that most matches agree on, and their number; None if no two matches give one."""
+    p, q = a[:, 0] + 1j * a[:, 1], b[:, 0] + 1j * b[:, 1]
+    pick = _samples(len(a), 2, 4000)
+    pick = pick[np.abs(p[pick[:, 0]] - p[pick[:, 1]]) > 1e-6]
+    if not len(pick):
+        return None, 0
+    models = _similarity(a[pick], b[pick])
+    votes = np.concatenate([(np.abs(x[:, :1] * p + x[:, 1:] - q) < reach).sum(axis=1) for x in np.array_split(models, 8)])
+    z, t = models[votes.argmax()]
+    for _ in range(3):
+        inside = np.abs(z * p + t - q) < reach
+        if inside.sum() < 2:
+            break
+        z, t = _similarity(a[inside], b[inside])
+    inliers = int((np.abs(z * p + t - q) < reach).sum())
+    return np.array([[z.real, -z.imag, t.real], [z.imag, z.real, t.imag], [0, 0, 1]]), inliers
+
+
+def _homography(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least-squares projective transforms from a to b (the last two axes are matches and x, y)."""
+
+    def unit(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        c = p.mean(axis=-2, keepdims=True)
+        s = np.sqrt(2) / np.maximum(np.sqrt(((p - c) ** 2).sum(axis=-1)).mean(axis=-1), 1e-9)
+        m = np.zeros((*p.shape[:-2], 3, 3))
+        m[..., 0, 0] = m[..., 1, 1] = s
+        m[..., :2, 2] = -s[..., None] * c[..., 0, :]
+        m[..., 2, 2] = 1
+        return (p - c) * s[..., None, None], m
+
+    (u, mu), (v, mv) = unit(a), unit(b)
+    one = np.concatenate((u, np.ones_like(u[..., :1])), axis=-1)
+    zero = np.zeros_like(one)
+    lines = np.concatenate(
+        (np.concatenate((one, zero, -v[..., :1] * one), axis=-1), np.concatenate((zero, one, -v[..., 1:] * one), axis=-1)), axis=-2
+    )
+    h = np.linalg.svd(lines)[2][..., -1, :].reshape(*a.shape[:-2], 3, 3)
+    return np.linalg.inv(mv) @ h @ mu
+
+
+def agreed_homography(a: np.ndarray, b: np.ndarray, reach: float) -> tuple[np.ndarray | None, int]:
+    """The projective transform that most matches agree on, and their number; None if four don't."""
+    p = np.concatenate((a, np.ones((len(a), 1))), axis=1)
+
+    def inside(m: np.ndarray) -> np.ndarray:
+        x = p @ np.swapaxes(m, -1, -2)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return ((x[..., :2] / x[..., 2:] - b) ** 2).sum(axis=-1) < reach * reach
+
+    pick = _samples(len(a), 4, 2000)
+    models = _homography(a[pick], b[pick])
+    votes = np.concatenate([inside(x).sum(axis=1) for x in np.array_split(models, 8)])
+    m = models[votes.argmax()]
+    for _ in range(3):
+        agree = inside(m)
+        if agree.sum() < 4:
+            return None, 0
+        m = _homography(a[agree], b[agree])
+    if not np.isfinite(m).all() or abs(np.linalg.det(m)) < 1e-12:
+        return None, 0
+    return m, int(inside(m).sum())
+
+
 def match_features(ga: np.ndarray, gb: np.ndarray) -> dict:
     """Keypoints matched by ratio test and a transform agreed on by most of them."""
     f = FEATURES
@@ -152,19 +227,11 @@ def match_features(ga: np.ndarray, gb: np.ndarray) -> dict:
     a, b = pa[good], pb[first[good]]
     if len(a) < 8:
         return none | {"good": len(a)}
-    rng = np.random.default_rng(5)
-    pick = np.stack((rng.integers(0, len(a), 1500), rng.integers(0, len(a), 1500)), axis=1)
-    models = _similarity(a[pick], b[pick])
-    p, q = a[:, 0] + 1j * a[:, 1], b[:, 0] + 1j * b[:, 1]
-    votes = (np.abs(models[:, :1] * p + models[:, 1:] - q) < f.ransac_px).sum(axis=1)
-    z, t = models[votes.argmax()]
-    for _ in range(3):
-        inside = np.abs(z * p + t - q) < f.ransac_px
-        if inside.sum() < 2:
-            break
-        z, t = _similarity(a[inside], b[inside])
-    inliers = int((np.abs(z * p + t - q) < f.ransac_px).sum())
-    m = np.array([[z.real, -z.imag, t.real], [z.imag, z.real, t.imag], [0, 0, 1]])
+    m, inliers = agreed_similarity(a, b, f.ransac_px)
+    if m is None:
+        m, inliers = agreed_homography(a, b, f.ransac_px)
+    if m is None:
+        return none | {"good": len(a)}
     coverage = coverage_of_transform(m, ga.shape[::-1], gb.shape[::-1])
     trusted = inliers >= f.min_inliers and coverage is not None
     return {"good": len(a), "inliers": inliers, "ratio": inliers / max(1, min(len(a), f.saturating_inliers)), "trusted": trusted, "transform": m, "coverage": coverage}
