@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A key with more rows than this on the large side is spread over SALTS tasks.
+#: A key with more rows than this on the large side may be spread over SALTS tasks.
 HOT_ROWS = 50_000
 SALTS = 32
+#: Keys spread at most: a key that isn't among the most frequent has less than 1 / MOST_HOT of all rows.
+MOST_HOT = 2_000
 
 
 def salted_join(
@@ -22,20 +24,14 @@ def salted_join(
 ) -> DataFrame:
     """Join ``rows`` with ``per_key`` (one row a key, ``weight`` = the key's rows) on ``key``.
 
-    Keys above ``hot_rows`` are replicated ``salts`` times on the small side and spread over
-    ``spread`` on the large one. The salt of a row is decided from a broadcast list of the hot
-    keys, of which there are at most rows / hot_rows (one in 50,000 rows). Null keys match nothing.
+    The MOST_HOT most frequent keys above ``hot_rows`` are replicated ``salts`` times on the small
+    side and spread over ``spread`` on the large one. Only their list is broadcast, so its size has a fixed
+    bound; the join itself is by merging, whatever the sizes. Null keys match nothing.
     """
-    hot = per_key.where(F.col(weight) > hot_rows).select(F.col(key), F.lit(True).alias("__hot"))
-    keyed = per_key.withColumn(
-        "__salt",
-        F.explode(
-            F.when(F.col(weight) > hot_rows, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-                F.array(F.lit(0))
-            )
-        ),
-    )
+    hot = per_key.where(F.col(weight) > hot_rows).orderBy(F.desc(weight), key).limit(MOST_HOT).select(F.col(key), F.lit(True).alias("__hot"))
+    salt = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    keyed = per_key.join(F.broadcast(hot), key, "left").withColumn("__salt", F.explode(salt)).drop("__hot")
     big = rows.join(F.broadcast(hot), key, "left").withColumn(
         "__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0)
     )
-    return big.drop("__hot").join(keyed, [key, "__salt"], how).drop("__salt")
+    return big.drop("__hot").join(keyed.hint("merge"), [key, "__salt"], how).drop("__salt")

@@ -2,6 +2,9 @@
 
 Iterative operators cut their lineage by writing a table there and reading it back: the
 result survives the loss of any executor, which a local checkpoint does not.
+
+What is written is removed as soon as an operator knows that nothing will read it again. What a result
+still reads stays until ``release`` is called, or until the driver's JVM ends.
 """
 
 from __future__ import annotations
@@ -11,18 +14,34 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LIVE: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one is set only where it is unset."""
+    """The folder named by ``spark.checkpoint.dir``. Where it is unset, a local master gets a folder of its
+    own; on a cluster that is an error, as executors would write to their own disks."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
-        path = "file://" + tempfile.mkdtemp(prefix="twinlens-")
-        spark.sparkContext.setCheckpointDir(path)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return path
+    if path:
+        return path
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="twinlens-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all that workspaces still hold; results made before can't be read afterwards."""
+    while _LIVE:
+        _delete(spark, _LIVE.pop())
 
 
 class Workspace:
@@ -34,6 +53,12 @@ class Workspace:
         self._n = 0
 
     def path(self, name: str) -> str:
+        if not self._n:
+            _LIVE.add(self.root)
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+            fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+            fs.mkdirs(p)
+            fs.deleteOnExit(p)
         self._n += 1
         return f"{self.root}/{name}-{self._n}"
 
@@ -45,10 +70,9 @@ class Workspace:
         out._twinlens_path = path
         return out
 
-    def drop(self, table: DataFrame | None) -> None:
-        """Delete a table written by ``save`` that nothing will read again."""
-        path = getattr(table, "_twinlens_path", None)
-        if path:
-            jvm = self.spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Delete tables written by ``save`` that nothing will read again."""
+        for table in tables:
+            path = getattr(table, "_twinlens_path", None)
+            if path:
+                _delete(self.spark, path)
