@@ -43,6 +43,36 @@ def test_all_near_pairs(spark):
     assert len(want) > 50 and got == want
 
 
+def test_large_bands_and_classes_in_cells(spark, monkeypatch):
+    monkeypatch.setattr(M.salted_join, "__defaults__", ("inner", 10, 4))
+    data = _candidates(7, 8)
+    data += [(f"d{i:03d}", *data[3][1:]) for i in range(40)] + [(f"e{i:03d}", *data[4][1:]) for i in range(9)]
+    want = brute(data)
+    assert len(want) > 40 * 39 / 2
+    assert rows(M.near_candidates(spark.createDataFrame(data, DDL), band_rows=3, member_rows=7)) == want
+
+
+def test_no_broadcast_of_what_grows(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        for df in (M.near_candidates(spark.createDataFrame(_candidates(2, 5), DDL)), M.candidate_classes(spark.createDataFrame(_candidates(2, 5), DDL))):
+            df.collect()
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan
+            # only lists of hot keys, limited in number, may be broadcast
+            assert plan.count("BroadcastHashJoin") == plan.count("BroadcastHashJoin [band") and "MapInArrow" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_signature_grows_with_the_collection():
+    assert M.signature_shape(20_000) == (64, 10)
+    (b1, v1), (b2, v2) = M.signature_shape(10**6), M.signature_shape(10**9)
+    assert v1 < v2 and b1 < b2
+    for bands, values in ((b1, v1), (b2, v2)):
+        assert (1 - (0.9 / 1.1) ** values) ** bands <= M.MISS
+
+
 def test_readings_and_defined_cases(spark):
     p = "00ff00ff00ff00ff"
     data = [
@@ -66,9 +96,8 @@ def test_signature_agrees_like_weighted_jaccard():
     r = np.random.default_rng(2)
     base = [int(x) for x in r.integers(0, 2**64, 4, dtype=np.uint64)]
     other = _noisy(r, base, 40)
-    bits = lambda v: ((np.array([v], dtype=np.uint64).T[:, None, :] >> np.arange(64, dtype=np.uint64)[None, :, None]) & np.uint64(1)).astype(np.uint8).reshape(256, -1)
-    a, b = bits(base), bits(other)
-    same = [M._first_present(o, a)[0] == M._first_present(o, b)[0] for pair in M._orders(1500) for o in pair]
+    a, b = (M._spread_bits(np.array([v], dtype=np.uint64)) for v in (base, other))
+    same = [M._first_present(o, a)[0] == M._first_present(o, b)[0] for order in M._orders(1500) for o in (order, order[::-1])]
     d = sum(w * (x ^ y).bit_count() for w, x, y in zip(M.WEIGHTS, base, other)) / 6400
     assert abs(np.mean(same) - (1 - d) / (1 + d)) < 0.03
 
