@@ -130,7 +130,7 @@ def _table(spark, v, backend="classical-descriptor"):
 @pytest.mark.parametrize("shard,relax", [(10_000, 1.0), (64, 1.0), (64, V.RELAX)])
 def test_neighbours_against_brute_force(spark, shard, relax):
     v = _vectors()
-    got = rows(V.neighbour_pairs(_table(spark, v), shard_rows=shard, relax=relax, leaf_rows=16, query_splits=2))
+    got = rows(V.neighbour_pairs(_table(spark, v), shard_rows=shard, relax=relax, leaf_rows=16))
     want = nearest(list(range(1, len(v) + 1)), v, 10, 0.8)
     if relax == 1:
         assert got == want
@@ -164,3 +164,27 @@ def test_ties_go_to_the_lesser_id(spark):
     v = np.tile(np.eye(1, 368, dtype=np.float32), (14, 1))
     got = V.nearest_neighbours(_table(spark, v))
     assert sorted(r["neighbour"] for r in got.where("id = 14").collect()) == list(range(1, 11))
+
+
+def test_many_equal_vectors_and_several_vectors_of_one_id(spark):
+    v = _vectors(9, 120)
+    v = np.concatenate((v, np.tile(v[:1], (200, 1))))
+    df = _table(spark, v)
+    got = rows(V.neighbour_pairs(df, shard_rows=40, relax=1.0, leaf_rows=8))
+    assert got == nearest(list(range(1, len(v) + 1)), v, 10, 0.8)
+    # another, greater vector of id 5 changes nothing; the same row again neither
+    again = spark.createDataFrame([(5, "classical-descriptor", [9.0] * 368, 0, "z")], DESC)
+    assert rows(V.neighbour_pairs(df.unionAll(again).unionAll(df.where("vec_id < 50")), shard_rows=40, relax=1.0)) == got
+
+
+def test_vectors_go_only_to_shards_they_may_reach():
+    r = np.random.default_rng(3)
+    centre = V._unit(r.normal(0, 1, (64, 368)))
+    v = V._unit(np.repeat(centre, 20, axis=0) + r.normal(0, 0.01, (1280, 368))).astype(np.float32)
+    lay = V.Layout({0: v[::20]}, 0.8, V.RELAX)
+    d = lay.distances(0, v)
+    home = d.argmin(axis=1)
+    lay.deal({(0, int(c)): int(n) for c, n in zip(*np.unique(home, return_counts=True))}, 40)
+    reached = lay.reached(d, d.min(axis=1))
+    assert lay.shards == 32 and reached.sum(axis=1).mean() < 1.5
+    assert reached[np.arange(len(v)), home].all()
