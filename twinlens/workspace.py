@@ -70,6 +70,16 @@ class Workspace:
         out._twinlens_path = path
         return out
 
+    def folders(self, path: str) -> list[str]:
+        """The folders directly below a path, such as those of a table's partitions."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return [str(f.getPath()) for f in fs.listStatus(p) if f.isDirectory()] if fs.exists(p) else []
+
+    def drop_paths(self, paths: list[str]) -> None:
+        for path in paths:
+            _delete(self.spark, path)
+
     def drop(self, *tables: DataFrame | None) -> None:
         """Delete tables written by ``save`` that nothing will read again."""
         for table in tables:
