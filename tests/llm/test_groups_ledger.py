@@ -128,3 +128,20 @@ def test_record_key_sets_formatting_aside(spark):
     df = spark.createDataFrame([("Ann  Lee", "x-1"), ("X 1", "ann lee!"), ("ann", "leex1"), (None, "x")], "a string, b string")
     k = [r[0] for r in df.select(ledger.record_key(F.col("a"), F.col("b"))).collect()]
     assert k[0] == k[1] and k[2] != k[0] and k[3] is not None
+
+
+def test_a_batch_touches_only_its_buckets(spark):
+    book = ledger.CopyLedger(spark, buckets=16)
+    first = spark.range(1, 400).select(F.col("id").alias("seq"), F.encode(F.concat(F.lit("k"), F.col("id") % 150), "utf-8").alias("key"))
+    book.update(first, F.col("seq"), F.col("key"))
+    before, members = dict(book._ledger), {k: list(v) for k, v in book._members.items()}
+    assert len(before) == 16
+    second = spark.createDataFrame([(1000, b"k7"), (7, b"k7"), (1000, b"k7")], "seq bigint, key binary")
+    book.update(second, F.col("seq"), F.col("key"))
+    changed = [b for b in before if book._ledger[b] != before[b]]
+    assert len(changed) == 1
+    # unchanged buckets keep their files, and old members are never written again
+    assert all(book.ws.folders(f.rsplit("/", 1)[0]) for f in before.values())
+    assert all(book._members[b][: len(v)] == v for b, v in members.items()) and sum(map(len, book._members.values())) == sum(map(len, members.values())) + 1
+    got = {r["first_seq"]: r["copies"] for r in book.representatives().collect()}
+    assert got[7] == 4 and len(got) == 150 and sum(got.values()) == 400

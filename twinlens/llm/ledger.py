@@ -1,10 +1,10 @@
 """Duplicates hidden by formatting differences, counted batch by batch (problem 2).
 
 A ledger keeps one row a canonical key: how many records have it and the earliest of them. It
-lies in buckets by key, and so does the list of records already counted, by record number. A new
-batch is reduced to its records not seen before, aggregated by key, and joined full outer with the
-ledger's buckets; counts are added and the earliest representative stays. A record delivered
-again, in the same or a later batch, changes nothing.
+lies in buckets by key, each a folder of its own, and so does the list of records already counted, by record
+number. A new batch is reduced to its records not seen before, aggregated by key, and joined full outer with the
+ledger's buckets that it meets; counts are added and the earliest representative stays. Only the buckets met are read
+and written again. A record delivered again, in the same or a later batch, changes nothing.
 
 The key is the 128-bit MD5 of the canonical text. The same key in a third of all records meets
 partial aggregation before the shuffle, and a salted join when copies are listed.
@@ -24,7 +24,10 @@ from twinlens.llm.urlkeys import with_canonical
 from twinlens.operators.skew import salted_join
 from twinlens.workspace import Workspace
 
-BUCKETS = 64
+#: Folders of the ledger and of the list of records; more of them make small batches touch less.
+BUCKETS = 32
+MEMBERS = "seq bigint, key binary"
+LEDGER = "key binary, copies bigint, first_seq bigint"
 
 
 def text_key(*parts: Column) -> Column:
@@ -48,47 +51,67 @@ def record_key(*cols: Column) -> Column:
 
 
 class CopyLedger:
-    """The state: ``ledger`` (bucket, key, copies, first_seq) and ``members`` (key, seq)."""
+    """The state: for each bucket its folder of ``ledger`` (key, copies, first_seq) and its folders of ``members``
+    (seq, key)."""
 
     def __init__(self, spark: SparkSession, buckets: int = BUCKETS):
-        self.ws = Workspace(spark, "ledger")
-        self.buckets = buckets
-        self.ledger: DataFrame | None = None
-        self.members: DataFrame | None = None
-        self._parts: list[DataFrame] = []
+        self.spark, self.ws, self.buckets = spark, Workspace(spark, "ledger"), buckets
+        self._ledger: dict[int, str] = {}
+        self._members: dict[int, list[str]] = {}
+
+    def _bucket(self, c: str) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(self.buckets)).cast("int")
+
+    def _write(self, df: DataFrame, name: str) -> dict[int, str]:
+        """Write a table partitioned by its ``bucket``; the folders by bucket."""
+        path = self.ws.path(name)
+        df.write.partitionBy("bucket").parquet(path)
+        return {int(f.rsplit("=", 1)[1]): f for f in self.ws.folders(path) if "bucket=" in f}
+
+    def _read(self, paths: list[str], schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    @property
+    def ledger(self) -> DataFrame:
+        return self._read(list(self._ledger.values()), LEDGER)
+
+    @property
+    def members(self) -> DataFrame:
+        return self._read([f for folders in self._members.values() for f in folders], MEMBERS)
 
     def update(self, batch: DataFrame, seq: Column, key: Column) -> CopyLedger:
         """Count a batch; ``batch`` may hold any columns."""
         rows = (
             batch.select(seq.cast("bigint").alias("seq"), key.alias("key"))
             .where(F.col("seq").isNotNull())
-            .groupBy("seq")
+            .withColumn("bucket", self._bucket("seq"))
+            .repartition("bucket")
+            .groupBy("bucket", "seq")
             .agg(F.min("key").alias("key"))
             .where(F.col("key").isNotNull())  # above the aggregate: below, it would copy the key's expression
         )
-        if self.members is not None:
-            rows = rows.join(self.members.select("seq"), "seq", "left_anti")
-        rows = self.ws.save(rows, "members")
-        self._parts.append(rows)
-        self.members = rows if self.members is None else self.members.unionByName(rows)
-        fresh = (
-            rows.groupBy("key")
-            .agg(F.count("*").alias("copies"), F.min("seq").alias("first_seq"))
-            .withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int"))
-        )
-        old = self.ledger
-        if old is None:
-            self.ledger = self.ws.save(fresh.select("bucket", "key", "copies", "first_seq"), "ledger")
-            return self
-        a, b = old.alias("a"), fresh.alias("b")
-        merged = a.join(b, ["bucket", "key"], "full_outer").select(
-            "bucket",
+        new = self._write(rows, "batch")
+        before = [f for b in new for f in self._members.get(b, [])]
+        if before:
+            got = self._read(list(new.values()), MEMBERS).withColumn("bucket", self._bucket("seq"))
+            seen = self._read(before, MEMBERS).select("seq").withColumn("bucket", self._bucket("seq"))
+            batch_folders = list(new.values())
+            new = self._write(got.repartition("bucket").join(seen.repartition("bucket").hint("merge"), ["bucket", "seq"], "left_anti"), "new")
+            self.ws.drop_paths(batch_folders)
+        for b, folder in new.items():
+            self._members.setdefault(b, []).append(folder)
+        rows = self._read(list(new.values()), MEMBERS)
+        met = [r[0] for r in rows.select(self._bucket("key")).distinct().collect()]
+        fresh = rows.groupBy("key").agg(F.count("*").alias("copies"), F.min("seq").alias("first_seq"))
+        a, b = self._read([self._ledger[k] for k in met if k in self._ledger], LEDGER).alias("a"), fresh.alias("b")
+        merged = a.join(b.hint("merge"), "key", "full_outer").select(
             "key",
             (F.coalesce("a.copies", F.lit(0)) + F.coalesce("b.copies", F.lit(0))).alias("copies"),
             F.least("a.first_seq", "b.first_seq").alias("first_seq"),
         )
-        self.ledger = self.ws.save(merged, "ledger")
-        self.ws.drop(old)
+        written = self._write(merged.withColumn("bucket", self._bucket("key")).repartition("bucket"), "ledger")
+        self.ws.drop_paths([self._ledger[k] for k in written if k in self._ledger])
+        self._ledger |= written
         return self
 
     def copies(self) -> DataFrame:
@@ -101,23 +124,24 @@ class CopyLedger:
         return self.ledger.select("first_seq", "copies")
 
 
-def batches_by_time(df: DataFrame, time_col: str, n: int) -> list[DataFrame]:
-    """``n`` batches of equal spans of time, in order; rows without a time come last."""
-    lo, hi = df.agg(F.min(time_col), F.max(time_col)).first()
+def batch_number(df: DataFrame, time_col: str, n: int) -> Column:
+    """Which of ``n`` equal spans of time a row falls into, from 0; rows without a time are in the last."""
+    t = F.unix_micros(F.col(time_col).cast("timestamp"))
+    lo, hi = df.agg(F.min(t), F.max(t)).first()
     if lo is None or lo == hi:
-        return [df]
-    edges = [lo + (hi - lo) * i / n for i in range(1, n)]
-    t = F.col(time_col)
-    out = [df.where(t < F.lit(edges[0]).cast(df.schema[time_col].dataType))]
-    for a, b in zip(edges, edges[1:]):
-        out.append(df.where((t >= F.lit(a).cast(df.schema[time_col].dataType)) & (t < F.lit(b).cast(df.schema[time_col].dataType))))
-    out.append(df.where((t >= F.lit(edges[-1]).cast(df.schema[time_col].dataType)) | t.isNull()))
-    return out
+        return F.lit(0)
+    step = (hi - lo) / n
+    return F.coalesce(F.least(F.floor((t - lo) / step), F.lit(n - 1)), F.lit(n - 1)).cast("int")
 
 
 def hit_ledger(hits: DataFrame, batches: int = 3) -> CopyLedger:
-    """A ledger of hits, brought up to date delivery by delivery in the order of loaded_at."""
+    """A ledger of hits, brought up to date delivery by delivery in the order of loaded_at. The keys are made in one
+    pass over the hits, which are laid out by batch."""
     book = CopyLedger(hits.sparkSession)
-    for b in batches_by_time(hits.select("seq", "url", "page_url", "loaded_at"), "loaded_at", batches):
-        book.update(address_pairs(b), F.col("seq"), F.col("key"))
+    keyed = address_pairs(hits.select("seq", "url", "page_url", "loaded_at"))
+    path = book.ws.path("deliveries")
+    keyed.select("seq", "key", batch_number(hits, "loaded_at", batches).alias("batch")).write.partitionBy("batch").parquet(path)
+    for folder in sorted(f for f in book.ws.folders(path) if "batch=" in f):
+        book.update(book._read([folder], MEMBERS), F.col("seq"), F.col("key"))
+    book.ws.drop_paths([path])
     return book
