@@ -38,7 +38,7 @@ def p2_copies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    # written whole: of a mere projection Catalyst would prune the judging of values
+    # written whole: of a mere projection Catalyst would prune the values of pages and labels
     return Workspace(spark, "p3").save(p3_records(spark, d), "records").select("card_key", "representative_cid", "url_cid")
 
 
@@ -48,6 +48,12 @@ def p3_records(spark: SparkSession, d: str) -> DataFrame:
     return surviving_records(table(spark, d, "cards"), table(spark, d, "candidates"))
 
 
+def p3_values(spark: SparkSession, d: str) -> DataFrame:
+    from twinlens.llm.survivor import Survivors
+
+    return Survivors(table(spark, d, "cards"), table(spark, d, "candidates")).true_values()
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     from twinlens.llm.groups import candidate_groups
 
@@ -99,6 +105,7 @@ QUERIES: dict[str, Query] = {
     "p2_copies": p2_copies,
     "p3_found": p3_found,
     "p3_records": p3_records,
+    "p3_values": p3_values,
     "p4_found": p4_found,
     "p4_groups": p4_groups,
     "p5_found": p5_found,
@@ -122,13 +129,44 @@ _RANKED = """
 members AS (SELECT DISTINCT card_key, unnest(member_cids) AS cid FROM cards),
 counted AS (SELECT card_key, count(*) AS n FROM members WHERE cid IS NOT NULL GROUP BY card_key),
 ranked AS (
-  SELECT m.card_key, c.cid, c.url, row_number() OVER (PARTITION BY m.card_key, c.url IS NOT NULL AND c.url <> '' ORDER BY o) AS rank_url,
+  SELECT m.card_key, c.cid, c.url, c.width, c.height, row_number() OVER (PARTITION BY m.card_key, c.url IS NOT NULL AND c.url <> '' ORDER BY o) AS rank_url,
     row_number() OVER (PARTITION BY m.card_key ORDER BY o) AS rank
   FROM members m JOIN counted n ON n.card_key = m.card_key AND n.n >= 2
   JOIN (SELECT *, (-(CAST(width AS BIGINT) * height), coalesce(-epoch_us(fetched_at), 9223372036854775807), cid) AS o FROM candidates) c
     ON c.cid = m.cid AND c.error IS NULL AND c.width > 0 AND c.height > 0)
 """
 
+def _em_sql(rounds: int) -> str:
+    """The latent truth model, a pair of tables a round."""
+    from twinlens.llm import survivor as S
+
+    (sa, sb), (fa, fb), (ta, tb) = S.PRIOR_SENSITIVITY, S.PRIOR_FALSE_POSITIVE, S.PRIOR_TRUTH
+    out = """
+usable AS (SELECT DISTINCT m.card_key, c.* FROM (SELECT DISTINCT card_key, unnest(member_cids) AS cid FROM cards WHERE card_key IS NOT NULL) m
+  JOIN candidates c ON c.cid = m.cid AND c.error IS NULL AND c.width > 0 AND c.height > 0),
+stated AS (SELECT DISTINCT card_key, engine, unnest(['page_url', 'engine_label']) AS field, unnest([page_url, engine_label]) AS value FROM usable WHERE engine IS NOT NULL),
+valued AS (SELECT card_key, field, value, list_sort(list(DISTINCT engine)) AS states FROM stated WHERE value <> '' GROUP BY ALL),
+known AS (SELECT card_key, list_sort(list(DISTINCT engine)) AS knows FROM stated GROUP BY card_key),
+claims AS (SELECT card_key, field, value, knows, states FROM valued JOIN known USING (card_key)),
+patterns AS MATERIALIZED (SELECT field, knows, states, count(*) AS n FROM claims GROUP BY ALL),
+each_source AS MATERIALIZED (SELECT field, knows, states, n, source, list_contains(states, source)::INT AS s FROM (SELECT *, unnest(knows) AS source FROM patterns)),
+"""
+    out += f"q0 AS (SELECT DISTINCT field, source, {S.START['sensitivity']}::DOUBLE AS a, {S.START['false_positive']}::DOUBLE AS b, {S.START['truth']}::DOUBLE AS truth FROM each_source)"
+    for r in range(1, rounds + 1):
+        out += f""",
+p{r} AS MATERIALIZED (SELECT e.field, knows, states, any_value(n) AS n,
+  1 / (1 + exp(-(ln(any_value(truth) / (1 - any_value(truth))) + sum(CASE s WHEN 1 THEN ln(a / b) ELSE ln((1 - a) / (1 - b)) END)))) AS p
+  FROM each_source e JOIN q{r - 1} q ON q.field = e.field AND q.source = e.source GROUP BY e.field, knows, states),
+t{r} AS (SELECT field, (sum(n * p) + {ta}) / (sum(n) + {ta + tb}) AS truth FROM p{r} GROUP BY field),
+q{r} AS MATERIALIZED (SELECT e.field, source, (sum(e.n * p * s) + {sa}) / (sum(e.n * p) + {sa + sb}) AS a, (sum(e.n * (1 - p) * s) + {fa}) / (sum(e.n * (1 - p)) + {fa + fb}) AS b, any_value(t.truth) AS truth
+  FROM each_source e JOIN p{r} USING (field, knows, states) JOIN t{r} t ON t.field = e.field GROUP BY e.field, source)"""
+    return out + f""",
+judged AS (SELECT e.field, knows, states, 1 / (1 + exp(-(ln(any_value(truth) / (1 - any_value(truth))) + sum(CASE s WHEN 1 THEN ln(a / b) ELSE ln((1 - a) / (1 - b)) END)))) AS p
+  FROM each_source e JOIN q{rounds} q ON q.field = e.field AND q.source = e.source GROUP BY e.field, knows, states),
+true_values AS (SELECT card_key, field, value FROM claims JOIN judged USING (field, knows, states) WHERE p >= 0.5)
+"""
+
+
 _NEIGHBOURS = """
 good AS (SELECT vec_id, backend, list_transform(vector, lambda x: CAST(x AS DOUBLE)) AS v FROM descriptors
   WHERE len(vector) = CASE backend WHEN 'classical-descriptor' THEN 368 WHEN 'clip:ViT-B-32' THEN 512 END
@@ -186,6 +224,12 @@ SQL: dict[str, str] = {
         GROUP BY x.class_cid, x.records""",
     "p3_found": f"""WITH {_RANKED} SELECT r.card_key, r.cid AS representative_cid, coalesce(u.cid, '') AS url_cid FROM ranked r
         LEFT JOIN ranked u ON u.card_key = r.card_key AND u.rank_url = 1 AND u.url <> '' WHERE r.rank = 1""",
+    "p3_records": f"""WITH {_RANKED}, {_em_sql(10)}, v AS (SELECT card_key, count(*) FILTER (field = 'page_url') AS pages, min(value) FILTER (field = 'page_url') AS first_page,
+        count(*) FILTER (field = 'engine_label') AS labels, min(value) FILTER (field = 'engine_label') AS first_label FROM true_values GROUP BY card_key)
+        SELECT r.card_key, r.cid AS representative_cid, r.width AS best_width, r.height AS best_height, coalesce(u.cid, '') AS url_cid, u.url AS best_url, n.n AS members,
+        coalesce(pages, 0) AS pages, first_page, coalesce(labels, 0) AS labels, first_label FROM ranked r JOIN counted n ON n.card_key = r.card_key
+        LEFT JOIN ranked u ON u.card_key = r.card_key AND u.rank_url = 1 AND u.url <> '' LEFT JOIN v ON v.card_key = r.card_key WHERE r.rank = 1""",
+    "p3_values": f"WITH {_em_sql(10)} SELECT card_key, field, value FROM true_values",
     "p5_found": f"WITH {_NEIGHBOURS} SELECT DISTINCT least(a, b) AS vec_id_a, greatest(a, b) AS vec_id_b FROM top WHERE r <= 10",
     "p2_found": f"WITH {_COPIES} SELECT first_seq, seq FROM first_of WHERE seq > first_seq",
     "p2_copies": f"WITH {_COPIES} SELECT first_seq, count(*) AS copies FROM first_of GROUP BY first_seq",
