@@ -1,55 +1,73 @@
 """Connected components for cards and clusters.
 
-Alternates two rewrites of the edge list until it no longer changes: every vertex hands its
-greater neighbours to its least neighbour, then its lesser ones. Both keep the components and
-shrink the graph to stars around the least vertex, in a number of rounds logarithmic in its size.
-Each round is a grouped minimum with partial aggregation, so a vertex with very many edges is met by
-a salted join. Rounds are written to the shared folder.
+Every vertex that has a lesser neighbour takes the least of them as its label; the chains of labels are shortened by
+pointer jumping until each ends at a root; the edges are renamed to the roots of their ends, and those within one tree
+are dropped. Each round at least halves the vertices that still have edges, so rounds are logarithmic in
+their number, and long chains cost jumps, logarithmic too. All labels are put together at the end, from the last round back,
+so that a round handles only what still moves. Labels of very many vertices are met by a salted join.
+Everything a round makes is written to the shared folder.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinlens.operators.skew import salted_join
 from twinlens.workspace import Workspace
 
 
-def _with_least(directed: DataFrame) -> DataFrame:
-    """Directed edges u, v with m, the least of u and its neighbours."""
-    least = directed.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n"))
-    return salted_join(directed, least, "u", "n", F.col("v"))
+def undirected(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """Different edges (x, y) with x > y; null ends and loops are left out."""
+    ends = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+    return ends.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).distinct()
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+def relabel(rows: DataFrame, col: str, to: DataFrame, spread: Column) -> DataFrame:
+    """``rows`` with each value of ``col`` replaced by its label in ``to`` (v, label), if it has one."""
+    n = rows.groupBy(col).agg(F.count("*").alias("__n"))
+    up = to.select(F.col("v").alias(col), F.col("label").alias("__up"))
+    named = salted_join(rows, n.join(up.hint("merge"), col, "left"), col, "__n", spread, weights=n)
+    return named.withColumn(col, F.coalesce("__up", col)).select(*rows.columns)
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    linked = _with_least(down)
-    children = linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    own = linked.select("u", F.col("m").alias("v"))
-    return children.unionAll(own).where("u <> v").distinct()
+def jump(ws: Workspace, to: DataFrame) -> DataFrame:
+    """Shorten chains of labels until no label changes: each then is a root."""
+    while True:
+        far = relabel(to.select("v", "label", F.col("label").alias("was")), "label", to, F.col("v"))
+        now = ws.save(far.select("v", "label", (F.col("label") != F.col("was")).alias("moved")), "labels")
+        ws.drop(to)
+        to = now
+        if now.where("moved").isEmpty():
+            return now
+
+
+def contract(edges: DataFrame, to: DataFrame) -> DataFrame:
+    """The edges between the labels of their ends."""
+    named = relabel(relabel(edges, "x", to, F.col("y")), "y", to, F.col("x"))
+    return undirected(named, "x", "y")
+
+
+def put_together(ws: Workspace, rounds: list[DataFrame]) -> DataFrame | None:
+    """(v, label) of all rounds, each label followed through the later ones."""
+    out = None
+    for to in reversed(rounds):
+        own = to.select("v", "label")
+        out = own if out is None else ws.save(relabel(own, "label", out, F.col("v")).unionByName(out), "labels")
+    return out
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the least node reachable; nodes without an edge are not in the result."""
     ws = Workspace(edges.sparkSession, "components")
-    pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v").distinct()
-    now, before = ws.save(pairs, "edges"), None
-    while True:
-        half = ws.save(_large_star(now), "half")
-        nxt = ws.save(_small_star(half), "edges")
-        mark = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        ws.drop(now)
-        ws.drop(half)
-        now = nxt
-        if mark == before:
-            break
-        before = mark
-    leaves = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return leaves.unionByName(roots)
+    live, rounds = ws.save(undirected(edges, a, b), "edges"), []
+    while not live.isEmpty():
+        least = ws.save(live.groupBy(F.col("x").alias("v")).agg(F.min("y").alias("label")), "labels")
+        rounds.append(jump(ws, least))
+        before, live = live, ws.save(contract(live, rounds[-1]), "edges")
+        ws.drop(before)
+    labels = put_together(ws, rounds)
+    if labels is None:
+        return live.select(F.col("x").alias("node"), F.col("y").alias("component"))
+    roots = labels.select(F.col("label").alias("v"), "label").distinct()
+    return labels.unionByName(roots).select(F.col("v").alias("node"), F.col("label").alias("component"))

@@ -21,14 +21,16 @@ def salted_join(
     how: str = "inner",
     hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
+    weights: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``rows`` with ``per_key`` (one row a key, ``weight`` = the key's rows) on ``key``.
 
     The MOST_HOT most frequent keys above ``hot_rows`` are replicated ``salts`` times on the small
     side and spread over ``spread`` on the large one. Only their list is broadcast, so its size has a fixed
-    bound; the join itself is by merging, whatever the sizes. Null keys match nothing.
+    bound; the join itself is by merging, whatever the sizes. ``weights`` (key and weight) may be given where it takes
+    less to make than ``per_key``. Null keys match nothing.
     """
-    hot = per_key.where(F.col(weight) > hot_rows).orderBy(F.desc(weight), key).limit(MOST_HOT).select(F.col(key), F.lit(True).alias("__hot"))
+    hot = (per_key if weights is None else weights).where(F.col(weight) > hot_rows).orderBy(F.desc(weight), key).limit(MOST_HOT).select(F.col(key), F.lit(True).alias("__hot"))
     salt = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     keyed = per_key.join(F.broadcast(hot), key, "left").withColumn("__salt", F.explode(salt)).drop("__hot")
     big = rows.join(F.broadcast(hot), key, "left").withColumn(
