@@ -42,6 +42,18 @@ def test_groups_against_union_find(spark, kind):
     assert got == union_find([p for p in pairs if p[0] != p[1]])
 
 
+def test_half_of_all_rows_in_one_group(spark, monkeypatch):
+    from twinlens.operators import components
+
+    monkeypatch.setattr(components.salted_join, "__defaults__", ("inner", 20, 8, None))
+    r = random.Random(8)
+    name = [f"c{i:04d}" for i in range(600)]
+    pairs = [(name[300], x) for x in r.sample(name, 300)] + [(r.choice(name), r.choice(name)) for _ in range(120)] + list(zip(name[400:], name[401:]))
+    r.shuffle(pairs)
+    got = rows(groups.group_records(spark.createDataFrame(pairs, "a string, b string")), "member", "group")
+    assert got == union_find([p for p in pairs if p[0] != p[1]])
+
+
 def test_groups_defined_cases(spark):
     edges = spark.createDataFrame([("b", "a", 1), ("a", "b", 2), ("c", None, 3), ("d", "d", 4), (None, None, 5)], "a string, b string, label int")
     assert rows(groups.group_records(edges), "member", "group") == [("a", "a"), ("b", "a")]
@@ -118,7 +130,7 @@ def test_ledger_counts_once_across_batches(spark):
 
 
 def test_ledger_hot_key(spark, monkeypatch):
-    monkeypatch.setattr(ledger.salted_join, "__defaults__", ("inner", 10, 4))
+    monkeypatch.setattr(ledger.salted_join, "__defaults__", ("inner", 10, 4, None))
     data = spark.range(1, 200).select(F.col("id").alias("seq"), F.when(F.col("id") % 3 == 0, "https://a.b/hot").otherwise(F.concat(F.lit("https://a.b/"), "id")).alias("url"), F.lit(None).cast("string").alias("page_url"), F.current_timestamp().alias("loaded_at"))
     got = rows(ledger.hit_ledger(data).copies())
     assert got == [(3, s) for s in range(6, 200, 3)]

@@ -44,7 +44,7 @@ def test_all_near_pairs(spark):
 
 
 def test_large_bands_and_classes_in_cells(spark, monkeypatch):
-    monkeypatch.setattr(M.salted_join, "__defaults__", ("inner", 10, 4))
+    monkeypatch.setattr(M.salted_join, "__defaults__", ("inner", 10, 4, None))
     data = _candidates(7, 8)
     data += [(f"d{i:03d}", *data[3][1:]) for i in range(40)] + [(f"e{i:03d}", *data[4][1:]) for i in range(9)]
     want = brute(data)

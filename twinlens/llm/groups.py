@@ -1,10 +1,11 @@
 """Consolidating pairwise matches into groups (problem 4).
 
-Minimum labels are propagated across the edges: each round every label takes the least label among
-itself and its neighbours, chains of labels are shortened by pointer jumping, and edges are renamed to the
-labels of their ends, dropping those whose ends agree. Both tables are written to the shared folder
-each round. When no edge is left no label changes any more, and each record's label is the least
-identifier of its group. As edges shrink to edges between labels, long chains take few rounds.
+Minimum labels are propagated across the edges: each round every record takes the least label among
+its neighbours, chains of labels are shortened by pointer jumping until no label changes, and edges are renamed to the
+labels of their ends, dropping those whose ends agree. Labels and edges are written to the shared folder each
+time. When no edge is left, the labels of all rounds are put together, from the last one back, and each record's label is the
+least identifier of its group. Rounds and jumps are logarithmic in the records; labels that very many records share
+are met by salted joins.
 
 Defined cases: an edge with a null end links nothing; an edge from a record to itself or
 given again changes nothing; a list links all its members (null members are left out), and one
@@ -16,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from twinlens.operators.components import contract, jump, put_together, undirected
 from twinlens.workspace import Workspace
 
 
@@ -29,53 +31,17 @@ def list_edges(df: DataFrame, members: str) -> DataFrame:
     )
 
 
-def _jump(to: DataFrame) -> DataFrame:
-    """v -> label of its label."""
-    up = to.select(F.col("v").alias("label"), F.col("label").alias("up"))
-    return to.join(up, "label", "left").select("v", F.coalesce("up", "label").alias("label"))
-
-
 def group_records(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(member, group): every record named by an edge with the least identifier of its group."""
     ws = Workspace(edges.sparkSession, "groups")
-    # the greater end first: each label looks for lesser ones
-    live = ws.save(
-        edges.select(F.greatest(a, b).alias("x"), F.least(a, b).alias("y"), F.col(a).alias("__a"), F.col(b).alias("__b"))
-        .where("__a is not null and __b is not null and x <> y")
-        .select("x", "y")
-        .distinct(),
-        "edges",
-    )
-    labels: DataFrame | None = None
+    live, rounds = ws.save(undirected(edges, a, b), "edges"), []
     while not live.isEmpty():
-        # propagate: the least neighbour of every label that has a lesser one
-        to = ws.save(live.groupBy(F.col("x").alias("v")).agg(F.min("y").alias("label")), "labels")
-        # pointer jumping halves the chains twice a round
-        for _ in range(2):
-            done, to = to, ws.save(_jump(to), "jumped")
-            ws.drop(done)
-        cx = to.select(F.col("v").alias("x"), F.col("label").alias("lx"))
-        cy = to.select(F.col("v").alias("y"), F.col("label").alias("ly"))
-        renamed = (
-            live.join(cx, "x", "left")
-            .join(cy, "y", "left")
-            .select(F.coalesce("lx", "x").alias("p"), F.coalesce("ly", "y").alias("q"))
-            .where("p <> q")
-            .select(F.greatest("p", "q").alias("x"), F.least("p", "q").alias("y"))
-            .distinct()
-        )
-        done, live = live, ws.save(renamed, "edges")
-        ws.drop(done)
-        if labels is None:
-            labels = to
-        else:
-            # earlier labels follow the new ones; records relabelled for the first time join them
-            step = to.select(F.col("v").alias("label"), F.col("label").alias("up"))
-            moved = labels.join(step, "label", "left").select("v", F.coalesce("up", "label").alias("label"))
-            first = to.join(labels.select("v"), "v", "left_anti")
-            done, labels = labels, ws.save(moved.unionByName(first), "labels")
-            ws.drop(done)
-            ws.drop(to)
+        # propagate: the least neighbour of every record that has a lesser one, then the root of its chain
+        least = ws.save(live.groupBy(F.col("x").alias("v")).agg(F.min("y").alias("label")), "labels")
+        rounds.append(jump(ws, least))
+        before, live = live, ws.save(contract(live, rounds[-1]), "edges")
+        ws.drop(before)
+    labels = put_together(ws, rounds)
     if labels is None:
         return live.select(F.col("x").alias("member"), F.col("y").alias("group"))
     roots = labels.select(F.col("label").alias("v"), "label").distinct()
