@@ -17,24 +17,31 @@ from twinlens.operators.skew import salted_join
 from twinlens.workspace import Workspace
 
 
+#: A label of more rows than this, narrow as they are, is spread over tasks; a table of fewer rows has none.
+HOT_LABELS = 1_000_000
+
+
 def undirected(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Different edges (x, y) with x > y; null ends and loops are left out."""
     ends = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     return ends.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).distinct()
 
 
-def relabel(rows: DataFrame, col: str, to: DataFrame, spread: Column) -> DataFrame:
-    """``rows`` with each value of ``col`` replaced by its label in ``to`` (v, label), if it has one."""
-    n = rows.groupBy(col).agg(F.count("*").alias("__n"))
+def relabel(rows: DataFrame, col: str, to: DataFrame, spread: Column, size: int) -> DataFrame:
+    """``rows``, at most ``size``, with each value of ``col`` replaced by its label in ``to`` (v, label), if it has one."""
     up = to.select(F.col("v").alias(col), F.col("label").alias("__up"))
-    named = salted_join(rows, n.join(up.hint("merge"), col, "left"), col, "__n", spread, weights=n)
+    if size <= HOT_LABELS:
+        named = rows.join(up.hint("merge"), col, "left")
+    else:
+        n = rows.groupBy(col).agg(F.count("*").alias("__n"))
+        named = salted_join(rows, n.join(up.hint("merge"), col, "left"), col, "__n", spread, hot_rows=HOT_LABELS, weights=n)
     return named.withColumn(col, F.coalesce("__up", col)).select(*rows.columns)
 
 
-def jump(ws: Workspace, to: DataFrame) -> DataFrame:
+def jump(ws: Workspace, to: DataFrame, size: int) -> DataFrame:
     """Shorten chains of labels until no label changes: each then is a root."""
     while True:
-        far = relabel(to.select("v", "label", F.col("label").alias("was")), "label", to, F.col("v"))
+        far = relabel(to.select("v", "label", F.col("label").alias("was")), "label", to, F.col("v"), size)
         now = ws.save(far.select("v", "label", (F.col("label") != F.col("was")).alias("moved")), "labels")
         ws.drop(to)
         to = now
@@ -42,18 +49,18 @@ def jump(ws: Workspace, to: DataFrame) -> DataFrame:
             return now
 
 
-def contract(edges: DataFrame, to: DataFrame) -> DataFrame:
+def contract(edges: DataFrame, to: DataFrame, size: int) -> DataFrame:
     """The edges between the labels of their ends."""
-    named = relabel(relabel(edges, "x", to, F.col("y")), "y", to, F.col("x"))
+    named = relabel(relabel(edges, "x", to, F.col("y"), size), "y", to, F.col("x"), size)
     return undirected(named, "x", "y")
 
 
-def put_together(ws: Workspace, rounds: list[DataFrame]) -> DataFrame | None:
+def put_together(ws: Workspace, rounds: list[DataFrame], size: int) -> DataFrame | None:
     """(v, label) of all rounds, each label followed through the later ones."""
     out = None
     for to in reversed(rounds):
         own = to.select("v", "label")
-        out = own if out is None else ws.save(relabel(own, "label", out, F.col("v")).unionByName(out), "labels")
+        out = own if out is None else ws.save(relabel(own, "label", out, F.col("v"), size).unionByName(out), "labels")
     return out
 
 
@@ -61,12 +68,14 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the least node reachable; nodes without an edge are not in the result."""
     ws = Workspace(edges.sparkSession, "components")
     live, rounds = ws.save(undirected(edges, a, b), "edges"), []
-    while not live.isEmpty():
+    edges_left = most = live.count()
+    while edges_left:
         least = ws.save(live.groupBy(F.col("x").alias("v")).agg(F.min("y").alias("label")), "labels")
-        rounds.append(jump(ws, least))
-        before, live = live, ws.save(contract(live, rounds[-1]), "edges")
+        rounds.append(jump(ws, least, edges_left))
+        before, live = live, ws.save(contract(live, rounds[-1], edges_left), "edges")
         ws.drop(before)
-    labels = put_together(ws, rounds)
+        edges_left = live.count()
+    labels = put_together(ws, rounds, most)
     if labels is None:
         return live.select(F.col("x").alias("node"), F.col("y").alias("component"))
     roots = labels.select(F.col("label").alias("v"), "label").distinct()
