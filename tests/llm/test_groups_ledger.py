@@ -45,7 +45,7 @@ def test_groups_against_union_find(spark, kind):
 def test_half_of_all_rows_in_one_group(spark, monkeypatch):
     from twinlens.operators import components
 
-    monkeypatch.setattr(components.salted_join, "__defaults__", ("inner", 20, 8, None))
+    monkeypatch.setattr(components, "HOT_LABELS", 20)
     r = random.Random(8)
     name = [f"c{i:04d}" for i in range(600)]
     pairs = [(name[300], x) for x in r.sample(name, 300)] + [(r.choice(name), r.choice(name)) for _ in range(120)] + list(zip(name[400:], name[401:]))
