@@ -113,3 +113,21 @@ def test_engines(spark):
     assert sel([]) == ["a", "c"] and sel(["c", "zz"]) == ["c"] and sel(["b"]) == ["a", "c"]
     hits = spark.createDataFrame([("a",), ("a",)], "engine string")
     assert rows(report.engine_outcomes(hits, e), "engine", "count") == [("a", 2), ("b", 0), ("c", 0)]
+
+
+def test_ranks_of_a_hot_group(spark):
+    from twinlens.operators.ranking import spread_rank
+
+    r = random.Random(2)
+    data = [("hot" if i % 2 else r.choice(["a", "b", None]), round(r.random(), 2), i, r.random() < 0.3) for i in range(600)]
+    df = spark.createDataFrame(data, "g string, score double, i int, flag boolean")
+    out = spread_rank(df, ["g"], -F.floor(F.col("score") * 50), [F.desc("score"), F.col("i")], "rank", {"flags": F.col("flag").cast("int")})
+    got = {x["i"]: (x["rank"], x["flags"], x["total_flags"]) for x in out.collect()}
+    want = {}
+    for g in ("hot", "a", "b", None):
+        n = 0
+        own = sorted((x for x in data if x[0] == g), key=lambda x: (-x[1], x[2]))
+        for k, x in enumerate(own):
+            n += x[3]
+            want[x[2]] = (k + 1, n, sum(y[3] for y in own))
+    assert got == want

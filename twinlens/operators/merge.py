@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from twinlens.config import CLASSIFIER, PIXEL
 from twinlens.operators.components import connected_components
+from twinlens.operators.skew import salted_join
 
 BAND = 0.05
 
@@ -47,6 +48,12 @@ def representative(df: DataFrame, cluster: list[str], order: str) -> DataFrame:
     return df.groupBy(*cluster).agg(F.min_by(F.struct("cid", "url", "width", "height"), best).alias("__r"), F.count("*").alias("members")).select(*cluster, "__r.*", "members")
 
 
+def same_bytes(own: DataFrame, members: DataFrame, sha: str, spread: Column) -> DataFrame:
+    """``own`` joined with all ``members`` of equal bytes; bytes that very many members share are spread over tasks."""
+    n = members.groupBy(sha).agg(F.count("*").alias("__n"))
+    return salted_join(members, own.join(n.hint("merge"), sha), sha, "__n", spread, weights=n).drop("__n")
+
+
 def ordered_distinct(value: str, order: str) -> Column:
     """Distinct non-empty values by first appearance, as an aggregate."""
     pairs = F.collect_list(F.when(F.col(value).isNotNull() & (F.col(value) != ""), F.struct(F.col(order), F.col(value))))

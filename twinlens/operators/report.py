@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinlens.config import UNKNOWN_RANK
+from twinlens.operators.ranking import spread_rank
 
 
 def card_counts(cards: DataFrame) -> DataFrame:
@@ -22,11 +23,25 @@ def card_counts(cards: DataFrame) -> DataFrame:
     )
 
 
-def final_order(cards: DataFrame, labels: DataFrame) -> list[Column]:
+def final_order() -> list[Column]:
     """Sort columns for cards joined to the label dimension."""
     return [F.coalesce("group_rank", F.lit(UNKNOWN_RANK)), F.desc("confidence"), F.col("card_key")]
 
 
+def report_positions(cards: DataFrame, run: str) -> DataFrame:
+    """Adds ``position``: the place of each card in the report of its run. Confidence is a number up to 100."""
+    step = F.coalesce("group_rank", F.lit(UNKNOWN_RANK)) * 1000 - F.floor(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.coalesce("confidence", F.lit(0.0)))) * 9)
+    return spread_rank(cards, [run], step, final_order(), "position")
+
+
+def cards_by_group(cards: DataFrame, labels: DataFrame) -> DataFrame:
+    """Each group's title with the cards it lists, a row a card: group, its rank and title, the place within the group."""
+    dim = labels.select("group_name", "group_rank", "title").distinct()
+    named = cards.drop("group_rank", "title").join(F.broadcast(dim), "group_name", "left").withColumn("group_rank", F.coalesce("group_rank", F.lit(UNKNOWN_RANK)))
+    step = -F.floor(F.coalesce("confidence", F.lit(0.0)) * 9)
+    return spread_rank(named, ["run_id", "group_name"], step, [F.desc("confidence"), F.col("card_key")], "place")
+
+
 def report_groups(cards: DataFrame, labels: DataFrame) -> DataFrame:
     """Group, title and number of cards, in report order; groups without cards don't appear."""
     dim = labels.select("group_name", "group_rank", "title").distinct()

@@ -25,6 +25,9 @@ def query(sql: str | None = None):
     return add
 
 
+#: Rows of one answer or page.
+BLOCK = 256
+
 _CLEAN = r"(SELECT DISTINCT seq, engine, url, page_url, title, width, height, engine_score FROM hits)"
 
 
@@ -34,10 +37,10 @@ def _once(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT engine, count(*) AS hits, count(DISTINCT url) AS urls, CAST(sum(width) AS BIGINT) AS width FROM (SELECT engine, coalesce(nullif(url, ''), page_url) AS url, width FROM {_CLEAN} c) x WHERE url <> '' GROUP BY engine")
 def tag_json_hits(spark: SparkSession, d: str) -> DataFrame:
-    """Hits written as nested tag answers, one answer an engine and block, and read back."""
+    """Hits written as nested tag answers, one answer an engine and block of hits, and read back."""
     h = _once(spark, d)
     value = F.struct(F.col("url").alias("contentUrl"), F.col("page_url").alias("hostPageUrl"), F.col("title").alias("name"), F.struct("width", "height").alias("thumbnail"))
-    answers = h.groupBy("engine", (F.col("seq") % 16).alias("block")).agg(F.to_json(F.struct(F.array(F.struct(F.array(F.struct(F.struct(F.collect_list(value).alias("value")).alias("data"))).alias("actions"))).alias("tags"))).alias("body"))
+    answers = h.groupBy("engine", F.floor(F.col("seq") / BLOCK).alias("block")).agg(F.to_json(F.struct(F.array(F.struct(F.array(F.struct(F.struct(F.collect_list(value).alias("value")).alias("data"))).alias("actions"))).alias("tags"))).alias("body"))
     return C.hits_from_tags(answers).groupBy("engine").agg(F.count("*").alias("hits"), F.count_distinct("url").alias("urls"), F.sum("width").alias("width"))
 
 
@@ -50,7 +53,7 @@ def match_json_hits(spark: SparkSession, d: str) -> DataFrame:
     h = _once(spark, d)
     links = F.array(F.struct("url", F.col("page_url").alias("backlink")))
     m = F.struct(F.col("page_url").alias("image_url"), F.col("title").alias("domain"), F.col("engine_score").alias("score"), "width", "height", links.alias("backlinks"))
-    answers = h.groupBy("engine", (F.col("seq") % 16).alias("block")).agg(F.to_json(F.struct(F.struct(F.collect_list(m).alias("matches")).alias("result"))).alias("body"))
+    answers = h.groupBy("engine", F.floor(F.col("seq") / BLOCK).alias("block")).agg(F.to_json(F.struct(F.struct(F.collect_list(m).alias("matches")).alias("result"))).alias("body"))
     hits = C.hits_from_matches(answers)
     return hits.groupBy("engine").agg(
         F.count("*").alias("hits"), F.count("engine_score").alias("scored"), F.round(F.sum("engine_score"), 4).alias("score"), F.count_if(F.col("engine_label") == "match").alias("unlabelled")
@@ -62,16 +65,16 @@ def match_json_hits(spark: SparkSession, d: str) -> DataFrame:
     SELECT engine, run_id, count(DISTINCT url) AS urls FROM p WHERE NOT contains(url, 'static.') GROUP BY ALL"""
 )
 def page_scrape(spark: SparkSession, d: str) -> DataFrame:
-    """Image addresses scraped out of page text (all addresses of a run and engine, in quotes), distinct, without some hosts."""
+    """Image addresses scraped out of page text (the addresses of a run and engine in blocks of hits, in quotes), distinct, without some hosts."""
     h = table(spark, d, "hits").where("url IS NOT NULL")
-    pages = h.groupBy("engine", "run_id").agg(F.concat_ws(" ", F.collect_list(F.concat(F.lit('<img src="'), "url", F.lit('">')))).alias("body"))
+    pages = h.groupBy("engine", "run_id", F.floor(F.col("seq") / BLOCK).alias("block")).agg(F.concat_ws(" ", F.collect_list(F.concat(F.lit('<img src="'), "url", F.lit('">')))).alias("body"))
     hits = C.hits_from_page(pages.withColumn("engine", F.concat_ws("\x01", "engine", "run_id")), ["static."])
     parts = F.split("engine", "\x01")
-    return hits.groupBy(parts[0].alias("engine"), parts[1].alias("run_id")).agg(F.count("*").alias("urls"))
+    return hits.groupBy(parts[0].alias("engine"), parts[1].alias("run_id")).agg(F.count_distinct("url").alias("urls"))
 
 
 @query(
-    """SELECT doc_id, octet_length(encode(left(text, 2000))) AS bytes, sha256(left(text, 2000)) AS sha, CASE WHEN octet_length(encode(left(text, 2000))) = 0 THEN 'empty file' END AS error FROM documents WHERE text IS NOT NULL
+    """SELECT doc_id, octet_length(encode(text)) AS bytes, sha256(text) AS sha, CASE WHEN octet_length(encode(text)) = 0 THEN 'empty file' END AS error FROM documents WHERE text IS NOT NULL
     UNION ALL SELECT doc_id, NULL, NULL, 'no data' FROM documents WHERE text IS NULL"""
 )
 def inline_payloads(spark: SparkSession, d: str) -> DataFrame:

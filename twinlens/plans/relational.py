@@ -291,7 +291,7 @@ def search_fan_out(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH v AS (SELECT DISTINCT label, representative_cid AS cid, confidence FROM cards WHERE representative_cid IS NOT NULL AND representative_cid <> '' AND label = 'NEAR_1TO1')
+    """WITH v AS (SELECT DISTINCT label, representative_cid AS cid, confidence FROM cards WHERE representative_cid <> '' AND label IN (SELECT label FROM label_groups WHERE is_one_to_one))
     SELECT a.label, a.cid AS cid_a, b.cid AS cid_b, count(*) AS pairs FROM v a JOIN v b ON a.label = b.label AND a.cid < b.cid AND abs(a.confidence - b.confidence) <= 0.5 GROUP BY ALL"""
 )
 def pairs_within_label(spark: SparkSession, d: str) -> DataFrame:
@@ -359,7 +359,7 @@ def sha_members(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "candidates").where("sha256 <> ''").select("cid", "sha256")
     reps = table(spark, d, "cards").where("representative_cid <> ''").select(F.col("representative_cid").alias("cid")).distinct()
     own = reps.join(c, "cid").select(F.col("cid").alias("rep_cid"), "sha256")
-    return own.join(c.withColumnRenamed("cid", "member_cid"), "sha256").drop("sha256")
+    return merge.same_bytes(own, c.withColumnRenamed("cid", "member_cid"), "sha256", F.col("member_cid")).drop("sha256")
 
 
 @query(
@@ -406,11 +406,8 @@ def report_groups(spark: SparkSession, d: str) -> DataFrame:
     FROM k LEFT JOIN label_groups USING (label)"""
 )
 def report_order(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql.window import Window
-
     k = _cards(spark, d).join(F.broadcast(table(spark, d, "label_groups").select("label", "group_rank")), "label", "left")
-    w = Window.partitionBy("run_id").orderBy(*report.final_order(k, k))
-    return k.select("run_id", "card_key", F.row_number().over(w).cast("bigint").alias("position"))
+    return report.report_positions(k, "run_id").select("run_id", "card_key", "position")
 
 
 @query(
