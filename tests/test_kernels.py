@@ -76,10 +76,13 @@ def test_polygons_and_transforms():
 def test_measures_on_equal_images():
     assert C.ssim(A, A) == pytest.approx(1) and C.ms_ssim(A, A) == pytest.approx(1)
     assert C.nrmse_similarity(A, A) == 1 and C.psnr(A, A) == 100 and C.gradient_correlation(A, A) == pytest.approx(1)
-    e = C.edits(A, A)
-    assert e["changed_fraction"] == 0 and C.edit_names(e) == []
+    e = C.measure_edits(A, A)
+    assert e["changed"] == 0 and C.edit_names(C.edit_flags(e, False)) == []
     gain, offset, r2 = C.linear_fit(np.array([1.0, 2, 3] * 10), np.array([3.0, 5, 7] * 10))
-    assert r2 == pytest.approx(1) and gain == pytest.approx(2 * 30 / 29)
+    # the gain is the sample covariance over the population variance, a little off the line that fits best
+    assert gain == pytest.approx(2 * 30 / 29) and r2 == pytest.approx(1 - (1 / 29) ** 2)
+    assert C.linear_fit(np.arange(20.0), np.full(20, 7.0)) == (0.0, 7.0, 1.0)
+    assert C.linear_fit(np.full(20, 3.0), np.arange(20.0)) == (1.0, 6.5, 0.0)
 
 
 @pytest.mark.parametrize("share,found", [(0.06, True), (0.03, True), (0, False)])
@@ -92,7 +95,7 @@ def test_border(share, found):
 
 def test_edits_are_named():
     f = A.astype(float)
-    names = lambda b: C.edit_names(C.edits(A, np.clip(b, 0, 255).astype(np.uint8)))
+    names = lambda b: C.edit_names(C.edit_flags(C.measure_edits(A, np.clip(b, 0, 255).astype(np.uint8)), False))
     assert "brightness" in names(f + 26)
     assert "contrast" in names((f - f.mean()) * 0.7 + f.mean())
     assert "colour" in names(f + [30, -18, 12])
@@ -106,7 +109,49 @@ def test_pair_geometry():
     assert turned["orientation"] == "rot270" and turned["ssim"] > 0.99
     other = P.signals(A, demo.unrelated(3, 320, 240))
     assert other["changed_fraction"] > 0.5 and not other["trusted"]
-    q = P.quick_pair(A, A)
+    q = P.quick_pair(P.summary(A), P.summary(A))
     assert q["identity"] == pytest.approx(1) and q["edit_labels"] == []
     r = P.render(A, A, 64)
     assert r["difference"].max() == 0 and r["heatmap"].shape == (64, 64, 3)
+
+
+def test_a_border_is_sought_in_the_second_picture():
+    bars = np.pad(A, ((22, 22), (0, 0), (0, 0)), constant_values=32)
+    plain, framed = P.summary(A), P.summary(bars)
+    assert "border" in P.quick_pair(plain, framed)["edit_labels"]
+    assert "border" not in P.quick_pair(framed, plain)["edit_labels"]
+    assert P.signals(A, bars)["border"] and not P.signals(bars, A)["border"]
+
+
+def test_border_equals_a_search_by_thickness():
+    for share in (0.02, 0.05, 0.1):
+        p = int(240 * share)
+        framed = np.pad(A, ((p, p), (p // 2, p // 2), (0, 0)), constant_values=90)
+        g = X.gray(framed).astype(float)
+        most = round(min(g.shape) * 0.12)
+        flat = lambda s: s.std() <= 6.0
+        bands = C.flat_bands(framed)
+        assert bands["across"] == [t for t in range(2, most + 1) if flat(g[:t]) and flat(g[-t:])]
+        assert bands["along"] == [t for t in range(2, most + 1) if flat(g[:, :t]) and flat(g[:, -t:])]
+
+
+def test_windows_of_structure_equal_a_loop():
+    r = np.random.default_rng(0)
+    x, y = r.integers(0, 255, (2, 20, 24)).astype(float)
+    got, total = C._ssim_gray(x, y), []
+    for i in range(14):
+        for j in range(18):
+            p, q = x[i : i + 7, j : j + 7], y[i : i + 7, j : j + 7]
+            cov = np.cov(p.ravel(), q.ravel())
+            a, b = (0.01 * 255) ** 2, (0.03 * 255) ** 2
+            total.append((2 * p.mean() * q.mean() + a) * (2 * cov[0, 1] + b) / ((p.mean() ** 2 + q.mean() ** 2 + a) * (cov[0, 0] + cov[1, 1] + b)))
+    assert got == pytest.approx(np.mean(total), abs=1e-12)
+
+
+def test_hashes_of_turned_pictures_are_those_of_the_whole():
+    small, aside = X.hash_size(A), X.hash_size(X.orient(A, "rot90"))
+    for name in X.ORIENTATIONS:
+        turned = P.Picture(X.orient(A, name))
+        back = G.best_orientation(P.Picture(A), turned, 0.08)
+        assert (back[1].rgb == A).all() or name == "identity"
+    assert (small != aside).any()

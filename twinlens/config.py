@@ -10,8 +10,6 @@ class HashConfig:
     bits: int = 64
     work_size: int = 32
     weights: dict[str, float] = field(default_factory=lambda: {"phash": 0.45, "dhash": 0.25, "whash": 0.20, "ahash": 0.10})
-    near_sim: float = 0.93
-    unrelated_sim: float = 0.68  # declared, decides nothing
 
 
 @dataclass(frozen=True)
@@ -21,7 +19,6 @@ class FilterConfig:
     rescue_color_sim: float = 0.80
     rescue_hash_sim: float = 0.55
     hard_cap: int = 60
-    thumb_size: int = 96
     work_size: int = 512
     compare_size: int = 256
 
@@ -31,10 +28,6 @@ class PixelConfig:
     ssim_exact: float = 0.94
     ssim_near: float = 0.80
     ssim_similar: float = 0.45
-    grad_corr_high: float = 0.90  # declared, decides nothing
-    grad_corr_similar: float = 0.55  # declared, decides nothing
-    hist_corr_similar: float = 0.80  # declared, decides nothing
-    changed_similar: float = 0.40  # declared, decides nothing
     changed_exact: float = 0.04
     changed_near: float = 0.12
     block_epsilon: float = 6.0
@@ -53,7 +46,6 @@ class FeatureConfig:
     crop_max: float = 0.96
     crop_min_candidate: float = 0.75
     ratio_strong: float = 0.45
-    ratio_weak: float = 0.15  # declared, decides nothing
     template_score: float = 0.60
     scales: tuple[float, ...] = (0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.65, 0.8, 1.0)
 
@@ -75,10 +67,7 @@ class EditConfig:
 @dataclass(frozen=True)
 class EmbeddingConfig:
     grid: int = 4
-    color_bins: int = 4
     hog_bins: int = 9
-    model: str = "ViT-B-32"
-    allow_model: bool = False
 
 
 @dataclass(frozen=True)
@@ -89,7 +78,6 @@ class ClassifierConfig:
     identity_exact: float = 0.92
     identity_near: float = 0.84
     identity_similar: float = 0.55
-    full_frame: float = 0.86  # declared, decides nothing
     steepness: float = 7.0
     promote_share: float = 0.85
 

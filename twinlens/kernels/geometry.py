@@ -7,7 +7,7 @@ from functools import lru_cache
 import numpy as np
 
 from twinlens.config import FEATURES
-from twinlens.kernels.pixels import fit, fitted, gray, resize, resize_plane
+from twinlens.kernels.pixels import ORIENTATIONS, _lanczos_single, fit, gray, hash_similarity, hash_size, hashes, orient, resize, resize_plane
 
 
 def polygon_area(p: np.ndarray) -> float:
@@ -66,7 +66,7 @@ def _pattern() -> np.ndarray:
 
 
 def _smooth(g: np.ndarray, sigma: float = 2.0) -> np.ndarray:
-    k = np.exp(-0.5 * (np.arange(-5, 6) / sigma) ** 2)
+    k = np.exp(-0.5 * (np.arange(-5, 6) / sigma) ** 2).astype(np.float32)
     k /= k.sum()
     p = np.pad(g, 5, mode="edge")
     p = sum(w * p[:, i : i + g.shape[1]] for i, w in enumerate(k))
@@ -79,19 +79,30 @@ def _corners(g: np.ndarray, threshold: float, most: int) -> np.ndarray:
     if h <= 2 * _EDGE or w <= 2 * _EDGE:
         return np.zeros((0, 2), dtype=int)
     inner = g[_EDGE : h - _EDGE, _EDGE : w - _EDGE]
-    ring = np.stack([g[_EDGE + dy : h - _EDGE + dy, _EDGE + dx : w - _EDGE + dx] - inner for dx, dy in _CIRCLE])
-    hit = np.zeros(inner.shape, dtype=bool)
+    # nine in a row hold two at least of the four a quarter turn apart: most places fail that
+    quarter = [g[_EDGE + dy : h - _EDGE + dy, _EDGE + dx : w - _EDGE + dx] - inner for dx, dy in _CIRCLE[::4]]
+    few = np.zeros(inner.shape, dtype=bool)
+    for sign in (1, -1):
+        few |= sum((sign * q > threshold).view(np.uint8) for q in quarter) >= 2
+    ys, xs = np.nonzero(few)
+    if not len(ys):
+        return np.zeros((0, 2), dtype=int)
+    flat = (ys + _EDGE) * w + xs + _EDGE
+    ring = g.ravel()[flat + (_CIRCLE[:, 1] * w + _CIRCLE[:, 0])[:, None]] - inner[ys, xs]
+    hit = np.zeros(len(ys), dtype=bool)
     for mask in (ring > threshold, ring < -threshold):
         run = np.concatenate((mask, mask[:8]))
         ok = run[:-1] & run[1:]
         ok = ok[:-2] & ok[2:]  # four
         ok = ok[:-4] & ok[4:]  # eight
-        hit |= (ok[:16] & run[8:24]).any(axis=0) if len(ok) >= 16 else False
-    score = np.where(hit, np.abs(ring).sum(axis=0), 0)
-    p = np.pad(score, 1)
-    peak = np.max([p[1 + dy : 1 + dy + score.shape[0], 1 + dx : 1 + dx + score.shape[1]] for dy in (-1, 0, 1) for dx in (-1, 0, 1)], axis=0)
-    ys, xs = np.nonzero(hit & (score >= peak))
-    best = np.argsort(-score[ys, xs], kind="stable")[:most]
+        hit |= (ok[:16] & run[8:24]).any(axis=0)
+    score = np.zeros((inner.shape[0] + 2, inner.shape[1] + 2), dtype=ring.dtype)
+    ys, xs, own = ys[hit], xs[hit], np.abs(ring[:, hit]).sum(axis=0)
+    score[ys + 1, xs + 1] = own
+    around = np.stack([score[ys + 1 + dy, xs + 1 + dx] for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
+    peak = own >= around.max(axis=0) if len(ys) else np.zeros(0, dtype=bool)
+    ys, xs, own = ys[peak], xs[peak], own[peak]
+    best = np.argsort(-own, kind="stable")[:most]
     return np.stack((xs[best] + _EDGE, ys[best] + _EDGE), axis=1)
 
 
@@ -101,12 +112,12 @@ def keypoints(g: np.ndarray, most: int = FEATURES.keypoints, levels: int = 8, st
     share = np.array([step ** (-2 * k) for k in range(levels)])
     share = np.ceil(most * share / share.sum()).astype(int)
     yy, xx = np.mgrid[-15:16, -15:16]
-    disc = (xx * xx + yy * yy <= 225).astype(float)
+    disc = (xx * xx + yy * yy <= 225).astype(np.float32)
     for k in range(levels):
         w, h = round(g.shape[1] / step**k), round(g.shape[0] / step**k)
         if min(w, h) <= 2 * _EDGE + 2:
             break
-        level = g.astype(np.float64) if k == 0 else resize_plane(g, w, h)
+        level = g if k == 0 else _lanczos_single(g.shape[0], h) @ g @ _lanczos_single(g.shape[1], w).T
         xy = _corners(level, 8.0, int(share[k]))
         if not len(xy):
             continue
@@ -210,11 +221,11 @@ def agreed_homography(a: np.ndarray, b: np.ndarray, reach: float) -> tuple[np.nd
     return m, int(inside(m).sum())
 
 
-def match_features(ga: np.ndarray, gb: np.ndarray) -> dict:
-    """Keypoints matched by ratio test and a transform agreed on by most of them."""
+def match_features(of_a: tuple, of_b: tuple, size_a: tuple[int, int], size_b: tuple[int, int]) -> dict:
+    """The keypoints of two images matched by ratio test and a transform agreed on by most of them."""
     f = FEATURES
     none = {"good": 0, "inliers": 0, "ratio": 0.0, "trusted": False, "transform": None, "coverage": None}
-    (pa, da), (pb, db) = keypoints(ga), keypoints(gb)
+    (pa, da), (pb, db) = of_a, of_b
     if len(pa) < 8 or len(pb) < 8:
         return none
     dist = np.zeros((len(da), len(db)), dtype=np.uint16)
@@ -232,7 +243,7 @@ def match_features(ga: np.ndarray, gb: np.ndarray) -> dict:
         m, inliers = agreed_homography(a, b, f.ransac_px)
     if m is None:
         return none | {"good": len(a)}
-    coverage = coverage_of_transform(m, ga.shape[::-1], gb.shape[::-1])
+    coverage = coverage_of_transform(m, size_a, size_b)
     trusted = inliers >= f.min_inliers and coverage is not None
     return {"good": len(a), "inliers": inliers, "ratio": inliers / max(1, min(len(a), f.saturating_inliers)), "trusted": trusted, "transform": m, "coverage": coverage}
 
@@ -251,56 +262,73 @@ def scales() -> np.ndarray:
     return np.geomspace(lo, hi, 2 * len(FEATURES.scales))
 
 
-def _correlate(scene_f: np.ndarray, scene: np.ndarray, t: np.ndarray, sums: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Normalised correlation of a template at all places inside the scene."""
-    h, w = t.shape
-    t = t - t.mean()
-    shape = scene_f.shape[0], (scene_f.shape[1] - 1) * 2
-    num = np.fft.irfft2(scene_f * np.conj(np.fft.rfft2(t, shape)), shape)[: scene.shape[0] - h + 1, : scene.shape[1] - w + 1]
-
-    def window(s: np.ndarray) -> np.ndarray:
-        return s[h:, w:] - s[:-h, w:] - s[h:, :-w] + s[:-h, :-w]
-
-    total, squares = (window(s) for s in sums)
-    var = np.maximum(squares - total * total / (h * w), 0)
-    den = np.sqrt(var * (t * t).sum())
-    return np.where(den > 1e-6, num / np.maximum(den, 1e-6), 0.0)
-
-
-def find_template(template: np.ndarray, scene: np.ndarray, work: int) -> tuple[float, list[float] | None]:
+def _fast_length(n: int) -> int:
+    """The least length from ``n`` on with no other prime factors than 2, 3 and 5."""
+    while True:
+        m = n
+        for p in (2, 3, 5):
+            while m % p == 0:
+                m //= p
+        if m == 1:
+            return n
+        n += 1
+
+
+class Scene:
+    """An image at search size, with its transform and sums, to be searched by any number of templates; and as a
+    template at all scales."""
+
+    def __init__(self, rgb: np.ndarray, work: int):
+        self.rgb = rgb
+        self.size = fit(rgb.shape[1], rgb.shape[0], work)
+        plain = gray(resize(rgb, *self.size)).astype(np.float64)
+        self.plane, self.plain = _standard(plain), plain
+        # positions where the template lies wholly inside never wrap around
+        self.shape = [_fast_length(n) for n in self.plane.shape]
+        self.transform = np.fft.rfft2(self.plane, self.shape)
+        self.sums = [np.pad(np.cumsum(np.cumsum(x, axis=0), axis=1), ((1, 0), (1, 0))) for x in (self.plane, self.plane * self.plane)]
+        self._scaled: dict[float, np.ndarray] = {}
+
+    def scaled(self, k: float) -> np.ndarray:
+        """This image as a template at one scale, without its mean."""
+        if k not in self._scaled:
+            w, h = (max(8, round(n * k)) for n in self.size)
+            t = _standard(resize_plane(self.plain, w, h))
+            self._scaled[k] = t - t.mean()
+        return self._scaled[k]
+
+    def correlate(self, t: np.ndarray) -> np.ndarray:
+        """Normalised correlation of a template at all places inside."""
+        h, w = t.shape
+        rows, cols = self.plane.shape
+        num = np.fft.irfft2(self.transform * np.conj(np.fft.rfft2(t, self.shape)), self.shape)[: rows - h + 1, : cols - w + 1]
+        total, squares = (s[h:, w:] - s[:-h, w:] - s[h:, :-w] + s[:-h, :-w] for s in self.sums)
+        den = np.sqrt(np.maximum(squares - total * total / (h * w), 0) * (t * t).sum())
+        return np.where(den > 1e-6, num / np.maximum(den, 1e-6), 0.0)
+
+
+def find_template(template: Scene, scene: Scene) -> tuple[float, list[float] | None]:
     """Best score over scales and places, and the box in the scene's own pixels."""
-    sw, sh = fit(scene.shape[1], scene.shape[0], work)
-    tw, th = fit(template.shape[1], template.shape[0], work)
-    s = _standard(gray(resize(scene, sw, sh)).astype(np.float64))
-    t0 = gray(resize(template, tw, th)).astype(np.float64)
-    shape = [2 ** int(np.ceil(np.log2(n + 1))) for n in s.shape]
-    f = np.fft.rfft2(s, shape)
-
-    def integral(a: np.ndarray) -> np.ndarray:
-        out = np.zeros((a.shape[0] + 1, a.shape[1] + 1))
-        out[1:, 1:] = np.cumsum(np.cumsum(a, axis=0), axis=1)
-        return out
-
-    sums = integral(s), integral(s * s)
-    best, box = -1.0, None
-    for k in scales():
-        w, h = max(8, round(tw * k)), max(8, round(th * k))
+    (sw, sh), best, box = scene.size, -1.0, None
+    across, down = scene.rgb.shape[1] / sw, scene.rgb.shape[0] / sh
+    for k in scales().tolist():
+        t = template.scaled(k)
+        h, w = t.shape
         if w > sw or h > sh:
             continue
-        r = _correlate(f, s, _standard(resize_plane(t0, w, h)), sums)
+        r = scene.correlate(t)
         i = int(r.argmax())
         if r.flat[i] > best:
             best, (y, x) = float(r.flat[i]), np.unravel_index(i, r.shape)
-            box = [x * scene.shape[1] / sw, y * scene.shape[0] / sh, (x + w) * scene.shape[1] / sw, (y + h) * scene.shape[0] / sh]
+            box = [x * across, y * down, (x + w) * across, (y + h) * down]
     return best, box
 
 
-def locate(a: np.ndarray, b: np.ndarray, work: int) -> dict:
+def locate(a: Scene, b: Scene) -> dict:
     """Search each image in the other; the original in the candidate wins ties."""
-    fwd, fbox = find_template(a, b, work)
-    rev, rbox = find_template(b, a, work)
+    (fwd, fbox), (rev, rbox) = find_template(a, b), find_template(b, a)
     ahead = fwd >= rev
-    score, box, host = (fwd, fbox, b) if ahead else (rev, rbox, a)
+    score, box, host = (fwd, fbox, b.rgb) if ahead else (rev, rbox, a.rgb)
     out = {"score": score, "direction": "original-in-candidate" if ahead else "candidate-in-original", "coverage": None, "region": None, "confident": score >= FEATURES.template_score}
     if box is None:
         return out | {"direction": "none", "confident": False}
@@ -353,18 +381,22 @@ def align(a: np.ndarray, b: np.ndarray, features: dict, template: dict, size: in
     return *pair(a, b), "none", 1.0
 
 
-def best_orientation(print_a: dict, rgb_b: np.ndarray, a: np.ndarray, margin: float, work: int) -> tuple[str, np.ndarray]:
-    """Of eight orientations of ``rgb_b`` the one whose fingerprint is closest, by a margin; a template search
-    may send it back to the identity."""
-    from twinlens.kernels.pixels import ORIENTATIONS, fingerprint, hash_similarity, orient
-
-    small = fitted(rgb_b, 256)
-    sims = [hash_similarity(print_a, fingerprint(orient(small, n))) for n in ORIENTATIONS]
+def best_orientation(a, b, margin: float):
+    """Of eight orientations of picture ``b`` the one whose hashes are closest to those of ``a``, by a margin; a template search
+    may send it back to the identity. Hashes are made from the whole image; those of mirrored and half-turned images
+    from the same reduction, as it has no side."""
+    aside = hash_size(orient(b.rgb, "rot90"))
+    sims = []
+    for name in ORIENTATIONS:
+        if name.endswith(("rot90", "rot270")):  # seen from the quarter turn
+            flip = {"rot90": "identity", "rot270": "rot180", "mirror-h-rot90": "mirror-h-rot180", "mirror-h-rot270": "mirror-h"}[name]
+            small = orient(aside, flip)
+        else:
+            small = orient(b.small, name)
+        sims.append(hash_similarity(a.hashes, hashes(small)))
     k = int(np.argmax(sims))
     if k == 0 or sims[k] - sims[0] < margin:
-        return "identity", rgb_b
-    turned = orient(rgb_b, ORIENTATIONS[k])
-    w = min(work, 192)
-    plain = max(find_template(a, rgb_b, w)[0], find_template(rgb_b, a, w)[0])
-    turn = max(find_template(a, turned, w)[0], find_template(turned, a, w)[0])
-    return ("identity", rgb_b) if plain - turn >= margin else (ORIENTATIONS[k], turned)
+        return "identity", b
+    turned = type(b)(orient(b.rgb, ORIENTATIONS[k]), b.work_size)
+    plain, turn = (max(find_template(a.scene, x.scene)[0], find_template(x.scene, a.scene)[0]) for x in (b, turned))
+    return ("identity", b) if plain - turn >= margin else (ORIENTATIONS[k], turned)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 
 from twinlens.config import CLASSIFIER, FILTER, LIMITS
 from twinlens.kernels import compare as C
 from twinlens.kernels import geometry as G
-from twinlens.kernels.pixels import descriptor, fingerprint, fitted, gray, hash_similarity, resize, vector_cosine
+from twinlens.kernels.pixels import color_histogram, descriptor, fitted, gray, hash_similarity, hash_size, hashes, resize, vector_cosine
 
 NO_FEATURES = {"good": 0, "inliers": 0, "ratio": 0.0, "trusted": False, "transform": None, "coverage": None}
 NO_TEMPLATE = {"score": -1.0, "direction": "none", "coverage": None, "region": None, "confident": False}
@@ -25,37 +27,66 @@ def _coverage(features: dict, template: dict) -> tuple[float, float, str]:
     return 0.0, 0.0, "none"
 
 
-def signals(a: np.ndarray, b: np.ndarray, sha_a: str = "", sha_b: str = "", work: int = FILTER.work_size, size: int = FILTER.compare_size, deep: bool = True) -> dict:
-    """The signals of a pair, named as in the SIGNALS schema. ``deep`` adds keypoints and template search."""
-    pa = fingerprint(a)
-    turned, b = G.best_orientation(pa, b, a, LIMITS.orientation_margin, work)
-    pb = fingerprint(b)
-    aw, bw = fitted(a, work), fitted(b, work)
-    features = G.match_features(gray(aw), gray(bw)) if deep else NO_FEATURES
-    template = G.locate(aw, bw, min(256, work)) if deep else NO_TEMPLATE
+class Picture:
+    """An image and what is made of it once, however many others it is compared with."""
+
+    def __init__(self, rgb: np.ndarray, work: int = FILTER.work_size):
+        self.rgb, self.work_size = rgb, work
+        self.aspect = rgb.shape[1] / rgb.shape[0]
+        self._stretched: dict[int, np.ndarray] = {}
+
+    small = cached_property(lambda self: hash_size(self.rgb))
+    hashes = cached_property(lambda self: hashes(self.small))
+    color_hist = cached_property(lambda self: color_histogram(self.small))
+    work = cached_property(lambda self: fitted(self.rgb, self.work_size))
+    keypoints = cached_property(lambda self: G.keypoints(gray(self.work)))
+    descriptor = cached_property(lambda self: descriptor(self.work))
+    bands = cached_property(lambda self: C.flat_bands(self.rgb))
+    scene = cached_property(lambda self: G.Scene(self.work, min(256, self.work_size)))
+
+    def stretched(self, size: int) -> np.ndarray:
+        if size not in self._stretched:
+            self._stretched[size] = resize(self.rgb, size, size)
+        return self._stretched[size]
+
+
+def compared(a: Picture, b: Picture, size: int, deep: bool):
+    """Both in one frame: the candidate as turned, both canvases, how they were aligned, and the geometry."""
+    turned, b = G.best_orientation(a, b, LIMITS.orientation_margin)
+    features = G.match_features(a.keypoints, b.keypoints, a.work.shape[1::-1], b.work.shape[1::-1]) if deep else NO_FEATURES
+    template = G.locate(a.scene, b.scene) if deep else NO_TEMPLATE
+    x, y, method, valid = G.align(a.work, b.work, features, template, size)
+    return turned, b, features, template, x, y, method, valid
+
+
+def signals(a: Picture | np.ndarray, b: Picture | np.ndarray, sha_a: str = "", sha_b: str = "", work: int = FILTER.work_size, size: int = FILTER.compare_size, deep: bool = True) -> dict:
+    """The signals of a pair, named as in SIGNAL. ``deep`` adds keypoints and template search."""
+    a, b = (x if isinstance(x, Picture) else Picture(x, work) for x in (a, b))
+    turned, b, features, template, x, y, method, valid = compared(a, b, size, deep)
     cov_o, cov_c, source = _coverage(features, template)
-    x, y, method, valid = G.align(aw, bw, features, template, size)
-    e = C.edits(x, y)
-    found, share = C.find_border(b, a.shape[1] / a.shape[0])
-    if found and not e["border"]:
-        e |= {"border": True, "border_frac": share}
-    overall = hash_similarity(pa, pb)
-    aligned = hash_similarity(fingerprint(x), fingerprint(y)) if method in ("homography", "template") else 0.0
-    ra, rb = a.shape[1] / a.shape[0], b.shape[1] / b.shape[0]
+    m = C.measure_edits(x, y)
+    border, share = C.border_share(b.bands, a.aspect)
+    sims = {k: hash_similarity({k: a.hashes[k]}, {k: b.hashes[k]}, {k: 1.0}) for k in a.hashes}
+    overall = hash_similarity(a.hashes, b.hashes)
+    aligned = hash_similarity(hashes(hash_size(x)), hashes(hash_size(y))) if method in ("homography", "template") else 0.0
     feat = min(1.0, features["inliers"] / 40) * min(1.0, features["ratio"] / 0.45) if features["trusted"] else 0.0
+    best = max(sims, key=sims.get)
     return {
         "sha_identical": bool(sha_a) and sha_a == sha_b,
         "orientation": turned,
-        "aspect_sim": min(ra, rb) / max(ra, rb),
+        "aspect_sim": min(a.aspect, b.aspect) / max(a.aspect, b.aspect),
         "hash_sim": max(overall, aligned),
         "hash_sim_global": overall,
         "hash_sim_aligned": aligned,
-        "hist_corr": vector_cosine(pa["color_hist"], pb["color_hist"]),
-        "emb_cos": vector_cosine(descriptor(aw), descriptor(bw)),
+        "hash_best": sims[best],
+        "hash_worst": min(sims.values()),
+        "hash_best_name": best,
+        "hist_corr": vector_cosine(a.color_hist, b.color_hist),
+        "emb_cos": vector_cosine(a.descriptor, b.descriptor),
         "feat_sim": feat,
         "ssim": C.ssim(x, y),
         "ms_ssim": C.ms_ssim(x, y),
-        "ssim_raw": C.ssim(resize(a, size, size), resize(b, size, size)),
+        "ssim_raw": C.ssim(a.stretched(size), b.stretched(size)),
         "nrmse_sim": C.nrmse_similarity(x, y),
         "psnr": C.psnr(x, y),
         "grad_corr": C.gradient_correlation(x, y),
@@ -69,34 +100,47 @@ def signals(a: np.ndarray, b: np.ndarray, sha_a: str = "", sha_b: str = "", work
         "coverage_source": source,
         "align_method": method,
         "align_valid_fraction": valid,
-        "changed_fraction": e["changed_fraction"],
-        "localised_fraction": e["localised_fraction"],
-        "edit_labels": C.edit_names(e),
+        "changed_fraction": m["changed"],
+        "localised_fraction": m["localised"],
+        "gain": m["gain"],
+        "offset": m["offset"],
+        "linear_r2": m["fit"],
+        "residual": m["residual"],
+        "channel_shift": m["shift"],
+        "sharpness_ratio": m["sharpness"],
+        "border": border,
+        "border_fraction": share,
     }
 
 
-def quick_pair(a: np.ndarray, b: np.ndarray, size: int = 112) -> dict:
-    """A cheap comparison of two candidates as they are: no orientation, keypoints or template."""
-    pa, pb = fingerprint(a), fingerprint(b)
-    x, y = resize(a, size, size), resize(b, size, size)
-    e = C.edits(x, y)
-    found, _ = C.find_border(a, b.shape[1] / b.shape[0])
-    e["border"] = e["border"] or found
+def summary(rgb: np.ndarray, size: int = 112) -> dict:
+    """What ``quick_pair`` needs of an image, made once an image and small enough to be sent along with pairs."""
+    p = Picture(rgb)
+    return p.hashes | {"color_hist": p.color_hist, "thumb": p.stretched(size), "aspect": p.aspect} | p.bands
+
+
+def quick_pair(a: dict, b: dict) -> dict:
+    """A cheap comparison of two candidates as they are, by their summaries: no orientation, keypoints or template.
+    A border is looked for in the second, against the shape of the first."""
+    x, y = a["thumb"], b["thumb"]
+    m = C.measure_edits(x, y)
+    border, _ = C.border_share(b, a["aspect"])
+    border = border or C.find_border(y, x.shape[1] / x.shape[0])[0]
     w = CLASSIFIER.weights
     part = {
-        "hash_sim": hash_similarity(pa, pb),
+        "hash_sim": hash_similarity(a, b),
         "ssim": C.ssim(x, y),
         "nrmse_sim": C.nrmse_similarity(x, y),
         "grad_corr": C.gradient_correlation(x, y),
-        "hist_corr": vector_cosine(pa["color_hist"], pb["color_hist"]),
+        "hist_corr": vector_cosine(a["color_hist"], b["color_hist"]),
     }
     identity = sum(w[k] * float(np.clip(v, 0, 1)) for k, v in part.items()) / sum(w[k] for k in part)
     return {
         "identity": identity,
         "ssim": part["ssim"],
-        "changed_fraction": e["changed_fraction"],
+        "changed_fraction": m["changed"],
         "hash_sim": part["hash_sim"],
-        "edit_labels": [n for n in C.edit_names(e) if n != "recompressed"],
+        "edit_labels": [n for n in C.edit_names(C.edit_flags(m, border)) if n != "recompressed"],
     }
 
 
@@ -110,12 +154,8 @@ def _heat(v: np.ndarray) -> np.ndarray:
 
 def render(a: np.ndarray, b: np.ndarray, size: int = 720) -> dict:
     """Both images in one frame, their difference four times as strong, and a heat map of it."""
-    pa = fingerprint(a)
-    _, b = G.best_orientation(pa, b, a, LIMITS.orientation_margin, FILTER.work_size)
-    aw, bw = fitted(a, FILTER.work_size), fitted(b, FILTER.work_size)
-    features, template = G.match_features(gray(aw), gray(bw)), G.locate(aw, bw, 256)
+    _, _, features, template, x, y, method, valid = compared(Picture(a), Picture(b), size, True)
     cov_o, cov_c, _ = _coverage(features, template)
-    x, y, method, valid = G.align(aw, bw, features, template, size)
     delta = np.abs(x.astype(np.float32) - y.astype(np.float32))
     return {
         "original": x,

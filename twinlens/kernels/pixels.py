@@ -33,14 +33,22 @@ def resize_plane(a: np.ndarray, width: int, height: int) -> np.ndarray:
     return _lanczos(a.shape[0], height) @ a.astype(np.float64) @ _lanczos(a.shape[1], width).T
 
 
+@lru_cache(maxsize=512)
+def _lanczos_single(src: int, dst: int) -> np.ndarray:
+    return _lanczos(src, dst).astype(np.float32)
+
+
 def resize(rgb: np.ndarray, width: int, height: int) -> np.ndarray:
     """uint8 image, rounded and clipped after each pass."""
-    if rgb.shape[:2] == (height, width):
+    h, w = rgb.shape[:2]
+    if (h, w) == (height, width):
         return rgb
-    across = np.einsum("xs,hsc->hxc", _lanczos(rgb.shape[1], width), rgb.astype(np.float64), optimize=True)
-    across = np.clip(np.rint(across), 0, 255)
-    down = np.einsum("ys,swc->ywc", _lanczos(rgb.shape[0], height), across, optimize=True)
-    return np.clip(np.rint(down), 0, 255).astype(np.uint8)
+    planes = np.ascontiguousarray(rgb.transpose(2, 0, 1), dtype=np.float32)
+    across = planes.reshape(3 * h, w) @ _lanczos_single(w, width).T
+    np.clip(np.rint(across, out=across), 0, 255, out=across)
+    down = _lanczos_single(h, height) @ across.reshape(3, h, width)
+    np.clip(np.rint(down, out=down), 0, 255, out=down)
+    return np.ascontiguousarray(down.astype(np.uint8).transpose(1, 2, 0))
 
 
 def fit(width: int, height: int, longest: int) -> tuple[int, int]:
@@ -178,17 +186,21 @@ def _pack(bits: np.ndarray) -> int:
     return int.from_bytes(np.packbits(bits.ravel()).tobytes(), "big", signed=True)
 
 
-def color_histogram(rgb: np.ndarray) -> np.ndarray:
-    """64 bins of the two high bits of each channel, unit length."""
-    s = resize(rgb, HASH.work_size, HASH.work_size).astype(np.int64) >> 6
+def color_histogram(small: np.ndarray) -> np.ndarray:
+    """64 bins of the two high bits of each channel of an image at hash size, unit length."""
+    s = small.astype(np.int64) >> 6
     counts = np.bincount((s[:, :, 0] * 16 + s[:, :, 1] * 4 + s[:, :, 2]).ravel(), minlength=64).astype(np.float32)
     n = float(np.linalg.norm(counts))
     return counts / n if n else counts
 
 
-def fingerprint(rgb: np.ndarray) -> dict:
-    """The four hashes as signed 64-bit integers, the colour histogram, and luma statistics."""
-    work = gray(resize(rgb, HASH.work_size, HASH.work_size))
+def hash_size(rgb: np.ndarray) -> np.ndarray:
+    return resize(rgb, HASH.work_size, HASH.work_size)
+
+
+def hashes(small: np.ndarray) -> dict[str, int]:
+    """The four hashes, as signed 64-bit integers, of an image at hash size."""
+    work = gray(small)
     a = resize_plane(work, 8, 8)
     d = resize_plane(work, 9, 8)
     c = _dct(HASH.work_size)
@@ -196,21 +208,22 @@ def fingerprint(rgb: np.ndarray) -> dict:
     wave = work.astype(np.float64)
     while wave.shape[0] > 8:
         wave = (wave[::2, ::2] + wave[1::2, ::2] + wave[::2, 1::2] + wave[1::2, 1::2]) / 4
-    full = gray(rgb)
     return {
         "ahash": _pack(a >= a.mean()),
         "dhash": _pack(d[:, 1:] > d[:, :-1]),
         "phash": _pack(low > np.median(low.ravel()[1:])),
         "whash": _pack(wave > np.median(wave)),
-        "color_hist": color_histogram(rgb),
-        "luma_mean": float(full.mean()),
-        "luma_std": float(full.std()),
     }
 
 
-def hash_similarity(a: dict, b: dict) -> float:
-    total = sum(HASH.weights.values())
-    return sum(w * (1 - ((a[k] ^ b[k]) & (2**64 - 1)).bit_count() / 64) for k, w in HASH.weights.items()) / total
+def fingerprint(rgb: np.ndarray) -> dict:
+    """The four hashes, the colour histogram, and luma statistics of the whole image."""
+    small, full = hash_size(rgb), gray(rgb)
+    return hashes(small) | {"color_hist": color_histogram(small), "luma_mean": float(full.mean()), "luma_std": float(full.std())}
+
+
+def hash_similarity(a: dict, b: dict, weights: dict[str, float] = HASH.weights) -> float:
+    return sum(w * (1 - ((int(a[k]) ^ int(b[k])) & (2**64 - 1)).bit_count() / 64) for k, w in weights.items()) / sum(weights.values())
 
 
 def vector_cosine(a: np.ndarray, b: np.ndarray) -> float:
@@ -234,6 +247,6 @@ def descriptor(rgb: np.ndarray, size: int = 128) -> np.ndarray:
     hog = np.bincount((cell * bins + direction).ravel(), weights=mag.ravel(), minlength=g * g * bins).reshape(-1, bins)
     hog /= hog.sum(axis=1, keepdims=True) + 1e-6
     edges = np.bincount(cell.ravel(), weights=(mag > 24).ravel()) / (size // g) ** 2
-    v = np.concatenate((moments.ravel(), hog.ravel(), color_histogram(rgb), edges))
+    v = np.concatenate((moments.ravel(), hog.ravel(), color_histogram(hash_size(rgb)), edges))
     n = np.linalg.norm(v)
     return (v / n if n else v).astype(np.float32)

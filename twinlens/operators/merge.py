@@ -10,6 +10,8 @@ from twinlens.operators.components import connected_components
 from twinlens.operators.skew import salted_join
 
 BAND = 0.05
+ONE_TO_ONE = ("EXACT_1TO1", "NEAR_1TO1", "EDITED_1TO1")
+MERGED = (*ONE_TO_ONE, "CROP")
 
 
 def same_picture(identity: Column, changed: Column, edits: Column) -> Column:
@@ -35,6 +37,22 @@ def band_pairs(df: DataFrame, key: list[str], value: str, cid: str, width: float
     return a.join(b, [*key, "__band"]).where((F.col("cid_a") < F.col("cid_b")) & near).drop("__band")
 
 
+def pairs_to_compare(verdicts: DataFrame, width: float = BAND) -> DataFrame:
+    """(cid_a, cid_b, same_bytes), cid_a < cid_b: candidates of one query and label that may be one picture. Equal bytes are
+    linked to the least of them without a comparison, and only that one is compared with others; crops only with crops of
+    nearly equal overlap. ``verdicts`` has query_id, label, cid, overlap, sha256; a query's candidates are few, as the
+    filter caps them."""
+    open_ = verdicts.where(F.col("label").isin(*MERGED))
+    key = F.when(F.col("sha256") != "", F.col("sha256")).otherwise(F.concat(F.lit("cid "), "cid"))
+    first = open_.groupBy("query_id", "label", key.alias("bytes")).agg(F.min("cid").alias("cid_a"), F.min_by("overlap", "cid").alias("overlap"))
+    alike = open_.withColumn("bytes", key).join(first.drop("overlap"), ["query_id", "label", "bytes"]).where("cid <> cid_a")
+    first = first.withColumnRenamed("cid_a", "cid")
+    whole = pairs_within(first.where(F.col("label") != "CROP").withColumn("__k", F.struct("query_id", "label")), "__k", "cid", [])
+    crops = band_pairs(first.where("label = 'CROP'"), ["query_id"], "overlap", "cid", width)
+    compare = whole.select("cid_a", "cid_b").unionAll(crops.select("cid_a", "cid_b")).withColumn("same_bytes", F.lit(False))
+    return compare.unionByName(alike.select("cid_a", F.col("cid").alias("cid_b"), F.lit(True).alias("same_bytes")))
+
+
 def clusters(members: DataFrame, edges: DataFrame, cid: str = "cid") -> DataFrame:
     """(cid, cluster): members linked by edges get the least cid of their component, all others their own."""
     comp = connected_components(edges, "cid_a", "cid_b")

@@ -43,7 +43,10 @@ def picture_descriptors(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def quick_matches(spark: SparkSession, d: str) -> DataFrame:
-    return images.quick_pairs(_cases(spark), ["name"], "orig", "cand")
+    cases = _cases(spark)
+    orig, cand = (images.summaries(cases, ["name"], side).drop("error") for side in ("orig", "cand"))
+    a, b = (x.toDF("name", *(f"{p}_{c}" for c in x.columns[1:])) for x, p in ((orig, "a"), (cand, "b")))
+    return images.quick_pairs(a.join(b, "name"), ["name"], "a_", "b_")
 
 
 @query

@@ -94,13 +94,14 @@ def merge_cards(ws: Workspace, spark: SparkSession, verdicts: DataFrame, uniques
     info = prints.select(*keys, "sha256", "width", "height").join(uniques.select(*keys, "seq", "url", "engine", "engine_label", "page_url", "canon", F.col("data").alias("img")), keys)
     v = verdicts.join(info, keys).withColumn("node", F.concat_ws("/", *keys))
     crop = F.col("label") == "CROP"
-    open_ = v.where(F.col("label").isin("EXACT_1TO1", "NEAR_1TO1", "EDITED_1TO1") | crop)
-    a = open_.select("query_id", "label", F.col("node").alias("cid_a"), F.col("overlap").alias("oa"), F.col("img").alias("ia"))
-    b = open_.select("query_id", "label", F.col("node").alias("cid_b"), F.col("overlap").alias("ob"), F.col("img").alias("ib"))
-    near = (F.col("label") != "CROP") | (F.abs(F.col("oa") - F.col("ob")) <= merge.BAND)
-    pairs = a.join(b, ["query_id", "label"]).where((F.col("cid_a") < F.col("cid_b")) & near)
-    quick = ws.save(images.quick_pairs(pairs.repartition("cid_a", "cid_b"), ["cid_a", "cid_b"], "ia", "ib"), "quick")
-    edges = quick.where(merge.same_picture(F.col("identity"), F.col("changed_fraction"), F.col("edit_labels"))).select("cid_a", "cid_b")
+    # one summary a candidate; what goes with the pairs is a thumbnail, not the image
+    short = ws.save(images.summaries(v.where(F.col("label").isin(*merge.MERGED)).select("node", "img"), ["node"], "img").where("error IS NULL").drop("error"), "summaries")
+    near = merge.pairs_to_compare(v.select("query_id", "label", F.col("node").alias("cid"), "overlap", "sha256"))
+    sides = [short.toDF(*(c if c == "node" else f"{side}_{c}" for c in short.columns)).withColumnRenamed("node", f"cid_{side}") for side in ("a", "b")]
+    pairs = near.where("NOT same_bytes").join(sides[0], "cid_a").join(sides[1], "cid_b")
+    quick = ws.save(images.quick_pairs(pairs.repartition("cid_a", "cid_b"), ["cid_a", "cid_b"], "a_", "b_"), "quick")
+    alike = near.where("same_bytes").select("cid_a", "cid_b")
+    edges = quick.where(merge.same_picture(F.col("identity"), F.col("changed_fraction"), F.col("edit_labels"))).select("cid_a", "cid_b").unionAll(alike)
     clusters = merge.clusters(v.select("node"), edges, "node")
     grouped = v.join(clusters, "node")
     rep = merge.representative(grouped.drop("cid").withColumn("cid", F.col("node")), ["query_id", "cluster"], "seq")

@@ -1,57 +1,12 @@
-"""Record schemas and the label dimension."""
+"""The label dimension."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
 from twinlens import config
 
-_TYPES = {
-    "bigint": T.LongType(),
-    "int": T.IntegerType(),
-    "double": T.DoubleType(),
-    "float": T.FloatType(),
-    "boolean": T.BooleanType(),
-    "string": T.StringType(),
-    "binary": T.BinaryType(),
-}
-
-
-def _kind(text: str) -> T.DataType:
-    return T.ArrayType(_kind(text[6:-1])) if text.startswith("array<") else _TYPES[text]
-
-
-def _struct(fields: str) -> T.StructType:
-    return T.StructType([T.StructField(n, _kind(k)) for n, k in (f.split() for f in fields.split(", "))])
-
-
-HIT = _struct(
-    "seq bigint, url string, engine string, engine_label string, page_url string, title string, width int, height int, engine_score double"
-)
-SOURCE = _struct("engine string, engine_label string, url string, page_url string, title string, engine_score double")
-IMAGE = _struct("width int, height int, fmt string, sha256 string, byte_size bigint, orientation int, pixels binary, error string")
-FINGERPRINT = _struct(
-    "sha256 string, width int, height int, ahash bigint, dhash bigint, phash bigint, whash bigint, color_hist array<float>, luma_mean double, luma_std double"
-)
-COVERAGE = _struct("original double, candidate double, box array<double>, scale double")
-FILTER_DECISION = _struct("cid string, kept boolean, reason string, hash_sim double, color_sim double")
-EDITS = _struct(
-    "gain double, offset double, linear_r2 double, residual_mad double, brightness boolean, contrast boolean, colour boolean, blur boolean, sharpen boolean, "
-    "watermark boolean, border boolean, recompressed boolean, changed_fraction double, localised_fraction double, peak_fraction double, "
-    "localised_box array<double>, border_frac double, channel_shift array<double>, sharpness_ratio double"
-)
-SIGNALS = _struct(
-    "sha_identical boolean, orientation string, aspect_sim double, hash_sim double, hash_sim_global double, hash_sim_aligned double, hist_corr double, "
-    "emb_cos double, ssim double, ms_ssim double, ssim_raw double, nrmse_sim double, psnr double, grad_corr double, inliers int, inlier_ratio double, "
-    "trusted boolean, template_score double, template_direction string, coverage_orig double, coverage_cand double, coverage_source string, "
-    "align_method string, align_valid_fraction double, changed_fraction double, localised_fraction double, edit_labels array<string>, error string"
-)
-CARD = _struct(
-    "card_key string, label string, display string, group_name string, confidence double, overlap double, representative_cid string, best_url string, "
-    "best_width int, best_height int, member_cids array<string>, pages array<string>, engines array<string>, engine_labels array<string>"
-)
-LABEL = _struct("label string, is_one_to_one boolean, group_name string, group_rank int, display string, title string")
+LABEL = "label string, is_one_to_one boolean, group_name string, group_rank int, display string, title string"
 
 
 def label_dimension(spark: SparkSession) -> DataFrame:
