@@ -76,6 +76,11 @@ class Workspace:
         fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         return [str(f.getPath()) for f in fs.listStatus(p) if f.isDirectory()] if fs.exists(p) else []
 
+    def settle(self) -> None:
+        """Let Spark delete the shuffle files of writes that are done: it does so when the driver's JVM collects
+        their plans, which it may put off for long on a driver with memory to spare."""
+        self.spark._jvm.System.gc()
+
     def drop_paths(self, paths: list[str]) -> None:
         for path in paths:
             _delete(self.spark, path)
