@@ -3,7 +3,11 @@
 Texts are cut into pre-tokens with array operations on code points, and only the distinct
 pre-tokens of a batch are encoded. The encoder groups pre-tokens by length into padded
 integer matrices; in each round every row merges its leftmost pair of least rank, found in a
-hashed pair table, and rows without a mergeable pair leave the matrix.
+hashed pair table, and rows without a mergeable pair leave the matrix. Where that pair stands in a row many times, as in
+very long words, all its places are merged in one round if none of the merges makes a pair of equal or lesser rank, as the order then
+doesn't matter; so rounds are bounded by the different merges of a word and not by its length.
+
+Pre-tokens are looked up by a hash and then compared, sign by sign, with what was remembered under it.
 
 Defined cases: a null and an empty text give an empty list; strings that look like special
 tokens are ordinary text; extra columns of the input don't matter; repeated rows give
@@ -13,7 +17,6 @@ repeated rows; an empty table gives an empty table; text of any length is encode
 from __future__ import annotations
 
 import base64
-import heapq
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -32,8 +35,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 CACHE_WORDS = 400_000
 #: Code points handled at once.
 BLOCK_CHARS = 1 << 20
-#: Pre-tokens of more bytes are merged one by one with a heap, in n log n.
-LONG_BYTES = 512
+#: Places of a row's least pair from which on they are merged together.
+MANY_PLACES = 8
 
 NONE = np.int32(np.iinfo(np.int32).max)
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -166,14 +169,10 @@ class Ranks:
         done_rows: list[np.ndarray] = []
         done_mats: list[np.ndarray] = []
         bucket = np.where(n <= 8, n, np.where(n <= 32, (n + 3) // 4 * 4, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64)))
-        bucket[n > LONG_BYTES] = -1
         for width in np.unique(bucket[bucket > 0]):
             rows = np.flatnonzero(bucket == width)
             for part in np.array_split(rows, max(1, len(rows) * int(width) // 2_000_000 + 1)):
                 self._rounds(part, int(width), flat, begin, n, done_rows, done_mats)
-        for r in np.flatnonzero(bucket == -1):
-            done_rows.append(np.array([r]))
-            done_mats.append(self._heap(flat[begin[r] : begin[r] + n[r]])[None, :])
         for rows, mat in zip(done_rows, done_mats):
             counts[rows] = (mat >= 0).sum(axis=1)
         at = np.cumsum(counts) - counts
@@ -203,6 +202,16 @@ class Ranks:
                 if not len(rows):
                     return
                 at = np.arange(len(rows))
+            if mat.shape[1] > 2 * MANY_PLACES:
+                merged = False
+                for i in np.flatnonzero((rank == low[:, None]).sum(axis=1) >= MANY_PLACES):
+                    if (both := self._merge_all(mat[i], rank[i], low[i])) is not None:
+                        mat[i], rank[i] = both
+                        merged = True
+                if merged:  # the other rows merge in a later round
+                    used = max(1, int((mat >= 0).sum(axis=1).max()))
+                    mat, rank = np.ascontiguousarray(mat[:, :used]), np.ascontiguousarray(rank[:, :used])
+                    continue
             mat[at, best] = low
             width = mat.shape[1]
             src = np.arange(width - 1) + (np.arange(width - 1) > best[:, None])
@@ -214,45 +223,29 @@ class Ranks:
             b = np.flatnonzero(best > 0)
             rank[b, best[b] - 1] = self.pair(mat[b, best[b] - 1], mat[b, best[b]])
 
-    def _heap(self, ids: np.ndarray) -> np.ndarray:
-        """The same merges for one long word, with a heap over a linked list."""
-        ids = ids.tolist()
-        n = len(ids)
-        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-        ranks = self.pair(np.array(ids[:-1]), np.array(ids[1:]))
-        heap = [(int(r), i) for i, r in enumerate(ranks) if r != NONE]
-        heapq.heapify(heap)
-        now = {i: int(r) for i, r in enumerate(ranks)}
-        none = int(NONE)
-        while heap:
-            r, i = heapq.heappop(heap)
-            if ids[i] < 0 or now.get(i) != r:
-                continue
-            j = nxt[i]
-            ids[i], ids[j] = r, -1
-            nxt[i] = nxt[j]
-            now.pop(j, None)
-            if nxt[j] < n:
-                prv[nxt[j]] = i
-            for left in (prv[i], i):
-                if left >= 0:
-                    right = nxt[left]
-                    now[left] = self.one(ids[left], ids[right]) if right < n else none
-                    if now[left] != none:
-                        heapq.heappush(heap, (now[left], left))
-        return np.array([x for x in ids if x >= 0], dtype=np.int32)
-
-    def one(self, a: int, b: int) -> int:
-        key = (a << 32) | b
-        home, mask = ((key * int(_MULT)) & 0xFFFFFFFFFFFFFFFF) >> (64 - self.bits), (1 << self.bits) - 1
-        for i in range(self.probes):
-            slot = (home + i) & mask
-            found = int(self.keys[slot])
-            if found == key:
-                return int(self.vals[slot])
-            if found == 0xFFFFFFFFFFFFFFFF:
-                break
-        return int(NONE)
+    def _merge_all(self, ids: np.ndarray, rank: np.ndarray, low: np.int32) -> tuple[np.ndarray, np.ndarray] | None:
+        """One row with all places of its least pair merged from the left; None if a merge would make a pair of
+        equal or lesser rank, which would come before the places behind it."""
+        p = np.flatnonzero(rank == low)
+        # of places in a row every other one: they overlap
+        start = np.flatnonzero(np.append(True, np.diff(p) > 1))
+        p = p[(np.arange(len(p)) - np.repeat(start, np.diff(np.append(start, len(p))))) % 2 == 0]
+        before = np.append(ids, np.int32(-1))
+        after = ids.copy()
+        after[p] = low
+        after = np.append(np.delete(after, p + 1), np.int32(-1))
+        q = p - np.arange(len(p))
+        left = np.where(q > 0, self.pair(after[q - 1], after[q]), NONE)
+        right, next_before = self.pair(after[q], after[q + 1]), self.pair(after[q], before[np.minimum(p + 2, len(ids))])
+        if min(left.min(), right.min(), next_before.min()) <= low:
+            return None
+        new = np.delete(rank, p + 1)
+        new[q] = right
+        new[q[q > 0] - 1] = left[q > 0]
+        width = len(ids)
+        out, ranks = np.full(width, np.int32(-1)), np.full(width, NONE)
+        out[: len(after) - 1], ranks[: len(new)] = after[:-1], new
+        return out, ranks
 
 
 class Encoder:
@@ -268,6 +261,11 @@ class Encoder:
         self.count = np.zeros(1024, dtype=np.int64)
         self.pool = np.zeros(4096, dtype=np.int32)
         self.used = 0
+        # the signs of each word remembered
+        self.signs = np.zeros(4096, dtype=np.uint32)
+        self.sign_start = np.zeros(1024, dtype=np.int64)
+        self.length = np.zeros(1024, dtype=np.int64)
+        self.signs_used = 0
 
     @staticmethod
     def _room(a: np.ndarray, n: int) -> np.ndarray:
@@ -277,9 +275,17 @@ class Encoder:
         out[: len(a)] = a
         return out
 
-    def _learn(self, hashes: list[int], words: list[bytes]) -> None:
-        ids, counts = self.ranks.encode_words(words)
+    def _learn(self, hashes: list[int], words: list[str]) -> None:
         at, n = len(self.known), len(words)
+        signs, length = codes("".join(words)), np.fromiter(map(len, words), dtype=np.int64, count=n)
+        self.sign_start, self.length = self._room(self.sign_start, at + n), self._room(self.length, at + n)
+        self.signs = self._room(self.signs, self.signs_used + len(signs))
+        self.signs[self.signs_used : self.signs_used + len(signs)] = signs
+        self.sign_start[at : at + n] = self.signs_used + np.cumsum(length) - length
+        self.length[at : at + n] = length
+        self.signs_used += len(signs)
+        words = [w.encode("utf-8", "surrogatepass") for w in words]
+        ids, counts = self.ranks.encode_words(words)
         self.start, self.count = self._room(self.start, at + n), self._room(self.count, at + n)
         self.pool = self._room(self.pool, self.used + len(ids))
         self.pool[self.used : self.used + len(ids)] = ids
@@ -288,6 +294,26 @@ class Encoder:
         self.used += len(ids)
         self.known.update(zip(hashes, range(at, at + n)))
 
+    def _same(self, c: np.ndarray, starts: np.ndarray, ends: np.ndarray, word: np.ndarray) -> bool:
+        """Whether every pre-token is the word remembered for it."""
+        n = ends - starts
+        if not np.array_equal(n, self.length[word]):
+            return False
+        # pre-tokens are one behind the other, so that their signs are the block itself
+        return np.array_equal(self.signs[np.repeat(self.sign_start[word] - starts, n) + np.arange(starts[0], ends[-1])], c[starts[0] : ends[-1]])
+
+    def _words(self, h: np.ndarray, whole: str, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The number of the word remembered for each pre-token's hash; new ones are learnt."""
+        uniq, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.known) + len(uniq) > CACHE_WORDS:
+            self._forget()
+        keys = uniq.tolist()
+        new = [i for i, x in enumerate(keys) if x not in self.known]
+        if new:
+            at = first[new]
+            self._learn([keys[i] for i in new], [whole[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())])
+        return np.fromiter(map(self.known.__getitem__, keys), dtype=np.int64, count=len(keys))[inverse]
+
     def _block(self, texts: list[str], want_ids: bool) -> tuple[np.ndarray | None, np.ndarray]:
         lens = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
         whole = "".join(texts)
@@ -298,27 +324,21 @@ class Encoder:
             return np.zeros(0, dtype=np.int32), np.zeros(len(texts), dtype=np.int64)
         ends = np.append(starts[1:], len(c))
         h = span_hash(prefix_hash(c), starts, ends)
-        uniq, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) + len(uniq) > CACHE_WORDS:
+        word = self._words(h, whole, starts, ends)
+        clash = not self._same(c, starts, ends, word)
+        if clash:  # two words under one hash: number the words of this block and forget them afterwards
             self._forget()
-        keys = uniq.tolist()
-        new = [i for i, x in enumerate(keys) if x not in self.known]
-        if new:
-            at = first[new]
-            self._learn(
-                [keys[i] for i in new],
-                [whole[a:b].encode("utf-8", "surrogatepass") for a, b in zip(starts[at].tolist(), ends[at].tolist())],
-            )
-        where = np.fromiter(map(self.known.__getitem__, keys), dtype=np.int64, count=len(keys))
-        word = where[inverse]
+            number: dict[str, int] = {}
+            h = np.array([number.setdefault(whole[a:b], len(number)) for a, b in zip(starts.tolist(), ends.tolist())], dtype=np.uint64)
+            word = self._words(h, whole, starts, ends)
         n = self.count[word]
         total = np.concatenate(([0], np.cumsum(n)))
         edge = np.searchsorted(starts, np.append(doc, len(c)))
         per_doc = total[edge[1:]] - total[edge[:-1]]
-        if not want_ids:
-            return None, per_doc
-        flat = np.repeat(self.start[word] - total[:-1], n) + np.arange(total[-1])
-        return self.pool[flat], per_doc
+        ids = self.pool[np.repeat(self.start[word] - total[:-1], n) + np.arange(total[-1])] if want_ids else None
+        if clash:
+            self._forget()
+        return ids, per_doc
 
     def encode(self, texts: list[str | None], want_ids: bool = True) -> tuple[np.ndarray | None, np.ndarray]:
         """Ids of all texts, one after the other (None unless wanted), and how many each has."""

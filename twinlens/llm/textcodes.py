@@ -22,36 +22,35 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=1)
-def code_values() -> np.ndarray:
-    """A fixed pseudo-random 64-bit value for each code point."""
-    return mix64(np.arange(0x110000, dtype=np.uint64) + U64(0x632BE59BD9B4E019))
+@lru_cache(maxsize=2)
+def code_values(family: int = 0) -> np.ndarray:
+    """A fixed pseudo-random 64-bit value for each code point; each family has others."""
+    return mix64(np.arange(0x110000, dtype=np.uint64) + U64(0x632BE59BD9B4E019) * U64(2 * family + 1))
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_POWERS = [np.zeros(0, dtype=np.uint64)] * 2
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> list[np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, at least ``n`` of each."""
-    size = 1 << max(12, int(n - 1).bit_length())
-    if size not in _POWERS:
-        _POWERS.clear()
-        up = np.full(size, U64(_BASE))
-        down = np.full(size, U64(_BASE_INV))
-        up[0] = down[0] = 1
-        _POWERS[size] = (np.multiply.accumulate(up), np.multiply.accumulate(down))
-    return _POWERS[size]
+    if n > len(_POWERS[0]):
+        size = 1 << max(12, int(n - 1).bit_length())
+        for i, base in enumerate((_BASE, _BASE_INV)):
+            x = np.full(size, U64(base))
+            x[0] = 1
+            _POWERS[i] = np.multiply.accumulate(x)
+    return _POWERS
 
 
 def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def prefix_hash(c: np.ndarray) -> np.ndarray:
+def prefix_hash(c: np.ndarray, family: int = 0) -> np.ndarray:
     """Prefix sums from which ``span_hash`` takes the hash of any span; one longer than ``c``."""
     up, _ = powers(len(c) + 1)
     out = np.zeros(len(c) + 1, dtype=np.uint64)
-    np.cumsum(code_values()[c] * up[: len(c)], out=out[1:])
+    np.cumsum(code_values(family)[c] * up[: len(c)], out=out[1:])
     return out
 
 
