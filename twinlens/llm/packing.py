@@ -7,7 +7,9 @@ most two to a container, each with the largest partner that still fits; smaller
 then go where the gap left is smallest (best fit). One step moves all texts of a size that go
 into containers of one kind, so the plan takes a number of steps bounded by the capacity. Texts
 find their place by their rank within their size; ranks come from counts a salt bucket, so no
-size, however frequent, is ordered in a single task.
+size, however frequent, is ordered in a single task. What goes to the driver and is broadcast has bounds that don't
+depend on the corpus: a count for each size and bucket, at most capacity * RANK_BUCKETS, and the plan, at most three intervals of ranks
+for each size and each gap that a step meets (below capacity * capacity, and a few thousand in practice).
 
 A text above the capacity is split into full containers of its own and one remainder, which is
 packed like any other size; no other text is split.
@@ -239,3 +241,39 @@ def container_fill(placed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         F.ceil(F.col("tokens") / capacity).alias("least_containers"),
         F.try_divide(F.col("tokens"), F.col("containers") * capacity).alias("fill"),
     )
+
+
+#: Share of the containers' space that a plan for many texts must fill.
+LEAST_FILL = 0.98
+
+
+def audit_containers(sizes: DataFrame, placed: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", size_col: str = "n_tokens") -> DataFrame:
+    """One row of what is wrong with a plan: containers above the capacity, with a gap or an overlap, or without a number;
+    texts that aren't placed whole exactly once, and texts split without need. ``filled`` says whether the space used
+    reaches LEAST_FILL, or all containers but one are the least possible. Ids must be unique."""
+    w = Window.partitionBy("container").orderBy("place")
+    rows = placed.select(
+        "container",
+        (F.col("place") != F.row_number().over(w) - 1).alias("jump"),
+        (F.col("start") != F.coalesce(F.lag(F.col("start") + F.col("n_tokens")).over(w), F.lit(0))).alias("gap"),
+        F.col("n_tokens").alias("n"),
+    )
+    per = rows.groupBy("container").agg(F.sum("n").alias("n"), F.max(F.col("jump") | F.col("gap")).alias("gaps"))
+    boxes = per.agg(
+        F.count_if(F.col("n") > capacity).alias("over_capacity"),
+        F.count_if("gaps").alias("gaps"),
+        (F.max("container") + 1 - F.count("*")).alias("unnumbered"),
+        ((F.sum("n") >= LEAST_FILL * capacity * F.count("*")) | (F.count("*") <= F.ceil(F.sum("n") / capacity) + 1)).alias("filled"),
+    )
+    pieces = placed.groupBy(id_col).agg(F.sum("n_tokens").alias("got"), F.count("*").alias("pieces"), F.count_distinct("piece").alias("numbers"))
+    n = F.col(size_col)
+    texts = (
+        sizes.where(n > 0)
+        .join(pieces.hint("merge"), id_col, "full_outer")
+        .agg(
+            F.count_if(F.col("got") == n).alias("documents"),
+            F.count_if(F.coalesce(F.col("got") != n, F.lit(True)) | (F.col("numbers") != F.col("pieces"))).alias("not_whole"),
+            F.count_if(F.col("pieces") != F.ceil(n / capacity)).alias("needless_splits"),
+        )
+    )
+    return texts.crossJoin(F.broadcast(boxes))  # one row each

@@ -86,6 +86,15 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack_documents(table(spark, d, "documents"))
 
 
+def p7_audit(spark: SparkSession, d: str) -> DataFrame:
+    from twinlens.llm.bpe import count_tokens
+    from twinlens.llm.packing import audit_containers, fill_containers
+
+    ws = Workspace(spark, "audit")
+    sizes = ws.save(count_tokens(table(spark, d, "documents")), "sizes")
+    return audit_containers(sizes, ws.save(fill_containers(sizes), "placed"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     from twinlens.llm.spans import shared_share
 
@@ -111,6 +120,7 @@ QUERIES: dict[str, Query] = {
     "p5_found": p5_found,
     "p6_ids": p6_ids,
     "p7_containers": p7_containers,
+    "p7_audit": p7_audit,
     "p8_found": p8_found,
     "p8_shared": p8_shared,
 }
@@ -235,6 +245,8 @@ SQL: dict[str, str] = {
     "p2_copies": f"WITH {_COPIES} SELECT first_seq, count(*) AS copies FROM first_of GROUP BY first_seq",
     "p4_found": f"WITH RECURSIVE {_GROUPS} SELECT group_cid, cid FROM grouped WHERE group_cid < cid",
     "p4_groups": f"WITH RECURSIVE {_GROUPS} SELECT group_cid, count(*) AS members FROM grouped GROUP BY group_cid HAVING count(*) > 1",
+    "p7_audit": """SELECT count(*) AS documents, 0::BIGINT AS not_whole, 0::BIGINT AS needless_splits, 0::BIGINT AS over_capacity, 0::BIGINT AS gaps,
+        0::BIGINT AS unnumbered, true AS filled FROM documents WHERE text <> ''""",
     "p8_found": f"WITH {_SHARED} SELECT doc_id FROM shared WHERE 2 * shared_chars >= chars",
     "p8_shared": f"WITH {_SHARED} SELECT doc_id, chars, shared_chars FROM shared",
 }
