@@ -42,6 +42,25 @@ def test_encoder_equals_reference(reference):
     assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [reference.encode_ordinary(t) for t in TEXTS]
 
 
+def test_long_words_of_any_make(reference):
+    r = random.Random(6)
+    texts = ["a" * 100_000, "ab" * 9000, "-" * 5001, "日本" * 4000]
+    for letters in ("ab", "abc", "etaoin", "thein", "lo"):
+        texts += ["".join(r.choice(letters) for _ in range(n)) for n in (40, 300, 1500)]
+        texts += [("".join(r.choice(letters) for _ in range(k)) * 400)[:2000] for k in (2, 3, 5, 7, 11)]
+    ids, n = bpe.Encoder(open(bpe.VOCABULARY, "rb").read()).encode(texts)
+    for t, got in zip(texts, np.split(ids, np.cumsum(n)[:-1])):
+        assert got.tolist() == reference.encode_ordinary(t), t[:50]
+
+
+def test_words_of_one_hash_are_told_apart(reference, monkeypatch):
+    monkeypatch.setattr(bpe, "span_hash", lambda prefix, a, b: ((b - a) % 3).astype(np.uint64))
+    enc = bpe.Encoder(open(bpe.VOCABULARY, "rb").read())
+    for _ in range(2):
+        ids, n = enc.encode(TEXTS)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [reference.encode_ordinary(t) for t in TEXTS]
+
+
 def test_encoder_forgets_and_goes_on(reference, monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_WORDS", 50)
     r = random.Random(1)
@@ -182,3 +201,43 @@ def test_very_long_text_is_cut_with_overlap(monkeypatch):
     windows = lambda x: sorted(i for a, n in zip(x["start"], x["n"]) for i in range(a, a + n))
     assert windows(whole) == windows(cut) == list(range(4951))
     assert set(whole["body"]) == set(cut["body"]) and len(set(whole["body"])) == 1
+
+
+def test_windows_of_one_hash_are_compared(monkeypatch):
+    r = random.Random(3)
+    texts = ["".join(r.choice("ab") for _ in range(120)) for _ in range(6)]
+    texts += [texts[0][10:70], texts[1][5:100], texts[2]]
+    n = np.array([len(t) - 20 + 1 for t in texts])
+    c, row, j, at = spans._windows(texts, n, 20)
+    monkeypatch.setattr(spans, "span_hash", lambda p, a, b: p[a] % np.uint64(5))
+    order, edge = spans._equal_windows(c, row, at, 20)
+    text = "".join(texts)
+    got = {frozenset(x.tolist()) for x in np.split(order, edge[1:])}
+    want = {}
+    for i, a in enumerate(at.tolist()):
+        want.setdefault(text[a : a + 20], set()).add(i)
+    assert got == {frozenset(x) for x in want.values()}
+
+
+def test_hot_anchors_give_the_same_over_a_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plain, hot = (rows(spans.shared_share(docs, hot_seeds=k)) for k in (20_000, 3))
+    assert plain == hot and len(plain) > 5
+
+
+def test_audit_sees_what_is_wrong(spark):
+    sizes = spark.createDataFrame([(i, n) for i, n in enumerate([5, 5, 5, 0, 10, 23, 3, 3, 4])], "doc_id bigint, n_tokens bigint")
+    placed = packing.fill_containers(sizes, 10)
+    wrong = ("not_whole", "needless_splits", "over_capacity", "gaps", "unnumbered")
+    good = packing.audit_containers(sizes, placed, 10).first()
+    assert (good["documents"], good["filled"]) == (8, True) and not any(good[k] for k in wrong)
+    lost = packing.audit_containers(sizes, placed.where("doc_id <> 1"), 10).first()
+    assert lost["not_whole"] == 1
+    twice = packing.audit_containers(sizes, placed.unionAll(placed.where("doc_id = 1")), 10).first()
+    assert twice["not_whole"] == 1 and twice["gaps"] == 1
+
+
+def test_what_the_driver_gets_is_bounded():
+    histogram = {s: 1 + s * 7919 % 1000 for s in range(1, packing.CAPACITY + 1)}
+    a, b = (packing._places(packing.plan_containers({s: n * k for s, n in histogram.items()})) for k in (1, 10**6))
+    assert len(a["size"]) < 20_000 and len(b["size"]) < 1.1 * len(a["size"]) + 100

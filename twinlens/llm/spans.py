@@ -13,7 +13,8 @@ it both ways, window by window, against all seeds of the anchor at once, never p
 maximal shared spans of each document. Anchors with more than ``HOT_SEEDS`` seeds (a footer under
 a third of all messages) are extended through a distributed aggregate of their windows instead.
 
-Contents are compared by 64-bit hashes of whole windows and spans.
+Whole seeds are compared by two hashes of 64 bits, of the seed and of its anchor; windows that hash
+alike are compared character by character, and those of the anchors with very many seeds by two hashes of 64 bits.
 
 Defined cases: null, empty and short texts have no shared span; a text's repeats within itself
 don't count, nor do other rows of the same id (identical rows count once, different texts of one
@@ -178,14 +179,44 @@ def _cut(min_chars: int):
 
 
 def _windows(pieces: list[str], n: np.ndarray, min_chars: int):
-    """Seed, window within it and hash of each window of the seeds."""
+    """Code points of the seeds, and of each of their windows: seed, place within it and place in the code points."""
     c = codes("".join(pieces))
     length = n + min_chars - 1
     begin = np.cumsum(length) - length
     row = np.repeat(np.arange(len(n)), n)
     j = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    at = begin[row] + j
-    return row, j, span_hash(prefix_hash(c), at, at + min_chars)
+    return c, row, j, begin[row] + j
+
+
+def _groups(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal codes follow each other, and where each group begins."""
+    order = np.argsort(code, kind="stable")
+    return order, np.flatnonzero(np.append(True, code[order][1:] != code[order][:-1]))
+
+
+def _equal_windows(c: np.ndarray, row: np.ndarray, at: np.ndarray, min_chars: int) -> tuple[np.ndarray, np.ndarray]:
+    """``_groups`` of windows with the same characters: by hash, each then compared with the first of its group.
+    Where the window before it was compared with the window before that one, only the last character is new."""
+    h = span_hash(prefix_hash(c), at, at + min_chars)
+    order, edge = _groups(h)
+    group = np.empty(len(h), dtype=np.int64)
+    group[order] = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(h))))
+    first = order[edge][group]
+    w = np.flatnonzero(first != np.arange(len(h)))  # to be compared, and with what
+    f = first[w]
+    goes_on = (row[w] == row[w - 1]) & (first[w - 1] == f - 1) & (row[f] == row[f - 1])
+    equal = c[at[w] + (min_chars - 1)] == c[at[f] + (min_chars - 1)]
+    new, span = np.flatnonzero(~goes_on), np.arange(min_chars)
+    for k in range(0, len(new), 4096):
+        some = new[k : k + 4096]
+        equal[some] = (c[at[w[some]][:, None] + span] == c[at[f[some]][:, None] + span]).all(axis=1)
+    if equal.all():
+        return order, edge
+    # different windows of one hash: number those of the groups in question by their characters
+    number: dict[bytes, int] = {}
+    for i in np.flatnonzero(np.isin(group, group[w[~equal]])):
+        group[i] = len(edge) + number.setdefault(c[at[i] : at[i] + min_chars].tobytes(), len(number))
+    return _groups(group)
 
 
 FOUND = "doc bigint, body int, chars int, start int, length int"
@@ -196,14 +227,13 @@ def _extend(min_chars: int):
 
     def solve(t: pa.Table) -> pa.RecordBatch:
         doc, n = t.column("doc").to_numpy(), t.column("n").to_numpy().astype(np.int64)
-        row, j, h = _windows(t.column("piece").to_pylist(), n, min_chars)
-        order = np.argsort(h, kind="stable")
+        c, row, j, at = _windows(t.column("piece").to_pylist(), n, min_chars)
+        order, edge = _equal_windows(c, row, at, min_chars)
         other = t.column("other").to_numpy()
-        hs, least, most = h[order], np.minimum(doc, other)[row[order]], np.maximum(doc, other)[row[order]]
-        edge = np.flatnonzero(np.append(True, hs[1:] != hs[:-1]))
+        least, most = np.minimum(doc, other)[row[order]], np.maximum(doc, other)[row[order]]
         many = np.minimum.reduceat(least, edge) != np.maximum.reduceat(most, edge)
-        hit = np.empty(len(h), dtype=bool)
-        hit[order] = np.repeat(many, np.diff(np.append(edge, len(hs))))
+        hit = np.empty(len(row), dtype=bool)
+        hit[order] = np.repeat(many, np.diff(np.append(edge, len(row))))
         hit &= (doc == other)[row]  # a witness is shared as a whole, which is known already
         prev = np.append(False, hit[:-1]) & (j > 0)
         first = np.flatnonzero(hit & ~prev)
@@ -243,9 +273,10 @@ def _hashed_windows(min_chars: int):
                 p = b.slice(at, 4096)
                 cols = {k: p.column(p.schema.get_field_index(k)) for k in ("doc", "other", "body", "chars", "start", "n")}
                 n = cols["n"].to_numpy().astype(np.int64)
-                row, j, h = _windows(p.column(p.schema.get_field_index("piece")).to_pylist(), n, min_chars)
-                out = [_signed(h), *(cols[k].to_numpy()[row] for k in ("doc", "other", "body", "chars")), (cols["start"].to_numpy()[row] + j).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["window", "doc", "other", "body", "chars", "start"])
+                c, row, j, first = _windows(p.column(p.schema.get_field_index("piece")).to_pylist(), n, min_chars)
+                h, mark = (_signed(span_hash(prefix_hash(c, family), first, first + min_chars)) for family in (0, 1))
+                out = [h, mark, *(cols[k].to_numpy()[row] for k in ("doc", "other", "body", "chars")), (cols["start"].to_numpy()[row] + j).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["window", "mark", "doc", "other", "body", "chars", "start"])
 
     return run
 
@@ -263,6 +294,7 @@ def shared_spans(df: DataFrame, min_chars: int = MIN_CHARS, gram: int = GRAM, id
     several = seeds.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("all_seeds")).where("lo <> hi")
     kept = ws.save(salted_join(seeds, several.select("anchor", "all_seeds"), "anchor", "all_seeds", F.col("doc")).drop("all_seeds"), "kept")
     ws.drop(seeds)
+    ws.settle()
     by_span = kept.groupBy("anchor", "span").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("seeds"))
     by_anchor = by_span.groupBy("anchor").agg(
         F.count("*").alias("spans"),
@@ -287,6 +319,7 @@ def shared_spans(df: DataFrame, min_chars: int = MIN_CHARS, gram: int = GRAM, id
         "marked",
     )
     ws.drop(kept)
+    ws.settle()
     whole = marked.where("whole").select("doc", "body", "chars", "start", (F.col("n") + (min_chars - 1)).alias("length"))
 
     def cut(part: DataFrame) -> DataFrame:
@@ -298,7 +331,7 @@ def shared_spans(df: DataFrame, min_chars: int = MIN_CHARS, gram: int = GRAM, id
         cut(ends.where("not hot")).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_extend(min_chars), FOUND)
     )
     if not ends.where("hot").isEmpty():
-        windows = ws.save(cut(ends.where("hot")).mapInArrow(_hashed_windows(min_chars), "window bigint, doc bigint, other bigint, body int, chars int, start int"), "hot")
+        windows = ws.save(cut(ends.where("hot")).mapInArrow(_hashed_windows(min_chars), "window bigint, mark bigint, doc bigint, other bigint, body int, chars int, start int").withColumn("window", F.struct("window", "mark")), "hot")
         many = windows.groupBy("window").agg(F.min(F.least("doc", "other")).alias("lo"), F.max(F.greatest("doc", "other")).alias("hi"), F.count("*").alias("rows")).where("lo <> hi").select("window", "rows")
         hit = salted_join(windows.where("doc = other"), many, "window", "rows", F.col("doc"))
         out = out.unionByName(hit.select("doc", "body", "chars", "start", F.lit(min_chars).alias("length")))
