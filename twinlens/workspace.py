@@ -10,6 +10,7 @@ still reads stays until ``release`` is called, or until the driver's JVM ends.
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,7 +79,9 @@ class Workspace:
 
     def settle(self) -> None:
         """Let Spark delete the shuffle files of writes that are done: it does so when the driver's JVM collects
-        their plans, which it may put off for long on a driver with memory to spare."""
+        their plans, which it may put off for long on a driver with memory to spare. Events of the write still hold
+        its plan for a moment."""
+        time.sleep(0.3)
         self.spark._jvm.System.gc()
 
     def drop_paths(self, paths: list[str]) -> None:
