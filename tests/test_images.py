@@ -25,7 +25,7 @@ def test_inline_data_and_corpus(spark, tmp_path):
     for n in ("b.png", "sub/a.PNG", "note.txt"):
         (tmp_path / n).write_bytes(A if n != "note.txt" else b"x")
     corpus = I.folder_hits(spark, str(tmp_path))
-    assert rows(corpus, "url", "title") == [("/corpus/b.png", "b"), ("/corpus/sub/a.PNG", "a")]
+    assert rows(corpus.where("engine_label <> '' AND page_url LIKE 'file:///%'"), "url", "title") == [("/corpus/b.png", "b"), ("/corpus/sub/a.PNG", "a")]
     hits = spark.createDataFrame([(1, "/corpus/b.png"), (2, "https://x/y"), (3, "data:image/png;base64,QUJD"), (4, "data:x;base64,"), (5, None)], "id int, url string")
     got = {r["id"]: (bytes(r["data"]) if r["data"] is not None else None, r["error"]) for r in I.load_bytes(hits, corpus).collect()}
     assert got[1] == (A, None) and got[2] == (None, "not fetched") and got[3] == (b"ABC", None) and got[4] == (None, "empty file") and got[5][0] is None
@@ -64,11 +64,11 @@ def test_engine_source_survives_a_failing_engine(spark):
 
 
 def test_case_matrix(spark):
-    got = pictures.case_matrix(spark, "").collect()
-    wrong = [(r["name"], r["label"]) for r in got if r["label"] != r["expected"]]
-    assert len(got) == 19 and not wrong
-    overlap = {r["name"]: r["overlap"] for r in got}
-    assert overlap["crop_centre"] == pytest.approx(0.25, abs=0.08) and overlap["crop_corner"] == pytest.approx(0.4092, abs=0.08)
+    got = {r["name"]: r for r in pictures.case_matrix(spark, "").collect()}
+    cases = demo.cases(demo.scene())
+    wrong = [(n, got[n]["label"]) for n, _, e in cases if got[n]["label"] != e]
+    assert len(got) == len(cases) == 28 and not wrong
+    assert sorted(n for n, r in got.items() if r["covers_as_cut"]) == ["crop_centre", "crop_corner", "crop_wide"]
 
 
 def test_demo_pipeline(spark):
@@ -99,3 +99,81 @@ def test_api(spark, tmp_path):
     run.store(str(tmp_path / "run"))
     assert bytes(spark.read.parquet(str(tmp_path / "run" / "originals")).first()["data"]) == A
     assert api.list_thresholds(spark).count() == 8 and api.list_engines(spark).count() >= 2
+
+
+def test_files_of_other_formats(spark, tmp_path):
+    from twinlens.kernels import compare as C
+    from twinlens.kernels.jpeg import jpeg_encode
+
+    a = I.read_rgb(A)
+    jvm = spark._jvm
+    (tmp_path / "a.png").write_bytes(A)
+    picture = jvm.javax.imageio.ImageIO.read(jvm.java.io.File(str(tmp_path / "a.png")))
+    data = [("png", A), ("jpg", jpeg_encode(a, 92)), ("exif", jpeg_encode(a.transpose(1, 0, 2)[::-1], 95, 6)), ("broken", b"\xff\xd8\xffno"), ("empty", b""), ("null", None), ("again", jpeg_encode(a, 92))]
+    for kind in ("gif", "bmp", "tiff"):
+        jvm.javax.imageio.ImageIO.write(picture, kind, jvm.java.io.File(str(tmp_path / f"a.{kind}")))
+        data.append((kind, (tmp_path / f"a.{kind}").read_bytes()))
+    df = spark.createDataFrame([(n, None if b is None else bytearray(b)) for n, b in data], "name string, data binary")
+    got = {r["name"]: r["data"] for r in I.normalised(df).collect()}
+    assert len(got) == len(data) and bytes(got["broken"]) == b"\xff\xd8\xffno" and got["null"] is None and bytes(got["empty"]) == b"" and bytes(got["png"]) == A
+    for name, least in (("jpg", 30), ("exif", 30), ("again", 30), ("gif", 20), ("bmp", 99), ("tiff", 99)):
+        assert C.psnr(I.read_rgb(bytes(got[name])), a) > least, name
+
+
+def test_jpeg_round_trip(spark, tmp_path):
+    from twinlens.kernels import compare as C
+    from twinlens.kernels.jpeg import jpeg_encode
+
+    a = demo.scene(width=93, height=61, shapes=20)
+    for q in (10, 50, 90, 100):
+        (tmp_path / f"{q:03d}.jpg").write_bytes(jpeg_encode(a, q))
+    (tmp_path / "flat.jpg").write_bytes(jpeg_encode(a[:8, :8] * 0 + 200, 75))
+    got = {os.path.basename(r["path"]): I.read_rgb(bytes(r["data"])) for r in I.decode_folder(spark, str(tmp_path)).collect()}
+    quality = [C.psnr(got[f"{q:03d}.jpg"], a) for q in (10, 50, 90, 100)]
+    assert quality == sorted(quality) and quality[0] > 22 and quality[-1] > 42 and abs(got["flat.jpg"].astype(int) - 200).max() <= 1
+
+
+def test_addresses_are_fetched_within_limits(spark, monkeypatch):
+    def fetch(url):
+        if "gone" in url:
+            raise OSError("404")
+        return {"https://x/a": ("image/png; charset=x", A), "https://x/text": ("text/html", b"<html>"), "https://x/huge": ("image/png", b"0" * (24 << 20) + b"1"), "https://x/none": ("", b"")}[url]
+
+    urls = ["https://x/a", "https://x/a", "https://x/text", "https://x/huge", "https://x/none", "https://x/gone", "data:image/png;base64,QUJD", None]
+    hits = spark.createDataFrame(list(enumerate(urls)), "id int, url string")
+    got = {r["id"]: (None if r["data"] is None else bytes(r["data"]), r["error"]) for r in I.load_bytes(hits, fetch=fetch).collect()}
+    assert got[0] == got[1] == (A, None) and got[2] == (None, "not an image: text/html") and got[3] == (None, "too large") and got[4] == (None, "empty file")
+    assert got[5] == (None, "download failed: 404") and got[6] == (b"ABC", None) and got[7] == (None, "no data")
+
+
+def test_folder_without_images_and_the_query_itself(spark, tmp_path):
+    import hashlib
+
+    with pytest.raises(ValueError):
+        I.folder_hits(spark, str(tmp_path))
+    (tmp_path / "q.png").write_bytes(A)
+    (tmp_path / "r.png").write_bytes(png_encode(demo.unrelated(1, 64, 48)))
+    sha = hashlib.sha256(A).hexdigest()
+    assert rows(I.folder_hits(spark, str(tmp_path), query_sha=sha), "title") == [("r",)]
+
+
+def test_engines_that_take_an_upload(spark):
+    asked = []
+
+    def send(step, url, image):
+        asked.append((step, url, image))
+        return {"upload": "see /upload/abcdefghij0123456789xyz now", "results": "page", "visit": ""}[step]
+
+    got = connectors.page_search(b"img", send, "https://e/upload", "https://e/r?p=/upload/{token}", warm_url="https://e/")
+    assert got == "page" and [a[0] for a in asked] == ["visit", "upload", "results"] and asked[-1][1].endswith("/upload/abcdefghij0123456789xyz")
+    named = connectors.page_search(b"img", lambda s, u, i: '{"uploaded-image": "n1"}' if s == "upload" else u, "u", "r={token}", token="name")
+    assert named == "r=n1"
+    for answer, token in (("nothing", "id"), ("{}", "name"), ("no json", "name"), ("[]", "name")):
+        with pytest.raises(ValueError):
+            connectors.page_search(b"img", lambda *a, answer=answer: answer, "u", "{token}", token=token)
+    with pytest.raises(ValueError):
+        connectors.answer_search(b"img", send, "https://e", None)
+    df = spark.createDataFrame([("a", "x /upload/abcdefghij0123456789xyz y", '{"uploadedImage":"n2"}'), ("b", "none", "{}")], "engine string, body string, j string")
+    assert rows(df.select(connectors.upload_id(F.col("body")).alias("i"), connectors.upload_name(F.col("j")).alias("n")).where("i IS NOT NULL")) == [("abcdefghij0123456789xyz", "n2")]
+    hits = df.where("engine = 'a'").select("engine")
+    assert rows(connectors.hits_or_failure(hits, df)) == [("b", "no results that can be read")]

@@ -19,6 +19,7 @@ class FilterConfig:
     rescue_color_sim: float = 0.80
     rescue_hash_sim: float = 0.55
     hard_cap: int = 60
+    low_size: int = 192
     work_size: int = 512
     compare_size: int = 256
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 SIDE = 8
 
@@ -100,3 +101,22 @@ for _mirror in (False, True):
 
 def oriented(v: Column, name: str) -> Column:
     return F.transform(F.array(*(F.lit(i) for i in ORIENTATIONS[name])), lambda i: F.get(v, i))
+
+
+def mixed_derivative(v: Column) -> Column:
+    """The second derivative across and down at the 36 places inside a tile."""
+    at = F.array(*(F.lit(y * SIDE + x) for y in range(SIDE - 2) for x in range(SIDE - 2)))
+    low = 2 * SIDE
+    return F.transform(at, lambda i: F.get(v, i + low + 2) - F.get(v, i + low) - F.get(v, i + 2) + F.get(v, i))
+
+
+def color_bins(df: DataFrame, key: str, pixels: str) -> DataFrame:
+    """(key, bin, n, share): counts in the 64 bins of the two high bits of each channel, and their share of the histogram's
+    length. ``pixels`` holds bytes, three a pixel."""
+    size = F.floor(F.size(pixels) / 3).cast("int")
+    start = F.when(size > 0, F.transform(F.sequence(F.lit(0), size - 1), lambda i: i * 3))
+    channel = lambda i, k: F.shiftright(F.get(F.col(pixels), i + k), 6)
+    bins = F.transform(start, lambda i: channel(i, 0) * 16 + channel(i, 1) * 4 + channel(i, 2))
+    n = df.select(key, F.explode(bins).alias("bin")).groupBy(key, "bin").agg(F.count("*").alias("n"))
+    length = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key)))
+    return n.select(key, "bin", "n", F.round(F.col("n") / length, 6).alias("share"))

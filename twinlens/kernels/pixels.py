@@ -106,7 +106,7 @@ def exif_orientation(data: bytes) -> int:
 # ---- PNG -------------------------------------------------------------------------------------------
 
 
-def png_encode(rgb: np.ndarray) -> bytes:
+def png_encode(rgb: np.ndarray, effort: int = 6) -> bytes:
     """8-bit RGB or gray."""
     a = np.ascontiguousarray(rgb, dtype=np.uint8)
     h, w = a.shape[:2]
@@ -116,7 +116,40 @@ def png_encode(rgb: np.ndarray) -> bytes:
         return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
     head = struct.pack(">IIBBBBB", w, h, 8, 2 if a.ndim == 3 else 0, 0, 0, 0)
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw, 6)) + chunk(b"IEND", b"")
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw, effort)) + chunk(b"IEND", b"")
+
+
+def _unfilter(kinds: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Rows as they were before filtering. A run of rows that look to the left and above is undone along its
+    diagonals, all rows of the run at once, each a pixel behind the one above it."""
+    h, w, planes = x.shape
+    out = np.zeros((h + 1, w + 1, planes), dtype=np.int32)  # a border of zeros above and at the left
+    y = 0
+    while y < h:
+        if kinds[y] not in (3, 4):
+            row = x[y].astype(np.int32)
+            if kinds[y] == 1:
+                row = np.cumsum(row, axis=0)
+            elif kinds[y] == 2:
+                row = row + out[y, 1:]
+            out[y + 1, 1:] = row & 255
+            y += 1
+            continue
+        end = y
+        while end < h and kinds[end] in (3, 4):
+            end += 1
+        paeth = (kinds[y:end] == 4)[:, None]
+        n = end - y
+        for d in range(n + w - 1):
+            r = np.arange(max(0, d - w + 1), min(n, d + 1))
+            i, j = y + r + 1, d - r + 1
+            left, up, corner = out[i, j - 1], out[i - 1, j], out[i - 1, j - 1]
+            p = left + up - corner
+            a, b, c = np.abs(p - left), np.abs(p - up), np.abs(p - corner)
+            best = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+            out[i, j] = (x[i - 1, j - 1] + np.where(paeth[r], best, (left + up) // 2)) & 255
+        y = end
+    return out[1:, 1:].astype(np.uint8)
 
 
 def png_decode(data: bytes) -> np.ndarray:
@@ -144,28 +177,7 @@ def png_decode(data: bytes) -> np.ndarray:
         rows = np.frombuffer(zlib.decompress(b"".join(body)), dtype=np.uint8).reshape(h, 1 + w * planes)
     except (TypeError, KeyError, struct.error, zlib.error, ValueError) as e:
         raise ValueError("unsupported image") from e
-    out = np.zeros((h, w, planes), dtype=np.uint8)
-    above = np.zeros((w, planes), dtype=np.int32)
-    for y in range(h):
-        kind, x = int(rows[y, 0]), rows[y, 1:].reshape(w, planes).astype(np.int32)
-        if kind == 1:
-            x = np.cumsum(x, axis=0)
-        elif kind == 2:
-            x = x + above
-        elif kind in (3, 4):
-            left, corner = np.zeros(planes, dtype=np.int32), np.zeros(planes, dtype=np.int32)
-            for i in range(w):
-                up = above[i]
-                if kind == 3:
-                    left = (x[i] + (left + up) // 2) & 255
-                else:
-                    p = left + up - corner
-                    a, b, c = np.abs(p - left), np.abs(p - up), np.abs(p - corner)
-                    left = (x[i] + np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))) & 255
-                corner = up
-                x[i] = left
-        above = x & 255
-        out[y] = above
+    out = _unfilter(rows[:, 0], rows[:, 1:].reshape(h, w, planes))
     if color == 3:
         return palette[out[:, :, 0]]
     return out[:, :, :3].copy() if planes >= 3 else np.repeat(out[:, :, :1], 3, axis=2)

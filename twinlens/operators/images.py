@@ -88,6 +88,16 @@ def _picture(raw: bytes, work_size: int) -> P.Picture:
     return P.Picture(read_rgb(raw), work_size)
 
 
+def look_at(df: DataFrame, keys: list[str], data: str = "data") -> DataFrame:
+    """keys, size and the brightest value of each image."""
+
+    def work(raw: bytes) -> dict:
+        rgb = read_rgb(raw)
+        return {"width": rgb.shape[1], "height": rgb.shape[0], "brightest": int(rgb.max())}
+
+    return _map(df, keys, [data], "width int, height int, brightest int", work)
+
+
 def pair_signals(df: DataFrame, keys: list[str], original: str, candidate: str, sha_a: str, sha_b: str, deep: bool, work_size: int = 512, size: int = 256) -> DataFrame:
     """keys, the signals of each pair, its sizes, and the names of the edits that its measurements speak for."""
 

@@ -15,6 +15,7 @@ from twinlens.functions import urls as U
 from twinlens.functions import vectors as V
 from twinlens.operators import classify, dedupe, filtering, images, merge
 from twinlens.schema import label_dimension
+from twinlens.sources import images as formats
 from twinlens.workspace import Workspace
 
 
@@ -52,11 +53,12 @@ def run(originals: DataFrame, hits: DataFrame) -> Report:
     spark = originals.sparkSession
     ws = Workspace(spark, "pipeline")
     hits = ws.save(hits, "hits")
+    originals = ws.save(formats.normalised(originals), "originals")
     # 1: first address wins, the others are aliases; at most so many a query
     canon = hits.withColumn("canon", U.canonical_url(F.col("url")))
     first, aliases = dedupe.unique_and_aliases(canon, F.struct("query_id", "canon"), [F.col("seq")])
     uniques = dedupe.number_candidates(dedupe.limit_per_query(first, "query_id", [F.col("seq")], LIMITS.max_candidates), "query_id", [F.col("seq")])
-    uniques = ws.save(uniques, "uniques")
+    uniques = ws.save(formats.normalised(uniques), "uniques")
     # 2: fingerprints; identical bytes are one
     prints = ws.save(images.fingerprints(uniques.repartition("query_id", "cid"), ["query_id", "cid"]), "prints")
     original = ws.save(images.fingerprints(originals, ["query_id"]), "original")
@@ -76,7 +78,7 @@ def run(originals: DataFrame, hits: DataFrame) -> Report:
     both = kept.join(bytes_, ["query_id", "cid"]).join(originals.select("query_id", F.col("data").alias("orig")), "query_id")
     # 4: provisional verdict at low resolution, without geometry
     keys = ["query_id", "cid"]
-    low = ws.save(images.pair_signals(both.repartition(*keys), keys, "orig", "cand", "o_sha", "sha256", False, 192, FILTER.compare_size), "low")
+    low = ws.save(images.pair_signals(both.repartition(*keys), keys, "orig", "cand", "o_sha", "sha256", False, FILTER.low_size, FILTER.compare_size), "low")
     first_look = classify.verdict_columns(low.where("error IS NULL"))
     promising = ws.save(first_look.where(filtering.promising(F.col("identity"))).select(*keys), "promising")
     # 5: all signals for the promising ones

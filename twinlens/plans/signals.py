@@ -91,18 +91,45 @@ def verdict_groups(spark: SparkSession, d: str) -> DataFrame:
     return v.join(F.broadcast(dim), "label")
 
 
+# four digits, halves up
+_R4 = "CAST(round(CAST(round({0}, 9) AS DECIMAL(18, 9)), 4) AS DOUBLE)"
+
+
+def _held(name: str, value: str, bound: float) -> str:
+    return f"format('{name} {{:.4f}} ', {_R4.format(value)}) || CASE WHEN {value} >= {bound} THEN '>= {bound:g}' ELSE '< {bound:g}' END"
+
+
+_ONE = "label IN ('EXACT_1TO1', 'NEAR_1TO1', 'EDITED_1TO1')"
+_TURNS = "CASE orientation WHEN 'rot90' THEN 'rotated 90 degrees' WHEN 'mirror-h' THEN 'mirrored horizontally' END"
+_FINDINGS = [
+    ("sha_identical", "'same bytes'"),
+    ("coverage_source = 'none'", "'no geometry, shape compared instead'"),
+    ("label = 'CROP'", "'shows a part of the original'"),
+    ("partial AND label <> 'CROP'", "'partial view, yet other pixels'"),
+    ("label = 'EDITED_1TO1' AND cc < 0.96", "'whole original within a larger picture'"),
+    ("NOT sha_identical AND (label = 'CROP' OR partial OR (rejected AND co < 0.9))", _held("original covered", "co", 0.9)),
+    ("label IN ('CROP', 'EDITED_1TO1')", _held("candidate covered", "cc", 0.75)),
+    (f"(NOT sha_identical AND {_ONE}) OR rejected", _held("identity", "identity", 0.84)),
+    ("NOT sha_identical AND label = 'EXACT_1TO1'", _held("identity", "identity", 0.92)),
+    ("rejected", _held("identity", "identity", 0.55)),
+    ("rejected", _held("structure", "ssim", 0.45)),
+    ("label = 'CROP'", _held("structure", "ssim", 0.8)),
+    ("NOT sha_identical", "format('changed blocks {:.4f} ', " + _R4.format("changed_fraction") + ") || CASE WHEN clean THEN '<= 0.12' ELSE '> 0.12' END"),
+    ("label = 'EDITED_1TO1' AND material", f"'edits: ' || concat_ws(', ', {_TURNS}, CASE WHEN edit_code = 0 THEN 'brightness' END)"),
+    ("NOT sha_identical AND label IN ('EXACT_1TO1', 'NEAR_1TO1') AND edit_code <= 1", "'harmless: ' || CASE edit_code WHEN 0 THEN 'brightness' ELSE 'recompressed' END"),
+    ("NOT sha_identical AND label IN ('CROP', 'EXACT_1TO1')", "'aligned by ' || coverage_source"),
+]
+
+
 @query(
-    f"""WITH {_VERDICT} SELECT k, n,
-    CASE WHEN coverage_source = 'none' THEN 1 ELSE 0 END + CASE WHEN sha_identical THEN 1 ELSE CASE label
-      WHEN 'CROP' THEN 2
-      WHEN 'EDITED_1TO1' THEN partial + CASE WHEN cc < 0.96 THEN 1 ELSE 0 END + CASE WHEN material THEN 1 ELSE 0 END + 1
-      WHEN 'EXACT_1TO1' THEN partial + 2 + has_edit WHEN 'NEAR_1TO1' THEN partial + 1 + has_edit
-      ELSE partial + CASE WHEN co < 0.9 THEN 1 ELSE 0 END + CASE WHEN clean THEN 0 ELSE 1 END + CASE WHEN identity < 0.84 THEN 1 ELSE 0 END + 1 END END AS reasons
-    FROM (SELECT *, CASE WHEN co < 0.96 AND cc >= 0.75 THEN 1 ELSE 0 END AS partial, CASE WHEN edit_code <= 1 THEN 1 ELSE 0 END AS has_edit FROM c) x"""
+    f"WITH {_VERDICT} SELECT k, n, concat_ws('; ', "
+    + ", ".join(f"CASE WHEN {when} THEN {text} END" for when, text in _FINDINGS)
+    + """) AS reasons FROM (SELECT *, NOT sha_identical AND co < 0.96 AND cc >= 0.75 AS partial, label IN ('VISUALLY_SIMILAR', 'UNRELATED') AS rejected FROM c) x"""
 )
 def verdict_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """The findings of each verdict, word for word."""
     v = classify.reasons(classify.verdict_columns(_signals(spark, d).withColumn("align_method", F.col("coverage_source"))))
-    return v.select("k", "n", F.size("reasons").alias("reasons"))
+    return v.select("k", "n", F.array_join("reasons", "; ").alias("reasons"))
 
 
 @query(f"WITH {_SIG} SELECT identity >= 0.4675 AS promoted, count(*) AS pairs, count(DISTINCT k) AS originals FROM sig GROUP BY 1")

@@ -91,10 +91,18 @@ def _pixels(spark: SparkSession, d: str) -> DataFrame:
     return _tiles(spark, d).select("vec_id", F.posexplode("v").alias("i", "p"))
 
 
-@query(f"WITH {_PX} SELECT vec_id, CAST(greatest(0, least(3, floor(p * 8 + 2))) AS INT) AS bin, count(*) AS n FROM px GROUP BY ALL")
+_LEVEL = "CAST(greatest(0, least(255, floor(v[{0}] * 512 + 128))) AS INT) // 64"
+
+
+@query(
+    f"""WITH {_TILES}, t AS (SELECT vec_id, v, unnest(range(0, 21)) AS i FROM tiles),
+    b AS (SELECT vec_id, ({_LEVEL.format("3 * i + 1")}) * 16 + ({_LEVEL.format("3 * i + 2")}) * 4 + {_LEVEL.format("3 * i + 3")} AS bin FROM t),
+    n AS (SELECT vec_id, bin, count(*) AS n FROM b GROUP BY ALL)
+    SELECT vec_id, bin, n, round(n / sqrt(sum(n * n) OVER (PARTITION BY vec_id)), 6) AS share FROM n"""
+)
 def color_hist_bins(spark: SparkSession, d: str) -> DataFrame:
-    p = _pixels(spark, d).select("vec_id", F.greatest(F.lit(0), F.least(F.lit(3), F.floor(F.col("p") * 8 + 2))).cast("int").alias("bin"))
-    return p.groupBy("vec_id", "bin").agg(F.count("*").alias("n"))
+    """The 64 bins of the two high bits of three channels, of unit length; three numbers of a tile stand for the channels of a pixel."""
+    return T.color_bins(_tiles(spark, d).select("vec_id", F.transform("v", lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(x * 512 + 128))).cast("int")).alias("px")), "vec_id", "px")
 
 
 # pairs of a tile and the next one of its label
@@ -125,18 +133,42 @@ def pixel_errors(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+_MIXED = (
+    "list_transform(range(36), lambda i: {0}[(i // 6 + 2) * 8 + i % 6 + 3] - {0}[(i // 6 + 2) * 8 + i % 6 + 1] - {0}[i // 6 * 8 + i % 6 + 3] + {0}[i // 6 * 8 + i % 6 + 1])"
+)
+
+
 @query(
-    f"""WITH {_PAIRS}, g AS (SELECT vec_id, other, covar_samp(b, a) / var_pop(a) AS gain, avg(a) AS ma, avg(b) AS mb, corr(a, b) AS r FROM pp GROUP BY ALL)
-    SELECT vec_id, other, round(gain, 6) AS gain, round(mb - gain * ma, 6) AS offset_, round(greatest(0, least(1, r * r)), 6) AS r2 FROM g"""
+    f"""WITH {_TILES}, nxt AS (SELECT vec_id, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS other FROM embeddings),
+    m AS (SELECT n.vec_id, n.other, {_MIXED.format("a.v")} AS x, {_MIXED.format("b.v")} AS y FROM nxt n JOIN tiles a ON a.vec_id = n.vec_id JOIN tiles b ON b.vec_id = n.other),
+    e AS (SELECT vec_id, other, unnest(x) AS x, unnest(y) AS y FROM m)
+    SELECT vec_id, other, round(CASE WHEN stddev_pop(x) < 1e-6 OR stddev_pop(y) < 1e-6 THEN 0 ELSE greatest(0, least(1, corr(x, y))) END, 6) AS grad_corr FROM e GROUP BY ALL"""
+)
+def gradient_correlations(spark: SparkSession, d: str) -> DataFrame:
+    """Correlation of the mixed second derivatives of a tile and the next one of its label, inside the frame."""
+    e = table(spark, d, "embeddings")
+    nxt = e.withColumn("n", F.lead(F.struct("vec_id", "embedding")).over(Window.partitionBy("label").orderBy("vec_id"))).where("n IS NOT NULL")
+    x, y = T.mixed_derivative(F.col("embedding").cast("array<double>")), T.mixed_derivative(F.col("n.embedding").cast("array<double>"))
+    z = nxt.select("vec_id", F.col("n.vec_id").alias("other"), F.explode(F.arrays_zip(x.alias("x"), y.alias("y"))).alias("z"))
+    flat = (F.stddev_pop("z.x") < 1e-6) | (F.stddev_pop("z.y") < 1e-6)
+    corr = F.when(flat, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.corr("z.x", "z.y"))))
+    return z.groupBy("vec_id", "other").agg(F.round(corr, 6).alias("grad_corr"))
+
+
+@query(
+    f"""WITH {_PAIRS}, g AS (SELECT vec_id, other, covar_samp(b, a) / var_pop(a) AS gain, avg(a) AS ma, avg(b) AS mb FROM pp GROUP BY ALL),
+    e AS (SELECT vec_id, other, sum((b - gain * a - (mb - gain * ma)) ** 2) AS res, sum((b - mb) ** 2) AS tot FROM pp JOIN g USING (vec_id, other) GROUP BY ALL)
+    SELECT vec_id, other, round(gain, 6) AS gain, round(mb - gain * ma, 6) AS offset_, round(CASE WHEN tot > 1e-9 THEN greatest(0, least(1, 1 - res / tot)) ELSE 1 END, 6) AS r2
+    FROM g JOIN e USING (vec_id, other)"""
 )
 def gain_offset_fit(spark: SparkSession, d: str) -> DataFrame:
-    """Sample covariance over population variance, as the fit is defined."""
+    """Sample covariance over population variance, as the fit is defined, and the share of variance this line explains."""
     g = _pixel_pairs(spark, d).groupBy("vec_id", "other").agg(
-        (F.covar_samp("b", "a") / F.var_pop("a")).alias("gain"), F.avg("a").alias("ma"), F.avg("b").alias("mb"), F.corr("a", "b").alias("r")
-    )
-    return g.select(
-        "vec_id", "other", F.round("gain", 6).alias("gain"), F.round(F.col("mb") - F.col("gain") * F.col("ma"), 6).alias("offset_"), F.round(F.least(F.lit(1.0), F.col("r") * F.col("r")), 6).alias("r2")
+        (F.covar_samp("b", "a") / F.var_pop("a")).alias("gain"), F.avg("a").alias("ma"), F.avg("b").alias("mb"), F.var_pop("a").alias("va"), F.var_pop("b").alias("vb"), F.covar_pop("b", "a").alias("c")
     )
+    left = F.col("vb") - 2 * F.col("gain") * F.col("c") + F.col("gain") * F.col("gain") * F.col("va")
+    r2 = F.when(F.col("vb") * 64 > 1e-9, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - left / F.col("vb")))).otherwise(1.0)
+    return g.select("vec_id", "other", F.round("gain", 6).alias("gain"), F.round(F.col("mb") - F.col("gain") * F.col("ma"), 6).alias("offset_"), F.round(r2, 6).alias("r2"))
 
 
 @query(

@@ -7,6 +7,10 @@ or no answer at all give no hits.
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -64,9 +68,51 @@ def hits_from_page(df: DataFrame, drop: list[str], suffixes: str = "jpg|jpeg|png
     return _hits(t, F.col("url"), F.lit(label), none.cast("string"), none.cast("string"), none, none, none)
 
 
-def upload_token(body: Column) -> Column:
-    """The long token by which an engine names an uploaded image, '' without one."""
-    return F.regexp_extract(body, r"[?&]p=([A-Za-z0-9_\-]{20,})", 1)
+def upload_id(body: Column) -> Column:
+    """The id by which a page names an uploaded image, null without one."""
+    return F.nullif(F.regexp_extract(body, r"/upload/([A-Za-z0-9_\-]{20,})", 1), F.lit(""))
+
+
+def upload_name(body: Column) -> Column:
+    """The name under which a JSON answer to an upload gives the image, null without one."""
+    return F.nullif(F.coalesce(F.get_json_object(body, "$['uploaded-image']"), F.get_json_object(body, "$.uploadedImage")), F.lit(""))
+
+
+#: Sends one request, given a step's name, an address and the bytes to upload or None, and returns the answer's text.
+Send = Callable[[str, str, bytes | None], str]
+
+
+def page_search(image: bytes, send: Send, upload_url: str, results_url: str, token: str = "id", warm_url: str | None = None) -> str:
+    """The results page of an engine that takes an upload first (S4, S5): an optional first visit for its cookies, the
+    upload, the token out of its answer (an ``id`` in a page or a ``name`` in JSON), and the page of results named by it,
+    which ``results_url`` has as {token}. Raises ValueError where an answer holds no token."""
+    if warm_url:
+        send("visit", warm_url, None)
+    answer = send("upload", upload_url, image)
+    if token == "id":
+        found = re.search(r"/upload/([A-Za-z0-9_\-]{20,})", answer)
+        name = found and found.group(1)
+    else:
+        try:
+            given = json.loads(answer)
+        except ValueError as e:
+            raise ValueError("the upload's answer is no JSON") from e
+        name = given.get("uploaded-image") or given.get("uploadedImage") if isinstance(given, dict) else None
+    if not name:
+        raise ValueError("the upload's answer names no image")
+    return send("results", results_url.format(token=name), None)
+
+
+def answer_search(image: bytes, send: Send, url: str, key: str | None) -> str:
+    """The answer of an engine with an interface and a key (S2, S3). Raises ValueError without a key."""
+    if not key:
+        raise ValueError("no key is set")
+    return send("search", url, image)
+
+
+def hits_or_failure(hits: DataFrame, answers: DataFrame) -> DataFrame:
+    """(engine, failure) of the engines whose answers gave no hit at all."""
+    return answers.select("engine").distinct().join(hits.select("engine").distinct(), "engine", "left_anti").withColumn("failure", F.lit("no results that can be read"))
 
 
 def number_hits(hits: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
+from twinlens.kernels.jpeg import jpeg_encode
 from twinlens.kernels.pixels import orient, png_encode, resize
 
 
@@ -100,6 +101,53 @@ def variants(a: np.ndarray) -> dict[str, tuple[np.ndarray, str]]:
     }
 
 
+def other_photo(a: np.ndarray, seed: int = 11) -> np.ndarray:
+    """The same subject shot again: a zoom of four hundredths, a change of perspective, and new fine detail."""
+    r = np.random.default_rng(seed)
+    h, w = a.shape[:2]
+    y, x = np.mgrid[0:h, 0:w].astype(float)
+    depth = 1 + 0.05 * (x / w - 0.5) + 0.03 * (y / h - 0.5)
+    u = np.clip(((x - w / 2) / 1.04) / depth + w / 2, 0, w - 1).astype(int)
+    v = np.clip(((y - h / 2) / 1.04) / depth + h / 2, 0, h - 1).astype(int)
+    grain = resize(_bytes(128 + r.normal(0, 60, (h // 3, w // 3, 3))), w, h).astype(float) - 128
+    return _bytes(a[v, u] + grain * 0.3 + r.normal(0, 6, a.shape))
+
+
+def cases(a: np.ndarray) -> list[tuple[str, bytes, str]]:
+    """(name, file, label it deserves) of the labelled matrix: the same picture in other files, edits, turns, crops and
+    what must not be taken for it. Edits are JPEG files as a camera or a site would make them, turns are PNG."""
+    exact, edited = "EXACT_1TO1", "EDITED_1TO1"
+    made = variants(a)
+    h, w = a.shape[:2]
+    png = png_encode(a)
+    r = np.random.default_rng(3)
+    out = [
+        ("identical_bytes", png, exact),
+        ("renamed_identical", png, exact),
+        ("metadata_stripped", jpeg_encode(a, 90), exact),
+        ("metadata_added", jpeg_encode(np.ascontiguousarray(np.rot90(a)), 95, 6), exact),
+        ("resized_down_half", png_encode(resize(a, w // 2, h // 2)), exact),
+        ("resized_up_double", jpeg_encode(resize(a, w * 2, h * 2), 92), exact),
+        ("jpeg_recompressed", jpeg_encode(a, 82), exact),
+        ("png_to_jpeg", jpeg_encode(a, 88), exact),
+        ("heavily_compressed", jpeg_encode(a, 18), exact),
+    ]
+    for name in ("brightness_up", "brightness_down", "contrast_up", "colour_shift", "watermarked", "bordered", "blurred"):
+        out.append((name, jpeg_encode(made[name][0], 90), edited))
+    for name in ("screenshot", "rotated_90", "rotated_180", "mirrored"):
+        out.append((name, png_encode(made[name][0]), edited))
+    for name in ("crop_centre", "crop_corner", "crop_wide"):
+        out.append((name, jpeg_encode(made[name][0], 90), "CROP"))
+    grainy = _bytes(_soften(a, 1.8) + r.normal(0, 14, a.shape))
+    return out + [
+        ("grainy", png_encode(grainy), "NEAR_1TO1"),
+        ("different_photo_same_subject", jpeg_encode(other_photo(a), 90), "VISUALLY_SIMILAR"),
+        ("lookalike", jpeg_encode(made["lookalike"][0], 90), "VISUALLY_SIMILAR"),
+        ("unrelated_image", jpeg_encode(made["unrelated"][0], 90), "UNRELATED"),
+        ("broken_file", png[: len(png) // 2], "ERROR"),
+    ]
+
+
 def result_set(a: np.ndarray, include_unrelated: int = 3) -> list[dict]:
     """Hits with their bytes: the variants, one address given twice, the same bytes at another address,
     a lookalike and unrelated images."""

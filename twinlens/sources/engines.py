@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-HIT_DDL = "seq bigint, url string, engine string, engine_label string, page_url string, title string, width int, height int, engine_score double, data binary"
+from twinlens.workspace import Workspace
+
+HIT_DDL = "seq bigint, url string, engine string, engine_label string, page_url string, title string, width int, height int, engine_score double, data binary, failure string"
 _FIELDS = [f.split()[0] for f in HIT_DDL.split(", ")]
 
 #: name -> function of the image's bytes that returns hits as dictionaries.
@@ -42,7 +44,7 @@ class _Reader(DataSourceReader):
         try:
             hits = cloudpickle.loads(part.blob)(self.image)
         except Exception as e:  # one engine's failure doesn't end the search
-            yield tuple({"engine": part.name, "title": f"error: {e}", "seq": -1}.get(k) for k in _FIELDS)
+            yield tuple({"engine": part.name, "failure": str(e) or type(e).__name__}.get(k) for k in _FIELDS)
             return
         for i, h in enumerate(hits):
             row = {"engine": part.name, "seq": i + 1, "engine_label": "", "page_url": "", "title": ""} | h
@@ -82,8 +84,9 @@ def search(spark: SparkSession, image: bytes, names: list[str] | None = None) ->
     chosen = {n: _ENGINES[n] for n in names or () if n in _ENGINES} or dict(_ENGINES)
     spark.dataSource.register(EngineSource)
     options = {"engines": base64.b64encode(cloudpickle.dumps(chosen)).decode(), "image": base64.b64encode(image).decode()}
-    rows = spark.read.format("engines").options(**options).load()
-    outcomes = rows.groupBy("engine").agg(
-        F.count_if(F.col("seq") > 0).alias("count"), F.max(F.when(F.col("seq") < 0, F.regexp_replace("title", "^error: ", ""))).alias("error")
-    )
-    return rows.where("seq > 0"), outcomes
+    ws = Workspace(spark, "engines")
+    rows = ws.save(spark.read.format("engines").options(**options).load(), "answers")  # each engine is asked once
+    outcomes = rows.groupBy("engine").agg(F.count_if(F.col("failure").isNull()).alias("count"), F.max("failure").alias("error"))
+    asked = spark.createDataFrame([(n,) for n in sorted(chosen)], "engine string")
+    outcomes = asked.join(outcomes, "engine", "left").select("engine", F.coalesce("count", F.lit(0)).alias("count"), "error")
+    return rows.where("failure IS NULL").drop("failure"), outcomes
