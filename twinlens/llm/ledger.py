@@ -65,7 +65,7 @@ class CopyLedger:
     def _write(self, df: DataFrame, name: str) -> dict[int, str]:
         """Write a table partitioned by its ``bucket``; the folders by bucket."""
         path = self.ws.path(name)
-        df.write.partitionBy("bucket").parquet(path)
+        self.ws.write(df.write.partitionBy("bucket"), path)
         return {int(f.rsplit("=", 1)[1]): f for f in self.ws.folders(path) if "bucket=" in f}
 
     def _read(self, paths: list[str], schema: str) -> DataFrame:

@@ -294,7 +294,6 @@ def shared_spans(df: DataFrame, min_chars: int = MIN_CHARS, gram: int = GRAM, id
     several = seeds.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("all_seeds")).where("lo <> hi")
     kept = ws.save(salted_join(seeds, several.select("anchor", "all_seeds"), "anchor", "all_seeds", F.col("doc")).drop("all_seeds"), "kept")
     ws.drop(seeds)
-    ws.settle()
     by_span = kept.groupBy("anchor", "span").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("seeds"))
     by_anchor = by_span.groupBy("anchor").agg(
         F.count("*").alias("spans"),
@@ -319,7 +318,6 @@ def shared_spans(df: DataFrame, min_chars: int = MIN_CHARS, gram: int = GRAM, id
         "marked",
     )
     ws.drop(kept)
-    ws.settle()
     whole = marked.where("whole").select("doc", "body", "chars", "start", (F.col("n") + (min_chars - 1)).alias("length"))
 
     def cut(part: DataFrame) -> DataFrame:
