@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ from twinlens.operators.ranking import spread_rank
 STEPS = 4096
 
 
+def usable(error: Column, sha: Column, hashes: list[Column]) -> Column:
+    """Whether a candidate has an image and all of its fingerprints (P5)."""
+    return reduce(lambda a, b: a & b, [error.isNull(), sha.isNotNull(), *(h.isNotNull() for h in hashes)])
+
+
 def gate(fused: Column, color: Column) -> Column:
     return (fused >= FILTER.keep_hash_sim) | rescue(fused, color)
 

@@ -32,3 +32,22 @@ def spread_rank(df: DataFrame, group: list[str], step: Column, order: list[Colum
     sums = {k: F.col(f"__{k}0") + F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)) for k, c in running.items()}
     out = out.withColumns({rank: F.col("__n0") + F.row_number().over(w)} | sums)
     return out.drop("__group", "__step", "__n0", *(f"__{k}0" for k in running))
+
+
+def percentiles(df: DataFrame, group: str, value: str, shares: dict[str, float], step: Column) -> DataFrame:
+    """(group and a column for each of ``shares``): exact percentiles, interpolated between neighbours, without bringing the
+    values of a group together. ``step`` grows with the value."""
+    ranked = spread_rank(df.where(F.col(value).isNotNull()), [group], step, [F.col(value)], "__rank", {"__rows": F.lit(1)})
+    n = F.col("total___rows")
+
+    def at(share: float, side) -> Column:
+        return F.max(F.when(F.col("__rank") == side((n - 1) * share + 1), F.col(value).cast("double")))
+
+    ends = ranked.groupBy(group).agg(F.max(n).alias("__n"), *(at(q, side).alias(f"__{name}_{k}") for name, q in shares.items() for k, side in (("lo", F.floor), ("hi", F.ceil))))
+
+    def between(name: str, share: float) -> Column:
+        place = (F.col("__n") - 1) * share
+        lo, hi = F.col(f"__{name}_lo"), F.col(f"__{name}_hi")
+        return lo + (hi - lo) * (place - F.floor(place))
+
+    return ends.select(group, *(between(k, q).alias(k) for k, q in shares.items()))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinlens.config import UNKNOWN_RANK
+from twinlens.functions.urls import host
 from twinlens.operators.ranking import spread_rank
 
 
@@ -75,6 +76,34 @@ def union_sources(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+#: What a card of the report states, and to how many digits.
+REPORT = (
+    "card_key string, label string, display string, group_name string, group_rank int, confidence double, overlap double, representative_cid string, best_url string, best_width int, best_height int, "
+    "member_cids array<string>, pages array<string>, engines array<string>, luma_mean double, download_ms int, stage_reached int, error string"
+)
+DIGITS = {"confidence": 1, "overlap": 4, "luma_mean": 2}
+
+
+def to_report_json(cards: DataFrame) -> DataFrame:
+    """``cards`` with ``j``, the report's text of each card: numbers rounded, nulls written out."""
+    names = [f.split()[0] for f in REPORT.split(", ")]
+    fields = [report_number(F.col(n), DIGITS[n]).alias(n) if n in DIGITS else F.col(n) for n in names]
+    return cards.withColumn("j", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}))
+
+
+def from_report_json(df: DataFrame, text: str) -> DataFrame:
+    return df.select(F.from_json(text, REPORT).alias("c")).select("c.*")
+
+
+def card_headline(cards: DataFrame) -> DataFrame:
+    """Adds what the head of a card shows: the hosts of its first pages and its first engines, and how many more there are."""
+    hosts = F.filter(F.transform("pages", lambda p: host(p)), lambda h: h != "")
+    more = lambda c, n: F.greatest(F.size(c) - n, F.lit(0)).cast("bigint")
+    return cards.withColumn("__hosts", hosts).withColumns(
+        {"shown_hosts": F.slice("__hosts", 1, 4), "more_hosts": more("__hosts", 4), "shown_engines": F.slice("engines", 1, 3), "more_engines": more("engines", 3)}
+    ).drop("__hosts")
+
+
 def report_number(c: Column, digits: int) -> Column:
     """Rounded half to even, as the report states numbers."""
     return F.bround(c, digits)

@@ -104,7 +104,7 @@ def run_store(spark: SparkSession, d: str) -> DataFrame:
 )
 def stream_daily_counts(spark: SparkSession, d: str) -> DataFrame:
     """Tumbling windows over the stream of hits."""
-    got = ingest.run_to_end(ingest.windowed_counts(ingest.hit_stream(spark, f"{d}/hits.parquet")))
+    got = ingest.run_to_end(ingest.windowed_counts(ingest.hit_stream(spark, f"{d}/hits.parquet")), "update", ["start", "engine"])
     return got.select(F.col("start").cast("timestamp_ntz").alias("start"), "engine", "hits", F.round(F.coalesce("score", F.lit(0.0)), 4).alias("score"))
 
 
@@ -115,7 +115,7 @@ def stream_address_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT engine, count(DISTINCT seq) AS hits FROM hits GROUP BY engine")
 def stream_unique_hits(spark: SparkSession, d: str) -> DataFrame:
-    unique = ingest.unique_hits(ingest.hit_stream(spark, f"{d}/hits.parquet"), "3650 days").select("seq", "engine")
+    unique = ingest.unique_hits(ingest.hit_stream(spark, f"{d}/hits.parquet")).select("seq", "engine")
     return ingest.run_to_end(unique, "append").groupBy("engine").agg(F.count("*").alias("hits"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from twinlens.functions import hashes as H
 from twinlens.functions import urls as U
 from twinlens.operators import dedupe as D
-from twinlens.operators import filtering, merge, report
+from twinlens.operators import filtering, merge, ranking, report
 from twinlens.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -411,13 +411,29 @@ def report_order(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_CARDS} SELECT label AS expected, split_part(card_key, ':', 1) AS actual, count(*) AS n FROM k GROUP BY ALL"""
+    """WITH p AS (SELECT DISTINCT least(cid_a, cid_b) || ' ' || greatest(cid_a, cid_b) || ' ' || compared_at AS pair, is_match, identity_score >= 0.92 AND changed_fraction <= 0.04 AND len(edit_labels) = 0 AS same
+      FROM match_pairs WHERE cid_a IS NOT NULL AND cid_b IS NOT NULL AND compared_at IS NOT NULL)
+    SELECT coalesce(CAST(is_match AS VARCHAR), 'failed') AS expected, coalesce(CAST(same AS VARCHAR), 'failed') AS actual, count(*) AS n FROM p GROUP BY ALL"""
 )
 def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
-    k = _cards(spark, d)
-    return report.confusion(
-        k.select("card_key", F.substring_index("card_key", ":", 1).alias("actual")), k.select("card_key", F.col("label").alias("expected")), "card_key"
-    )
+    """The decision a pair came with against the one its measurements give."""
+    p = table(spark, d, "match_pairs").where("cid_a IS NOT NULL AND cid_b IS NOT NULL AND compared_at IS NOT NULL")
+    same = merge.same_picture(F.col("identity_score"), F.col("changed_fraction"), F.col("edit_labels"))
+    pair = F.concat_ws(" ", F.least("cid_a", "cid_b"), F.greatest("cid_a", "cid_b"), F.col("compared_at").cast("string"))
+    named = lambda c: F.coalesce(c.cast("string"), F.lit("failed"))
+    rows = p.select(pair.alias("pair"), F.struct(named(F.col("is_match")).alias("e"), named(same).alias("a")).alias("x"), F.xxhash64("is_match", same).alias("h")).distinct()
+    rows = rows.withColumn("pair", F.struct("pair", "h"))
+    return report.confusion(rows.select("pair", F.col("x.a").alias("actual")), rows.select("pair", F.col("x.e").alias("expected")), "pair")
+
+
+@query(
+    f"""WITH {_CARDS}, dim AS (SELECT DISTINCT group_name, group_rank, title FROM label_groups)
+    SELECT run_id, k.group_name, coalesce(group_rank, 99) AS group_rank, title, card_key, row_number() OVER (PARTITION BY run_id, k.group_name ORDER BY confidence DESC, card_key) AS place
+    FROM k LEFT JOIN dim USING (group_name)"""
+)
+def report_listing(spark: SparkSession, d: str) -> DataFrame:
+    """The cards that each group of a run's report lists, in order."""
+    return report.cards_by_group(_cards(spark, d), table(spark, d, "label_groups")).select("run_id", "group_name", "group_rank", "title", "card_key", "place")
 
 
 @query(
@@ -431,26 +447,33 @@ def accuracy_summary(spark: SparkSession, d: str) -> DataFrame:
     return k.rollup("label").agg(*agg).withColumn("label", F.coalesce("label", F.lit("total")))
 
 
+_HOST = r"lower(regexp_extract(trim(x), '^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1))"
+
+
 @query(
-    f"""WITH {_CARDS} SELECT card_key, array_to_string(pages[1:4], '|') AS shown_pages, greatest(len(pages) - 4, 0) AS more_pages, array_to_string(engines[1:3], '|') AS shown_engines FROM k"""
+    f"""WITH {_CARDS}, h AS (SELECT card_key, list_filter(list_transform(pages, lambda x: {_HOST}), lambda x: x <> '') AS hosts, pages, engines FROM k)
+    SELECT card_key, array_to_string(hosts[1:4], '|') AS shown_hosts, greatest(len(hosts) - 4, 0) AS more_hosts, array_to_string(engines[1:3], '|') AS shown_engines, greatest(len(engines) - 3, 0) AS more_engines,
+    len(pages) AS pages FROM h"""
 )
 def card_headlines(spark: SparkSession, d: str) -> DataFrame:
-    """What a card shows: four pages, three engines and how many more."""
-    return _cards(spark, d).select(
-        "card_key",
-        F.array_join(F.slice("pages", 1, 4), "|").alias("shown_pages"),
-        F.greatest(F.size("pages") - 4, F.lit(0)).cast("bigint").alias("more_pages"),
-        F.array_join(F.slice("engines", 1, 3), "|").alias("shown_engines"),
-    )
+    """What a card shows: the hosts of four pages, three engines, how many more there are, and the number of its pages."""
+    k = report.card_headline(_cards(spark, d))
+    return k.select("card_key", F.array_join("shown_hosts", "|").alias("shown_hosts"), "more_hosts", F.array_join("shown_engines", "|").alias("shown_engines"), "more_engines", F.size("pages").cast("bigint").alias("pages"))
 
 
-@query(f"WITH {_CARDS} SELECT run_id, count(*) AS cards, round(sum(confidence), 4) AS total, count(*) FILTER (overlap IS NOT NULL) AS with_overlap FROM k GROUP BY run_id")
+@query(
+    f"""WITH {_CARDS} SELECT k.card_key, k.label, k.display, k.group_name, g.group_rank, round_even(k.confidence / 7, 1) AS confidence, round_even(k.overlap / 7, 4) AS overlap, k.representative_cid, k.best_url, k.best_width, k.best_height,
+      array_to_string(k.member_cids, '|') AS member_cids, array_to_string(k.pages, '|') AS pages, array_to_string(k.engines, '|') AS engines,
+      round_even(c.luma_mean / 7, 2) AS luma_mean, c.download_ms, c.stage_reached, c.error
+    FROM k LEFT JOIN label_groups g USING (label) LEFT JOIN candidates c ON c.cid = k.representative_cid"""
+)
 def report_json(spark: SparkSession, d: str) -> DataFrame:
-    """Cards written as report JSON and read back."""
-    k = _cards(spark, d)
-    text = k.select("run_id", F.to_json(F.struct("card_key", "label", report.report_number(F.col("confidence"), 1).alias("confidence"), report.report_number(F.col("overlap"), 4).alias("overlap"))).alias("j"))
-    back = text.select("run_id", F.from_json("j", "card_key string, label string, confidence double, overlap double").alias("c"))
-    return back.groupBy("run_id").agg(F.count("*").alias("cards"), F.round(F.sum("c.confidence"), 4).alias("total"), F.count_if(F.col("c.overlap").isNotNull()).alias("with_overlap"))
+    """Cards with their representative as report JSON, a text a card, and read back; a seventh of each number, so that there is
+    something to round."""
+    k = _cards(spark, d).join(F.broadcast(table(spark, d, "label_groups").select("label", "group_rank")), "label", "left")
+    c = table(spark, d, "candidates").select(F.col("cid").alias("representative_cid"), "luma_mean", "download_ms", "stage_reached", "error")
+    rows = k.join(c, "representative_cid", "left").withColumns({x: F.col(x) / 7 for x in ("confidence", "overlap", "luma_mean")})
+    return report.from_report_json(report.to_report_json(rows).select("j"), "j").withColumns({x: F.array_join(x, "|") for x in ("member_cids", "pages", "engines")})
 
 
 # ---- statistics -----------------------------------------------------------------------------------
@@ -461,22 +484,25 @@ def report_json(spark: SparkSession, d: str) -> DataFrame:
     round(covar_samp(luma_mean, luma_std), 6) AS covariance, round(stddev_pop(luma_std), 6) AS spread, round(var_pop(luma_mean), 6) AS variance FROM candidates GROUP BY engine"""
 )
 def candidate_statistics(spark: SparkSession, d: str) -> DataFrame:
-    """Exact median, interpolated percentile, covariance and spread by engine."""
-    return table(spark, d, "candidates").groupBy("engine").agg(
+    """Exact median, interpolated percentile, covariance and spread by engine; the ranked ones by steps, as an engine may hold a
+    large share of all rows."""
+    c = table(spark, d, "candidates")
+    plain = c.groupBy("engine").agg(
         F.count("*").alias("n"),
-        F.round(F.median("luma_mean"), 6).alias("median_luma"),
-        F.round(F.percentile("download_ms", 0.95), 6).alias("p95_ms"),
         F.round(F.covar_samp("luma_mean", "luma_std"), 6).alias("covariance"),
         F.round(F.stddev_pop("luma_std"), 6).alias("spread"),
         F.round(F.var_pop("luma_mean"), 6).alias("variance"),
     )
+    luma = ranking.percentiles(c, "engine", "luma_mean", {"median_luma": 0.5}, F.floor(F.col("luma_mean") * 8))
+    slow = ranking.percentiles(c, "engine", "download_ms", {"p95_ms": 0.95}, F.floor(F.col("download_ms") / 8))
+    out = plain.join(luma, "engine", "left").join(slow, "engine", "left")
+    return out.withColumns({k: F.round(k, 6) for k in ("median_luma", "p95_ms")})
 
 
-@query("SELECT cid, error IS NULL AND sha256 IS NOT NULL AND phash IS NOT NULL AS ok FROM candidates")
+@query(f"WITH {_PRINTS} SELECT cid, error IS NULL AND sha256 IS NOT NULL AND ahash IS NOT NULL AND dhash IS NOT NULL AND phash IS NOT NULL AND whash IS NOT NULL AS ok FROM prints")
 def ok_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Whether a candidate has an image and fingerprints (P5)."""
-    ok = F.col("error").isNull() & F.col("sha256").isNotNull() & F.col("phash").isNotNull()
-    return table(spark, d, "candidates").select("cid", ok.alias("ok"))
+    """Whether a candidate has an image and all four fingerprints (P5)."""
+    return _prints(spark, d).select("cid", filtering.usable(F.col("error"), F.col("sha256"), [F.col(h) for h in H.ORDER]).alias("ok"))
 
 
 @query("SELECT e.engine, row_number() OVER (ORDER BY e.engine) AS position FROM engines e WHERE engine IN (SELECT engine FROM hits)")

@@ -78,6 +78,53 @@ def tile_hash_hex(spark: SparkSession, d: str) -> DataFrame:
     return _tiles(spark, d).select("vec_id", H.to_hex(H.from_bits(T.average_bits(F.col("v")))).alias("hex"))
 
 
+# A 32 x 32 picture out of each tile: the tile sixteen times, under itself at four times the size.
+_SINC = "CASE WHEN {0} = 0 THEN 1 ELSE sin(pi() * {0}) / (pi() * {0}) END"
+_PICTURE = f"""{_TILES}, place AS (SELECT i // 32 AS y, i % 32 AS x FROM (SELECT unnest(range(1024)) AS i)),
+    px AS (SELECT vec_id, y, x, v[y % 8 * 8 + x % 8 + 1] + 0.5 * v[y // 4 * 8 + x // 4 + 1] AS p FROM tiles, place),
+    raw AS (SELECT n, k, s, (s + 0.5 - (k + 0.5) * 32 / n) * n / 32 AS t FROM (SELECT n, unnest(range(n)) AS k FROM (VALUES (8), (9)) AS q(n)), (SELECT unnest(range(32)) AS s)),
+    lob AS (SELECT n, k, s, CASE WHEN abs(t) < 3 THEN ({_SINC.format("t")}) * ({_SINC.format("(t / 3)")}) ELSE 0 END AS w FROM raw),
+    lan AS (SELECT n, k, s, w / sum(w) OVER (PARTITION BY n, k) AS w FROM lob),
+    wide AS (SELECT vec_id, n, k, y, sum(p * w) AS p FROM px JOIN lan ON s = x GROUP BY ALL),
+    small AS (SELECT vec_id, wide.n, wide.k AS x, lan.k AS y, sum(p * w) AS p FROM wide JOIN lan ON lan.n = 8 AND lan.s = wide.y GROUP BY ALL),
+    cosines AS (SELECT k, s, sqrt(CASE k WHEN 0 THEN 1 ELSE 2 END / 32.0::DOUBLE) * cos(pi() * k * (2 * s + 1) / 64) AS w FROM (SELECT unnest(range(8)) AS k), (SELECT unnest(range(32)) AS s)),
+    half AS (SELECT vec_id, k, y, sum(p * w) AS p FROM px JOIN cosines ON s = x GROUP BY ALL),
+    low AS (SELECT vec_id, half.k AS x, c.k AS y, sum(p * w) AS p FROM half JOIN cosines c ON c.s = half.y GROUP BY ALL),
+    blocks AS (SELECT vec_id, x // 4 AS x, y // 4 AS y, avg(p) AS p FROM px GROUP BY ALL)"""
+_SEQ = "string_agg(CASE WHEN {0} THEN '1' ELSE '0' END, '' ORDER BY y, x)"
+
+
+@query(
+    f"""WITH {_PICTURE},
+    a AS (SELECT vec_id, {_SEQ.format("p >= m")} AS ahash FROM (SELECT *, avg(p) OVER (PARTITION BY vec_id) AS m FROM small WHERE n = 8) GROUP BY vec_id),
+    d AS (SELECT vec_id, {_SEQ.format("r > p")} AS dhash FROM (SELECT *, lead(p) OVER (PARTITION BY vec_id, y ORDER BY x) AS r FROM small WHERE n = 9) WHERE x < 8 GROUP BY vec_id),
+    pm AS (SELECT vec_id, median(p) AS m FROM low WHERE x + y > 0 GROUP BY vec_id),
+    p AS (SELECT vec_id, {_SEQ.format("p > m")} AS phash FROM low JOIN pm USING (vec_id) GROUP BY vec_id),
+    wm AS (SELECT vec_id, median(p) AS m FROM blocks GROUP BY vec_id),
+    w AS (SELECT vec_id, {_SEQ.format("p > m")} AS whash FROM blocks JOIN wm USING (vec_id) GROUP BY vec_id)
+    SELECT vec_id, ahash, dhash, phash, whash FROM a JOIN d USING (vec_id) JOIN p USING (vec_id) JOIN w USING (vec_id)"""
+)
+def hash_stages(spark: SparkSession, d: str) -> DataFrame:
+    """The four hashes of a 32 x 32 picture by all their stages: reductions to 8 x 8 and 9 x 8, cosine transform, block means."""
+
+    def run(parts):
+        import numpy as np
+        import pandas as pd
+
+        from twinlens.kernels.pixels import hashes
+
+        y, x = np.mgrid[0:32, 0:32]
+        for p in parts:
+            rows = []
+            for vec_id, v in zip(p["vec_id"], p["v"]):
+                t = np.asarray(v).reshape(8, 8)
+                h = hashes(t[y % 8, x % 8] + 0.5 * t[y // 4, x // 4])
+                rows.append((vec_id, *(format(h[k] & (2**64 - 1), "064b") for k in ("ahash", "dhash", "phash", "whash"))))
+            yield pd.DataFrame(rows, columns=["vec_id", "ahash", "dhash", "phash", "whash"])
+
+    return _tiles(spark, d).mapInPandas(run, "vec_id bigint, ahash string, dhash string, phash string, whash string")
+
+
 @query(f"WITH {_TILES}, m AS (SELECT vec_id, v, {_SUM} / 64 AS mu FROM tiles) SELECT vec_id, round(mu, 6) AS luma_mean, round(list_stddev_pop(v), 6) AS luma_std, round(list_median(v), 6) AS luma_median FROM m")
 def luma_stats(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("v")

@@ -10,19 +10,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinlens.functions.urls import canonical_url
+from twinlens.streaming.state import BucketTable
 from twinlens.workspace import Workspace
 
 
-def hit_stream(spark: SparkSession, path: str) -> DataFrame:
+def hit_stream(spark: SparkSession, path: str, files_a_batch: int | None = None) -> DataFrame:
     """The hits below a path as a stream, with found_at as event time."""
     schema = spark.read.parquet(path).schema
+    reader = spark.readStream.schema(schema)
+    if files_a_batch:
+        reader = reader.option("maxFilesPerTrigger", files_a_batch)
     # as a pattern: a plain path would have to be a folder
-    stream = spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
+    stream = reader.parquet(f"{path[:-1]}[{path[-1]}]")
     return stream.withColumn("event_time", F.coalesce("found_at", "loaded_at").cast("timestamp"))
 
 
 def unique_hits(stream: DataFrame, late: str = "30 days") -> DataFrame:
-    """Each delivery once: a seq seen within the watermark is dropped."""
+    """Each delivery once: a seq seen within the watermark is dropped. What comes later than ``late`` is dropped too, which is what
+    bounds the state."""
     return stream.where(F.col("seq").isNotNull()).withWatermark("event_time", late).dropDuplicatesWithinWatermark(["seq"])
 
 
@@ -46,45 +51,38 @@ def sessions(stream: DataFrame, gap: str = "2 hours", late: str = "30 days") ->
     )
 
 
-def run_to_end(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Process what is available and return the result as a table. In append mode windows the
-    watermark hasn't passed stay open and are not in the result."""
+def run_to_end(stream: DataFrame, mode: str = "complete", keys: list[str] | None = None) -> DataFrame:
+    """Process what is available and return the result as a table. In append mode windows the watermark hasn't passed stay
+    open and are not in the result. In update mode each batch's changed rows replace those of equal ``keys``, and the stream's
+    state holds only what the watermark hasn't passed. Complete mode, the one other mode session windows allow, keeps all."""
     spark = stream.sparkSession
     ws = Workspace(spark, "stream")
     out, state = ws.path("out"), ws.path("state")
+    writer = stream.writeStream.option("checkpointLocation", state).outputMode(mode).trigger(availableNow=True)
     if mode == "append":
-        q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
-        q.awaitTermination()
+        writer.format("parquet").option("path", out).start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(out)
-
-    def replace(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
-
-    q = stream.writeStream.foreachBatch(replace).option("checkpointLocation", state).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
+    if mode == "update":
+        ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
+        held = BucketTable(spark, ws, ddl, keys)
+        writer.foreachBatch(held.replace).start().awaitTermination()
+        return held.table()
+    writer.foreachBatch(lambda batch, epoch: batch.write.mode("overwrite").parquet(out)).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
 def count_addresses(stream: DataFrame) -> DataFrame:
-    """Hits of each canonical address, merged batch by batch into a table; a batch replayed after a failure
-    writes the same version again."""
+    """Hits of each canonical address, merged batch by batch into a table in buckets."""
     spark = stream.sparkSession
     ws = Workspace(spark, "addresses")
-    state, root = ws.path("state"), ws.path("table")
-    ddl = "canon string, hits bigint, first_seq bigint"
+    held = BucketTable(spark, ws, "canon string, hits bigint, first_seq bigint", ["canon"])
+
+    def add(old: DataFrame, new: DataFrame) -> DataFrame:
+        return old.unionByName(new).groupBy("canon").agg(F.sum("hits").alias("hits"), F.min("first_seq").alias("first_seq"))
 
     def merge(batch: DataFrame, epoch: int) -> None:
         new = batch.where("url IS NOT NULL").groupBy(canonical_url(F.col("url")).alias("canon")).agg(F.count("*").alias("hits"), F.min("seq").alias("first_seq"))
-        if epoch:
-            old = spark.read.schema(ddl).parquet(f"{root}/v{epoch - 1}").withColumnsRenamed({"hits": "h", "first_seq": "f"})
-            new = new.join(old, "canon", "full_outer").select(
-                "canon", (F.coalesce("hits", F.lit(0)) + F.coalesce("h", F.lit(0))).alias("hits"), F.least("first_seq", "f").alias("first_seq")
-            )
-        new.write.mode("overwrite").parquet(f"{root}/v{epoch}")
-
-    q = stream.writeStream.foreachBatch(merge).option("checkpointLocation", state).trigger(availableNow=True).start()
-    q.awaitTermination()
-    last = q.lastProgress
-    if last is None:
-        return spark.createDataFrame([], ddl)
-    return spark.read.schema(ddl).parquet(f"{root}/v{last.batchId}")
+        held.upsert(new, epoch, add)
+
+    stream.writeStream.foreachBatch(merge).option("checkpointLocation", ws.path("state")).trigger(availableNow=True).start().awaitTermination()
+    return held.table()

@@ -10,11 +10,11 @@ still reads stays until ``release`` is called, or until the driver's JVM ends.
 from __future__ import annotations
 
 import tempfile
-import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LIVE: set[str] = set()
 
 
@@ -63,10 +63,20 @@ class Workspace:
         self._n += 1
         return f"{self.root}/{name}-{self._n}"
 
+    def write(self, writer: DataFrameWriter, path: str) -> None:
+        """Write a table. Nothing reads the shuffle files of a write again, so Spark deletes them when it is done; else they
+        would stay until the driver's JVM collects the plan."""
+        before = self.spark.conf.get(_CLEAN, "false")
+        self.spark.conf.set(_CLEAN, "true")
+        try:
+            writer.parquet(path)
+        finally:
+            self.spark.conf.set(_CLEAN, before)
+
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return the table read back, with the same schema."""
         path = self.path(name)
-        df.write.parquet(path)
+        self.write(df.write, path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._twinlens_path = path
         return out
@@ -77,13 +87,6 @@ class Workspace:
         fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         return [str(f.getPath()) for f in fs.listStatus(p) if f.isDirectory()] if fs.exists(p) else []
 
-    def settle(self) -> None:
-        """Let Spark delete the shuffle files of writes that are done: it does so when the driver's JVM collects
-        their plans, which it may put off for long on a driver with memory to spare. Events of the write still hold
-        its plan for a moment."""
-        time.sleep(0.3)
-        self.spark._jvm.System.gc()
-
     def drop_paths(self, paths: list[str]) -> None:
         for path in paths:
             _delete(self.spark, path)
