@@ -462,17 +462,17 @@ def card_headlines(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_CARDS} SELECT k.card_key, k.label, k.display, k.group_name, g.group_rank, round_even(k.confidence / 7, 1) AS confidence, round_even(k.overlap / 7, 4) AS overlap, k.representative_cid, k.best_url, k.best_width, k.best_height,
+    f"""WITH {_CARDS} SELECT k.card_key, k.label, k.display, k.group_name, g.group_rank, round_even(k.confidence / 7.0123::DOUBLE, 1) AS confidence, round_even(k.overlap / 7.0123::DOUBLE, 4) AS overlap, k.representative_cid, k.best_url, k.best_width, k.best_height,
       array_to_string(k.member_cids, '|') AS member_cids, array_to_string(k.pages, '|') AS pages, array_to_string(k.engines, '|') AS engines,
-      round_even(c.luma_mean / 7, 2) AS luma_mean, c.download_ms, c.stage_reached, c.error
+      round_even(c.luma_mean / 7.0123::DOUBLE, 2) AS luma_mean, c.download_ms, c.stage_reached, c.error
     FROM k LEFT JOIN label_groups g USING (label) LEFT JOIN candidates c ON c.cid = k.representative_cid"""
 )
 def report_json(spark: SparkSession, d: str) -> DataFrame:
-    """Cards with their representative as report JSON, a text a card, and read back; a seventh of each number, so that there is
+    """Cards with their representative as report JSON, a text a card, and read back; each number over 7.0123, so that there is
     something to round."""
     k = _cards(spark, d).join(F.broadcast(table(spark, d, "label_groups").select("label", "group_rank")), "label", "left")
     c = table(spark, d, "candidates").select(F.col("cid").alias("representative_cid"), "luma_mean", "download_ms", "stage_reached", "error")
-    rows = k.join(c, "representative_cid", "left").withColumns({x: F.col(x) / 7 for x in ("confidence", "overlap", "luma_mean")})
+    rows = k.join(c, "representative_cid", "left").withColumns({x: F.col(x) / 7.0123 for x in ("confidence", "overlap", "luma_mean")})
     return report.from_report_json(report.to_report_json(rows).select("j"), "j").withColumns({x: F.array_join(x, "|") for x in ("member_cids", "pages", "engines")})
 
 
