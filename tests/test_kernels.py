@@ -155,3 +155,25 @@ def test_hashes_of_turned_pictures_are_those_of_the_whole():
         back = G.best_orientation(P.Picture(A), turned, 0.08)
         assert (back[1].rgb == A).all() or name == "identity"
     assert (small != aside).any()
+
+
+def test_convex_polygons_against_sampling():
+    r = np.random.default_rng(4)
+    turn = np.sort(r.uniform(0, 2 * np.pi, (30, 6)), axis=1)
+    p = np.stack((np.cos(turn), np.sin(turn)), axis=-1)
+    turn = np.sort(r.uniform(0, 2 * np.pi, (30, 4)), axis=1)
+    q = np.stack((np.cos(turn), np.sin(turn)), axis=-1) * r.uniform(0.4, 1.2, (30, 1, 1)) + r.uniform(-0.5, 0.5, (30, 1, 2))
+    q[::2] = q[::2, ::-1]
+    got, count = G.convex_intersections(p, q)
+    area = np.abs(G.signed_areas(got, count))
+    at = r.uniform(-1, 1, (40_000, 2))
+
+    def inside(poly):
+        poly = poly if G.signed_areas(poly[None])[0] > 0 else poly[::-1]
+        a, b = poly, np.roll(poly, -1, axis=0)
+        return (G._cross((b - a)[None], at[:, None] - a[None]) >= 0).all(axis=1)
+
+    for i in range(30):
+        assert area[i] == pytest.approx(4 * (inside(p[i]) & inside(q[i])).mean(), abs=0.03)
+    far, n = G.convex_intersections(p[:1], q[:1] + 9)
+    assert n[0] == 0 and G.signed_areas(far, n)[0] == 0

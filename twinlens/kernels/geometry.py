@@ -10,47 +10,89 @@ from twinlens.config import FEATURES
 from twinlens.kernels.pixels import ORIENTATIONS, _lanczos_single, fit, gray, hash_similarity, hash_size, hashes, orient, resize, resize_plane
 
 
+def _cross(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a[..., 0] * b[..., 1] - a[..., 1] * b[..., 0]
+
+
+def _follow(p: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The next corner of each corner; polygons are rows of ``count`` corners, padded."""
+    nxt = np.arange(1, p.shape[1] + 1)[None, :] * np.ones((len(p), 1), dtype=int)
+    nxt[nxt >= count[:, None]] = 0
+    return np.take_along_axis(p, nxt[..., None], axis=1)
+
+
+def signed_areas(p: np.ndarray, count: np.ndarray | None = None) -> np.ndarray:
+    """Areas of polygons (rows x corners x 2), negative if they turn the other way."""
+    count = np.full(len(p), p.shape[1]) if count is None else count
+    real = np.arange(p.shape[1]) < count[:, None]
+    return np.where(real, _cross(p, _follow(p, count)), 0).sum(axis=1) / 2
+
+
 def polygon_area(p: np.ndarray) -> float:
-    if len(p) < 3:
-        return 0.0
-    x, y = p[:, 0], p[:, 1]
-    return float(abs(x @ np.roll(y, -1) - y @ np.roll(x, -1)) / 2)
+    return float(abs(signed_areas(np.asarray(p, dtype=float)[None])[0])) if len(p) >= 3 else 0.0
+
+
+def convex_intersections(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What convex polygons ``p`` and ``q`` (rows x corners x 2) have in common, row by row at once: padded corners and
+    their numbers. The sides of ``q`` cut ``p`` one after the other."""
+    p, q = (np.where(signed_areas(x)[:, None, None] < 0, x[:, ::-1], x).astype(float) for x in (p, q))
+    count = np.full(len(p), p.shape[1])
+    for e in range(q.shape[1]):
+        a, b = q[:, e, None], q[:, (e + 1) % q.shape[1], None]
+        inside = _cross(b - a, p - a)
+        ahead, beyond = _follow(p, count), _follow(inside[..., None], count)[..., 0]
+        real = np.arange(p.shape[1]) < count[:, None]
+        cuts = real & ((inside >= 0) != (beyond >= 0))
+        t = inside / np.where(cuts, inside - beyond, 1)
+        corners = np.stack((p, p + (ahead - p) * t[..., None]), axis=2).reshape(len(p), -1, 2)
+        keep = np.stack((real & (inside >= 0), cuts), axis=2).reshape(len(p), -1)
+        count = keep.sum(axis=1)
+        order = np.argsort(~keep, axis=1, kind="stable")[:, : max(1, count.max(initial=0))]
+        p = np.take_along_axis(corners, order[..., None], axis=1)
+    return p, count
 
 
 def clip_polygon(p: np.ndarray, width: float, height: float) -> np.ndarray:
-    """The part of a polygon inside the rectangle from the origin, edge by edge."""
-    for axis, bound, sign in ((0, 0.0, 1), (0, width, -1), (1, 0.0, 1), (1, height, -1)):
-        if not len(p):
-            return p
-        d = sign * (p[:, axis] - bound)
-        out = []
-        for i in range(len(p)):
-            j = (i + 1) % len(p)
-            if d[i] >= 0:
-                out.append(p[i])
-            if (d[i] >= 0) != (d[j] >= 0):
-                out.append(p[i] + (p[j] - p[i]) * (d[i] / (d[i] - d[j])))
-        p = np.array(out).reshape(-1, 2)
-    return p
+    """The part of a convex polygon inside the rectangle from the origin."""
+    frame = np.array([[0, 0], [width, 0], [width, height], [0, height]], dtype=float)
+    got, count = convex_intersections(np.asarray(p, dtype=float)[None], frame[None])
+    return got[0, : count[0]]
+
+
+def _frames(size: np.ndarray) -> np.ndarray:
+    return np.asarray(size, dtype=float)[:, None, :] * np.array([[0, 0], [1, 0], [1, 1], [0, 1]])
+
+
+def coverages(m: np.ndarray, size_orig: np.ndarray, size_cand: np.ndarray) -> dict[str, np.ndarray]:
+    """Coverage of 3 x 3 transforms (rows x 3 x 3) from originals to candidates of these sizes (rows x 2): the shares of both
+    that meet, the corners of the original's image, the scale, and whether the transform degenerates (``bad``)."""
+    size_orig, size_cand = np.asarray(size_orig, dtype=float), np.asarray(size_cand, dtype=float)
+    flat = _frames(size_orig)
+    with np.errstate(all="ignore"):
+        h = np.concatenate((flat, np.ones_like(flat[..., :1])), axis=-1) @ np.swapaxes(np.asarray(m, dtype=float), -1, -2)
+        p = h[..., :2] / h[..., 2:]
+        area = np.abs(signed_areas(p))
+        bad = ~np.isfinite(h).all(axis=(1, 2)) | (np.abs(h[..., 2]) < 1e-9).any(axis=1) | ~np.isfinite(area) | (area < 1e-6)
+    p = np.where(bad[:, None, None], flat, p)
+    common, count = convex_intersections(p, _frames(size_cand))
+    overlap = np.abs(signed_areas(common, count))
+    area = np.where(bad, 1.0, area)
+    return {
+        "original": np.clip(overlap / area, 0, 1),
+        "candidate": np.clip(overlap / size_cand.prod(axis=1), 0, 1),
+        "corners": p,
+        "scale": np.sqrt(area / size_orig.prod(axis=1)),
+        "bad": bad,
+    }
 
 
 def coverage_of_transform(m: np.ndarray, size_orig: tuple[int, int], size_cand: tuple[int, int]) -> dict | None:
-    """Coverage of a 3 x 3 transform from the original to the candidate; None if it degenerates."""
-    (ow, oh), (cw, ch) = size_orig, size_cand
-    corners = np.array([[0, 0, 1], [ow, 0, 1], [ow, oh, 1], [0, oh, 1]], dtype=float) @ np.asarray(m, dtype=float).T
-    if not np.isfinite(corners).all() or (np.abs(corners[:, 2]) < 1e-9).any():
-        return None
-    p = corners[:, :2] / corners[:, 2:]
-    area = polygon_area(p)
-    if not np.isfinite(area) or area < 1e-6:
+    """Coverage of one transform; None if it degenerates."""
+    c = coverages(np.asarray(m)[None], np.array([size_orig]), np.array([size_cand]))
+    if c["bad"][0]:
         return None
-    overlap = polygon_area(clip_polygon(p, cw, ch))
-    return {
-        "original": float(np.clip(overlap / area, 0, 1)),
-        "candidate": float(np.clip(overlap / (cw * ch), 0, 1)),
-        "box": [*p.min(axis=0).tolist(), *p.max(axis=0).tolist()],
-        "scale": float(np.sqrt(area / (ow * oh))),
-    }
+    p = c["corners"][0]
+    return {"original": float(c["original"][0]), "candidate": float(c["candidate"][0]), "box": [*p.min(axis=0).tolist(), *p.max(axis=0).tolist()], "scale": float(c["scale"][0])}
 
 
 # ---- keypoints -------------------------------------------------------------------------------------

@@ -59,8 +59,12 @@ def put_together(ws: Workspace, rounds: list[DataFrame], size: int) -> DataFrame
     """(v, label) of all rounds, each label followed through the later ones."""
     out = None
     for to in reversed(rounds):
-        own = to.select("v", "label")
-        out = own if out is None else ws.save(relabel(own, "label", out, F.col("v"), size).unionByName(out), "labels")
+        own, later = to.select("v", "label"), out
+        if later is None:
+            out = own
+            continue
+        out = ws.save(relabel(own, "label", later, F.col("v"), size).unionByName(later), "labels")
+        ws.drop(to, rounds[-1] if to is rounds[-2] else later)
     return out
 
 

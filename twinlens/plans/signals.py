@@ -231,27 +231,43 @@ def polygon_area(spark: SparkSession, d: str) -> DataFrame:
     return b.select("k", F.round(G.polygon_area(p), 6).alias("area"))
 
 
-_MOVE = """(SELECT k, 0.5 + CAST(k % 7 AS DOUBLE) / 4 AS s, x0, y0, w, h, w * 1.25 AS cw, h * 0.75 AS ch FROM {} b)""".format(_BOX)
-_HIT = "greatest(0, least(x0 + s * w, cw) - greatest(x0, 0)) * greatest(0, least(y0 + s * h, ch) - greatest(y0, 0))"
+# A third of the parts each: a scaling, a quarter turn, and a perspective whose picture lies wholly inside a large candidate.
+_MOVE = """(SELECT k, k % 3 AS kind, 0.5 + CAST(k % 7 AS DOUBLE) / 4 AS s, CASE WHEN k % 3 = 2 THEN abs(x0) ELSE x0 END AS x0, CASE WHEN k % 3 = 2 THEN abs(y0) ELSE y0 END AS y0, w, h, CASE WHEN k % 3 = 2 THEN w * 40 ELSE w * 1.25 END AS cw, CASE WHEN k % 3 = 2 THEN h * 40 ELSE h * 0.75 END AS ch,
+  CAST(k % 5 AS DOUBLE) / 10 AS px, CAST(k % 4 AS DOUBLE) / 10 AS py FROM {} b)""".format(_BOX)
+# left, top, width and height of the original's image: as it is, or on its side with its right edge at x0 + h
+_PLACED = f"""(SELECT *, CASE kind WHEN 1 THEN x0 + h - s * h ELSE x0 END AS l, y0 AS t, CASE kind WHEN 1 THEN s * h ELSE s * w END AS iw, CASE kind WHEN 1 THEN s * w ELSE s * h END AS ih FROM {_MOVE} m)"""
+_HIT = "greatest(0, least(l + iw, cw) - greatest(l, 0)) * greatest(0, least(t + ih, ch) - greatest(t, 0))"
+# the perspective's corners have the divisors 1, 1 + px, 1 + px + py, 1 + py
 
 
-@query(f"SELECT k, round({_HIT} / (s * w * s * h), 6) AS original, round({_HIT} / (cw * ch), 6) AS candidate, round(s, 6) AS scale FROM {_MOVE} m")
+@query(
+    f"""WITH q AS (SELECT *, (s * w + x0) / (1 + px) AS sx2, y0 / (1 + px) AS sy2, (s * w + x0) / (1 + px + py) AS sx3, (s * h + y0) / (1 + px + py) AS sy3, x0 / (1 + py) AS sx4, (s * h + y0) / (1 + py) AS sy4 FROM {_PLACED} p),
+    a AS (SELECT *, abs((x0 * sy2 - sx2 * y0) + (sx2 * sy3 - sx3 * sy2) + (sx3 * sy4 - sx4 * sy3) + (sx4 * y0 - x0 * sy4)) / 2 AS bent FROM q)
+    SELECT k, CASE kind WHEN 2 THEN 1.0 ELSE round({_HIT} / (iw * ih), 6) END AS original, round(CASE kind WHEN 2 THEN bent ELSE {_HIT} END / (cw * ch), 6) AS candidate,
+    round(CASE kind WHEN 2 THEN sqrt(bent / (w * h)) ELSE s END, 6) AS scale FROM a"""
+)
 def coverage_transform(spark: SparkSession, d: str) -> DataFrame:
-    """Corners through a transform, clipped by the candidate's frame; here scalings with a shift, which SQL can state."""
+    """Corners through a transform, cut by the candidate's frame: scalings, quarter turns and perspectives."""
     import numpy as np
     import pandas as pd
 
-    from twinlens.kernels.geometry import coverage_of_transform
+    from twinlens.kernels.geometry import coverages
 
     table(spark, d, "part").createOrReplaceTempView("part")
 
     def run(parts):
         for p in parts:
-            out = []
-            for r in p.itertuples(index=False):
-                c = coverage_of_transform(np.array([[r.s, 0, r.x0], [0, r.s, r.y0], [0, 0, 1]]), (r.w, r.h), (r.cw, r.ch))
-                out.append((r.k, c["original"], c["candidate"], c["scale"]))
-            yield pd.DataFrame(out, columns=["k", "original", "candidate", "scale"])
+            n, kind = len(p), p["kind"].to_numpy()
+            s, x0, y0, w, h, px, py = (p[c].to_numpy(dtype=float) for c in ("s", "x0", "y0", "w", "h", "px", "py"))
+            m = np.zeros((n, 3, 3))
+            m[:, 0, 0] = np.where(kind == 1, 0, s)
+            m[:, 0, 1] = np.where(kind == 1, -s, 0)
+            m[:, 1, 0] = np.where(kind == 1, s, 0)
+            m[:, 1, 1] = np.where(kind == 1, 0, s)
+            m[:, 0, 2], m[:, 1, 2] = np.where(kind == 1, x0 + h, x0), y0
+            m[:, 2] = np.stack((np.where(kind == 2, px / w, 0), np.where(kind == 2, py / h, 0), np.ones(n)), axis=1)
+            c = coverages(m, np.stack((w, h), axis=1), p[["cw", "ch"]].to_numpy(dtype=float))
+            yield pd.DataFrame({"k": p["k"], "original": c["original"], "candidate": c["candidate"], "scale": c["scale"]})
 
     got = spark.sql(f"SELECT * FROM {_MOVE} AS m").mapInPandas(run, "k bigint, original double, candidate double, scale double")
     return got.select("k", *(F.round(F.round(c, 10), 6).alias(c) for c in ("original", "candidate", "scale")))
