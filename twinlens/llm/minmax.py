@@ -253,6 +253,7 @@ def near_candidates(candidates: DataFrame, band_rows: int = BAND_ROWS, member_ro
         "cid", "id", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("block")
     )
     members = ws.save(members, "members")
+    ws.drop(rows)
     size = classes.select("id", blocks.alias("blocks"))
     a, b = size.toDF("a", "na"), size.toDF("b", "nb")
     across = near.join(a.hint("merge"), "a").join(b.hint("merge"), "b")
