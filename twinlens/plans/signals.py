@@ -243,7 +243,7 @@ _HIT = "greatest(0, least(l + iw, cw) - greatest(l, 0)) * greatest(0, least(t +
 @query(
     f"""WITH q AS (SELECT *, (s * w + x0) / (1 + px) AS sx2, y0 / (1 + px) AS sy2, (s * w + x0) / (1 + px + py) AS sx3, (s * h + y0) / (1 + px + py) AS sy3, x0 / (1 + py) AS sx4, (s * h + y0) / (1 + py) AS sy4 FROM {_PLACED} p),
     a AS (SELECT *, abs((x0 * sy2 - sx2 * y0) + (sx2 * sy3 - sx3 * sy2) + (sx3 * sy4 - sx4 * sy3) + (sx4 * y0 - x0 * sy4)) / 2 AS bent FROM q)
-    SELECT k, CASE kind WHEN 2 THEN 1.0 ELSE round({_HIT} / (iw * ih), 6) END AS original, round(CASE kind WHEN 2 THEN bent ELSE {_HIT} END / (cw * ch), 6) AS candidate,
+    SELECT k, CASE kind WHEN 2 THEN 1.0 ELSE round({_HIT} / (iw * ih), 6) END AS original, CAST(round(CAST(CASE kind WHEN 2 THEN bent ELSE {_HIT} END / (cw * ch) AS DECIMAL(18, 10)), 6) AS DOUBLE) AS candidate,
     round(CASE kind WHEN 2 THEN sqrt(bent / (w * h)) ELSE s END, 6) AS scale FROM a"""
 )
 def coverage_transform(spark: SparkSession, d: str) -> DataFrame:
