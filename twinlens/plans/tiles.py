@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from twinlens.functions import hashes as H
 from twinlens.functions import tiles as T
 from twinlens.functions import vectors as V
+from twinlens.operators.ranking import spread_rank
 from twinlens.session import table
 
 QUERIES, SQL = {}, {}
@@ -157,10 +158,18 @@ _PAIRS = f"""{_PX}, nxt AS (SELECT vec_id, lead(vec_id) OVER (PARTITION BY label
     pp AS (SELECT n.vec_id, n.other, a.i, a.p AS a, b.p AS b FROM nxt n JOIN px a ON a.vec_id = n.vec_id JOIN px b ON b.vec_id = n.other AND b.i = a.i)"""
 
 
+def _next_of_label(spark: SparkSession, d: str) -> DataFrame:
+    """Each tile with the next one of its label as ``n``. A label may hold a large share of all tiles, so they are numbered by steps
+    and joined by number."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding", "label")
+    numbered = spread_rank(e, ["label"], F.floor(F.col("vec_id") / 1024), [F.col("vec_id")], "__r")
+    ahead = numbered.select("label", (F.col("__r") - 1).alias("__r"), F.struct("vec_id", "embedding").alias("n"))
+    return numbered.join(ahead, ["label", "__r"]).drop("__r")
+
+
 def _pixel_pairs(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings")
     v = F.col("embedding").cast("array<double>")
-    nxt = e.withColumn("n", F.lead(F.struct("vec_id", "embedding")).over(Window.partitionBy("label").orderBy("vec_id"))).where("n IS NOT NULL")
+    nxt = _next_of_label(spark, d)
     zipped = F.arrays_zip(v.alias("a"), F.col("n.embedding").cast("array<double>").alias("b"))
     return nxt.select("vec_id", F.col("n.vec_id").alias("other"), F.posexplode(zipped).alias("i", "z")).select("vec_id", "other", "i", "z.a", "z.b")
 
@@ -193,8 +202,7 @@ _MIXED = (
 )
 def gradient_correlations(spark: SparkSession, d: str) -> DataFrame:
     """Correlation of the mixed second derivatives of a tile and the next one of its label, inside the frame."""
-    e = table(spark, d, "embeddings")
-    nxt = e.withColumn("n", F.lead(F.struct("vec_id", "embedding")).over(Window.partitionBy("label").orderBy("vec_id"))).where("n IS NOT NULL")
+    nxt = _next_of_label(spark, d)
     x, y = T.mixed_derivative(F.col("embedding").cast("array<double>")), T.mixed_derivative(F.col("n.embedding").cast("array<double>"))
     z = nxt.select("vec_id", F.col("n.vec_id").alias("other"), F.explode(F.arrays_zip(x.alias("x"), y.alias("y"))).alias("z"))
     flat = (F.stddev_pop("z.x") < 1e-6) | (F.stddev_pop("z.y") < 1e-6)
