@@ -172,6 +172,10 @@ def test_many_equal_vectors_and_several_vectors_of_one_id(spark):
     df = _table(spark, v)
     got = rows(V.neighbour_pairs(df, shard_rows=40, relax=1.0, leaf_rows=8))
     assert got == nearest(list(range(1, len(v) + 1)), v, 10, 0.8)
+    # the same where all but the least ids of much copied vectors stand aside
+    few = rows(V.neighbour_pairs(df, shard_rows=40, relax=1.0, leaf_rows=8, many_copies=20))
+    assert few == got
+    assert rows(V.nearest_neighbours(df, relax=1.0, many_copies=20)) == rows(V.nearest_neighbours(df, relax=1.0))
     # another, greater vector of id 5 changes nothing; the same row again neither
     again = spark.createDataFrame([(5, "classical-descriptor", [9.0] * 368, 0, "z")], DESC)
     assert rows(V.neighbour_pairs(df.unionAll(again).unionAll(df.where("vec_id < 50")), shard_rows=40, relax=1.0)) == got

@@ -13,7 +13,8 @@ k-th best found. Queries walk a tree in blocks, so that every step is a matrix p
 
 Distances are chords between unit vectors, so they order like cosines. What single precision
 finds is scored again in double precision, rounded to six decimals, ties to the lesser id. As ties go to
-the lesser id, of equal vectors only the k + 1 of least ids are kept to be found; all of them are asked for.
+the lesser id, of equal vectors only the k + 1 of least ids can ever be found. Where very many are equal, only those take part,
+and what the last of them finds, which is itself in no such list, is the answer for all the others.
 
 Defined cases: vectors that are null, of a wrong length, all zero or with a null, NaN or
 infinite element take no part, nor do vectors of unknown kinds or without an id; equal vectors are
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from twinlens.llm.textcodes import mix64
+from twinlens.workspace import Workspace
 
 # The length of the vectors of each kind.
 LENGTHS = {"classical-descriptor": 368, "clip:ViT-B-32": 512}
@@ -206,8 +208,8 @@ def _route(layout):
                 row, cell = np.nonzero(lay.reached(d, nearest))
                 to[row, first[cell]] = True
                 many = parts[cell] > 1
-                for r, c in zip(row[many], cell[many]):
-                    to[r, first[c] : first[c] + parts[c]] = True
+                for c in np.unique(cell[many]):
+                    to[row[cell == c], first[c] : first[c] + parts[c]] = True
                 to[np.arange(len(ids)), own] = False
                 row, shard = np.nonzero(to)
                 row, shard = np.concatenate((np.arange(len(ids)), row)), np.concatenate((own, shard))
@@ -363,6 +365,23 @@ def choose_pivots(rows: DataFrame, counts: dict[int, int]) -> dict[int, np.ndarr
     return out
 
 
+#: Copies of a vector from which on only the least ids take part.
+MANY_COPIES = 1024
+#: Vectors at most that are treated so, the most frequent first.
+MOST_COPIED = 2_000
+
+
+def much_copied(rows: DataFrame, many: int) -> list[tuple[int, int]]:
+    """(kind, hash) of the vectors with more than ``many`` copies; hashes that different vectors share are left out."""
+    by_hash = rows.groupBy("kind", F.xxhash64("vector").alias("h")).agg(F.count("*").alias("n"))
+    top = by_hash.where(F.col("n") > many).orderBy(F.desc("n"), "kind", "h").limit(MOST_COPIED).select("kind", "h").collect()
+    if not top:
+        return []
+    listed = F.broadcast(rows.sparkSession.createDataFrame(top, "kind int, h bigint"))
+    same = rows.withColumn("h", F.xxhash64("vector")).join(listed, ["kind", "h"]).groupBy("kind", "h").agg(F.min("vector").alias("a"), F.max("vector").alias("b"))
+    return [(r["kind"], r["h"]) for r in same.where("a = b").select("kind", "h").collect()]
+
+
 def nearest_neighbours(
     df: DataFrame,
     k: int = 10,
@@ -371,17 +390,38 @@ def nearest_neighbours(
     lengths: dict[str, int] = LENGTHS,
     shard_rows: int = SHARD_ROWS,
     leaf_rows: int = LEAF_ROWS,
+    many_copies: int = MANY_COPIES,
 ) -> DataFrame:
     """(id, neighbour, cosine): the k most similar other vectors of each, as far as above ``min_cos``."""
     spark = df.sparkSession
     rows = usable_vectors(df, lengths)
-    own = rows.groupBy("kind", "id").agg(F.min(F.xxhash64("vector")).alias("a"), F.max(F.xxhash64("vector")).alias("b"))
-    counted = own.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.col("a") != F.col("b")).alias("clashes")).collect()
-    counts = {r["kind"]: r["n"] for r in counted}
-    if not counts:
-        return spark.createDataFrame([], NEIGHBOURS)
-    if any(r["clashes"] for r in counted):  # different vectors of one id
+    h = F.xxhash64("vector")
+    clashes = rows.groupBy("kind", "id").agg(F.min(h).alias("a"), F.max(h).alias("b")).where("a <> b")
+    if not clashes.isEmpty():  # different vectors of one id
         rows = rows.groupBy("kind", "id").agg(F.min("vector").alias("vector")).select("id", "kind", "vector")
+    copied = much_copied(rows, max(many_copies, k + 1))
+    if not copied:
+        return _search_all(rows, k, min_cos, relax, shard_rows, leaf_rows).select("id", "neighbour", "cosine")
+    listed = F.broadcast(spark.createDataFrame(copied, "kind int, h bigint"))
+    marked = rows.withColumn("h", h)
+    ids = marked.select("kind", "h", "id").join(listed, ["kind", "h"]).distinct()
+    least = ids.withColumn("place", F.row_number().over(Window.partitionBy("kind", "h").orderBy("id"))).where(F.col("place") <= k + 1)
+    least = Workspace(spark, "vectors").save(least, "least")  # at most k + 1 for each vector listed
+    stay = F.broadcast(least.select("kind", "id"))
+    part = marked.join(listed, ["kind", "h"], "left_anti").select("id", "kind", "vector").unionByName(rows.join(stay, ["kind", "id"], "left_semi").select("id", "kind", "vector"))
+    found = Workspace(spark, "vectors").save(_search_all(part, k, min_cos, relax, shard_rows, leaf_rows), "found")
+    last = least.where(F.col("place") == k + 1).select("kind", "h", F.col("id").alias("last"))
+    answer = found.join(F.broadcast(last), (found["kind"] == last["kind"]) & (found["id"] == last["last"])).select(last["kind"], "h", "neighbour", "cosine")
+    others = ids.join(stay, ["kind", "id"], "left_anti").join(F.broadcast(answer), ["kind", "h"])
+    return found.select("id", "neighbour", "cosine").unionByName(others.select("id", "neighbour", "cosine"))
+
+
+def _search_all(rows: DataFrame, k: int, min_cos: float, relax: float, shard_rows: int, leaf_rows: int) -> DataFrame:
+    """(kind, id, neighbour, cosine) of usable vectors."""
+    spark = rows.sparkSession
+    counts = {r["kind"]: r["n"] for r in rows.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return spark.createDataFrame([], "kind int, " + NEIGHBOURS)
     layout = Layout(choose_pivots(rows, counts), min_cos, relax)
     plain = spark.sparkContext.broadcast(layout)
     sizes = rows.mapInArrow(_home_cells(plain), "kind int, cell int").groupBy("kind", "cell").count().collect()
@@ -394,7 +434,7 @@ def nearest_neighbours(
         .mapInArrow(_search(dealt, k, min_cos, relax, leaf_rows), "kind int, " + NEIGHBOURS)
     )
     best = Window.partitionBy("kind", "id").orderBy(F.desc("cosine"), "neighbour")
-    return found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select("id", "neighbour", "cosine")
+    return found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
 
 
 def neighbour_pairs(df: DataFrame, **how) -> DataFrame:
