@@ -98,6 +98,7 @@ def test_api(spark, tmp_path):
         run.view("q1", "c00000", "other")
     run.store(str(tmp_path / "run"))
     assert bytes(spark.read.parquet(str(tmp_path / "run" / "originals")).first()["data"]) == A
+    assert {d: spark.read.parquet(str(tmp_path / "run" / d)).count() for d in ("hits", "uniques", "prints", "verdicts", "cards")} == {"hits": 3, "uniques": 2, "prints": 2, "verdicts": 1, "cards": 1}
     assert api.list_thresholds(spark).count() == 8 and api.list_engines(spark).count() >= 2
 
 

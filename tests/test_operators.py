@@ -131,3 +131,25 @@ def test_ranks_of_a_hot_group(spark):
             n += x[3]
             want[x[2]] = (k + 1, n, sum(y[3] for y in own))
     assert got == want
+
+
+def test_pairs_to_compare(spark):
+    rows_ = [
+        ("q", "EXACT_1TO1", "a", None, "s1"), ("q", "EXACT_1TO1", "b", None, "s1"), ("q", "EXACT_1TO1", "c", None, "s2"), ("q", "EXACT_1TO1", "d", None, ""),
+        ("q", "CROP", "e", 0.30, "s3"), ("q", "CROP", "f", 0.34, "s4"), ("q", "CROP", "g", 0.60, "s5"), ("q", "CROP", "h", 0.60, "s5"),
+        ("q", "UNRELATED", "i", None, "s1"), ("r", "EXACT_1TO1", "j", None, "s1"), ("q", "NEAR_1TO1", "k", None, "s1"),
+    ]
+    df = spark.createDataFrame(rows_, "query_id string, label string, cid string, overlap double, sha256 string")
+    want = [("a", "b", True), ("a", "c", False), ("a", "d", False), ("c", "d", False), ("e", "f", False), ("g", "h", True)]
+    assert rows(merge.pairs_to_compare(df), "cid_a", "cid_b", "same_bytes") == want
+
+
+def test_exact_percentiles(spark):
+    from twinlens.operators.ranking import percentiles
+
+    r = random.Random(5)
+    data = [(g, r.choice([None, round(r.random() * 9, 2)])) for g in "ab" for _ in range(101)] + [("c", 1.0), ("d", None)]
+    df = spark.createDataFrame(data, "g string, v double")
+    got = percentiles(df, "g", "v", {"m": 0.5, "p": 0.95}, F.floor(F.col("v")))
+    want = df.where("v IS NOT NULL").groupBy("g").agg(F.median("v").alias("m"), F.percentile("v", 0.95).alias("p"))
+    assert [tuple(round(x, 9) if isinstance(x, float) else x for x in t) for t in rows(got, "g", "m", "p")] == [tuple(round(x, 9) if isinstance(x, float) else x for x in t) for t in rows(want, "g", "m", "p")]

@@ -51,9 +51,10 @@ class Run:
         return images.view(self.compare(query_id, cid, size), name)
 
     def store(self, path: str) -> None:
-        """Originals unchanged, and cards, as tables below a folder."""
-        self.originals.write.mode("errorifexists").parquet(f"{path}/originals")
-        self.report.cards.write.mode("errorifexists").parquet(f"{path}/cards")
+        """Originals unchanged, and every table of the run, below a folder."""
+        tables = {k: getattr(self.report, k) for k in ("hits", "uniques", "prints", "decisions", "verdicts", "cards")}
+        for name, table in {"originals": self.originals, **tables}.items():
+            table.write.mode("errorifexists").parquet(f"{path}/{name}")
 
 
 def search(spark: SparkSession, image: bytes, query_id: str = "q1", names: list[str] | None = None) -> Run:
