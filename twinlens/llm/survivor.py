@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 
 from twinlens.workspace import Workspace
 
+#: Rounds at most; fewer where nothing moves by more than SETTLED.
 ROUNDS = 10
+SETTLED = 1e-8
 #: Beta priors (true, false): sensitivity, false positives (1 - specificity), and truth.
 PRIOR_SENSITIVITY = (5.0, 5.0)
 PRIOR_FALSE_POSITIVE = (1.0, 19.0)
@@ -40,6 +42,7 @@ START = {"sensitivity": 0.6, "false_positive": 0.1, "truth": 0.5}
 MULTI_VALUED = ("page_url", "engine_label")
 MEMBER = "member"
 TRUE = 0.5
+_PRIOR = "\x00prior"
 
 
 class Quality:
@@ -50,20 +53,22 @@ class Quality:
         self.sensitivity: dict[tuple[str, str], float] = {}
         self.false_positive: dict[tuple[str, str], float] = {}
 
+    def all(self) -> list[float]:
+        return [*self.truth.values(), *self.sensitivity.values(), *self.false_positive.values()]
+
     def probability(self, field: Column, knows: Column, states: Column) -> Column:
         """Chance that a value stated by ``states`` of the sources ``knows`` is true."""
         out = F.lit(None).cast("double")
         for name, truth in self.truth.items():
-            said, silent = [], []
+            # all numbers in maps: as literals of their own they would make each round's generated code another one to compile
+            said, silent = [F.lit(_PRIOR), F.lit(log(truth / (1 - truth)))], [F.lit(_PRIOR), F.lit(0.0)]
             for (f, source), a in self.sensitivity.items():
                 if f == name:
                     b = self.false_positive[f, source]
                     said += [F.lit(source), F.lit(log(a / b))]
                     silent += [F.lit(source), F.lit(log((1 - a) / (1 - b)))]
-            odds = F.lit(log(truth / (1 - truth)))
-            if said:
-                yes, no = F.create_map(*said), F.create_map(*silent)
-                odds = odds + F.aggregate(knows, F.lit(0.0), lambda sum_, s: sum_ + F.coalesce(F.when(F.array_contains(states, s), yes[s]).otherwise(no[s]), F.lit(0.0)))
+            yes, no = F.create_map(*said), F.create_map(*silent)
+            odds = F.aggregate(knows, yes[_PRIOR], lambda sum_, s: sum_ + F.coalesce(F.when(F.array_contains(states, s), yes[s]).otherwise(no[s]), F.lit(0.0)))
             out = F.when(field == name, 1 / (1 + F.exp(-odds))).otherwise(out)
         return out
 
@@ -82,6 +87,7 @@ def fit_quality(patterns: DataFrame, rounds: int = ROUNDS) -> Quality:
         # null stands for the field as a whole
         each = scored.select("field", "n", "p", F.explode(F.concat("knows", F.array(F.lit(None).cast("string")))).alias("source"), "states")
         t, f, s = F.col("n") * F.col("p"), F.col("n") * (1 - F.col("p")), F.coalesce(F.array_contains("states", F.col("source")).cast("int"), F.lit(0))
+        before = q.all()
         sums = each.groupBy("field", "source").agg(F.sum(t * s).alias("ts"), F.sum(t).alias("t"), F.sum(f * s).alias("fs"), F.sum(f).alias("f"))
         for r in sums.collect():
             if r["source"] is None:
@@ -93,6 +99,8 @@ def fit_quality(patterns: DataFrame, rounds: int = ROUNDS) -> Quality:
             q.sensitivity[key] = (r["ts"] + a) / (r["t"] + a + b)
             a, b = PRIOR_FALSE_POSITIVE
             q.false_positive[key] = (r["fs"] + a) / (r["f"] + a + b)
+        if max(abs(x - y) for x, y in zip(before, q.all())) < SETTLED:
+            break
     return q
 
 
