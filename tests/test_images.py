@@ -174,7 +174,38 @@ def test_engines_that_take_an_upload(spark):
             connectors.page_search(b"img", lambda *a, answer=answer: answer, "u", "{token}", token=token)
     with pytest.raises(ValueError):
         connectors.answer_search(b"img", send, "https://e", None)
-    df = spark.createDataFrame([("a", "x /upload/abcdefghij0123456789xyz y", '{"uploadedImage":"n2"}'), ("b", "none", "{}")], "engine string, body string, j string")
-    assert rows(df.select(connectors.upload_id(F.col("body")).alias("i"), connectors.upload_name(F.col("j")).alias("n")).where("i IS NOT NULL")) == [("abcdefghij0123456789xyz", "n2")]
+    df = spark.createDataFrame([("a",), ("b",)], "engine string")
     hits = df.where("engine = 'a'").select("engine")
     assert rows(connectors.hits_or_failure(hits, df)) == [("b", "no results that can be read")]
+
+
+def test_runs_of_several_queries_at_once(spark):
+    from twinlens.kernels.jpeg import jpeg_encode
+    from twinlens.plans import pipeline
+
+    a = demo.scene(width=200, height=150, shapes=50)
+    jpeg = jpeg_encode(a, 92)
+    hits = []
+
+    def add(query, url, engine, page, data):
+        hits.append((query, len(hits) + 1, url, engine, "", page, "", bytearray(data)))
+
+    for k in range(3):  # the same bytes from three engines
+        add("bytes", f"https://h{k}.example/x.jpg", f"e{k}", f"https://p{k}.example", jpeg)
+    for k in range(5):  # one address five times
+        add("address", f"https://h.example/x.png?utm_source={k}", "e1", f"https://p{k}.example", png_encode(a))
+    for k in range(8):
+        add("others", f"https://h.example/{k}.png", "e1", "", png_encode(demo.unrelated(50 + k, 200, 150)))
+    add("broken", "https://h.example/b.jpg", "e1", "", jpeg[:50])
+    rows_ = spark.createDataFrame(hits, "query_id string, seq bigint, url string, engine string, engine_label string, page_url string, title string, data binary")
+    originals = spark.createDataFrame([(q, bytearray(png_encode(a))) for q in ("bytes", "address", "others", "broken")], "query_id string, data binary")
+    r = pipeline.run(originals, rows_)
+    n = {x["query_id"]: x for x in r.counts().collect()}
+    cards = {}
+    for c in r.cards.collect():
+        cards.setdefault(c["query_id"], []).append(c)
+    (same,), (once,) = cards["bytes"], cards["address"]
+    assert same["label"] == "EXACT_1TO1" and len(same["engines"]) == 3 and len(same["pages"]) == 3
+    assert once["confidence"] == 100.0 and len(once["pages"]) == 5 and n["address"]["unique_urls"] == 1
+    assert n["others"]["one_to_one"] == 0 and n["others"]["verified"] == 0 and n["others"]["raw_results"] == 8
+    assert n["broken"]["failed_downloads"] == 1 and "broken" not in cards

@@ -68,16 +68,6 @@ def hits_from_page(df: DataFrame, drop: list[str], suffixes: str = "jpg|jpeg|png
     return _hits(t, F.col("url"), F.lit(label), none.cast("string"), none.cast("string"), none, none, none)
 
 
-def upload_id(body: Column) -> Column:
-    """The id by which a page names an uploaded image, null without one."""
-    return F.nullif(F.regexp_extract(body, r"/upload/([A-Za-z0-9_\-]{20,})", 1), F.lit(""))
-
-
-def upload_name(body: Column) -> Column:
-    """The name under which a JSON answer to an upload gives the image, null without one."""
-    return F.nullif(F.coalesce(F.get_json_object(body, "$['uploaded-image']"), F.get_json_object(body, "$.uploadedImage")), F.lit(""))
-
-
 #: Sends one request, given a step's name, an address and the bytes to upload or None, and returns the answer's text.
 Send = Callable[[str, str, bytes | None], str]
 
