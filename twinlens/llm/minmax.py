@@ -58,7 +58,8 @@ def readable(c: Column) -> Column:
     separators, quotes, letter case, leading zeros and a leading 0x are set aside."""
     text = F.regexp_replace(F.lower(c), r"""[\s\p{Z}\p{Cc}\p{Cf}:_\-'"]+""", "")
     digits = F.regexp_extract(text, r"^(?:0x)?0*([0-9a-f]{1,16})$", 1)
-    return F.when(digits != "", F.conv(digits, 16, -10).cast("bigint"))
+    # most are plain already
+    return F.when(c.rlike("^[0-9a-fA-F]{1,16}$"), F.conv(c, 16, -10).cast("bigint")).otherwise(F.when(digits != "", F.conv(digits, 16, -10).cast("bigint")))
 
 
 def distance(a: str, b: str) -> Column:
