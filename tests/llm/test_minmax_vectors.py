@@ -176,6 +176,8 @@ def test_many_equal_vectors_and_several_vectors_of_one_id(spark):
     few = rows(V.neighbour_pairs(df, shard_rows=40, relax=1.0, leaf_rows=8, many_copies=20))
     assert few == got
     assert rows(V.nearest_neighbours(df, relax=1.0, many_copies=20)) == rows(V.nearest_neighbours(df, relax=1.0))
+    again = df.unionAll(spark.range(300).join(df.where("vec_id = 130")).select(df.columns))
+    assert rows(V.neighbour_pairs(again, shard_rows=40, relax=1.0, leaf_rows=8, many_copies=100)) == got
     # another, greater vector of id 5 changes nothing; the same row again neither
     again = spark.createDataFrame([(5, "classical-descriptor", [9.0] * 368, 0, "z")], DESC)
     assert rows(V.neighbour_pairs(df.unionAll(again).unionAll(df.where("vec_id < 50")), shard_rows=40, relax=1.0)) == got

@@ -360,7 +360,7 @@ def choose_pivots(rows: DataFrame, counts: dict[int, int]) -> dict[int, np.ndarr
         m = min(n, MAX_PIVOTS, 2 * ceil(sqrt(n)))
         mark = F.xxhash64("id", F.lit(17))
         some = rows.where((F.col("kind") == kind) & (F.pmod(mark, F.lit(n)) <= 2 * m)).select(mark.alias("h"), "id", "vector")
-        got = some.orderBy("h", "id", "vector").limit(m).select("vector").collect() or rows.where(F.col("kind") == kind).select("vector").limit(1).collect()
+        got = some.dropDuplicates(["h", "id"]).orderBy("h", "id").limit(m).select("vector").collect() or rows.where(F.col("kind") == kind).select("vector").limit(1).collect()
         out[kind] = _unit(np.unique(np.array([r["vector"] for r in got], dtype=np.float32), axis=0)).astype(np.float32)
     return out
 
@@ -408,7 +408,9 @@ def nearest_neighbours(
     least = ids.withColumn("place", F.row_number().over(Window.partitionBy("kind", "h").orderBy("id"))).where(F.col("place") <= k + 1)
     least = Workspace(spark, "vectors").save(least, "least")  # at most k + 1 for each vector listed
     stay = F.broadcast(least.select("kind", "id"))
-    part = marked.join(listed, ["kind", "h"], "left_anti").select("id", "kind", "vector").unionByName(rows.join(stay, ["kind", "id"], "left_semi").select("id", "kind", "vector"))
+    part = marked.join(listed, ["kind", "h"], "left_anti").select("id", "kind", "vector").unionByName(
+        rows.join(stay, ["kind", "id"], "left_semi").dropDuplicates(["kind", "id"]).select("id", "kind", "vector")  # of one id all are equal
+    )
     found = Workspace(spark, "vectors").save(_search_all(part, k, min_cos, relax, shard_rows, leaf_rows), "found")
     last = least.where(F.col("place") == k + 1).select("kind", "h", F.col("id").alias("last"))
     answer = found.join(F.broadcast(last), (found["kind"] == last["kind"]) & (found["id"] == last["last"])).select(last["kind"], "h", "neighbour", "cosine")
