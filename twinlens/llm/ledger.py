@@ -63,9 +63,10 @@ class CopyLedger:
         return F.pmod(F.xxhash64(c), F.lit(self.buckets)).cast("int")
 
     def _write(self, df: DataFrame, name: str) -> dict[int, str]:
-        """Write a table partitioned by its ``bucket``; the folders by bucket."""
+        """Write a table partitioned by its ``bucket``; the folders by bucket. A bucket is one file while it is small and
+        several, of several tasks, when it is large."""
         path = self.ws.path(name)
-        self.ws.write(df.write.partitionBy("bucket"), path)
+        self.ws.write(df.hint("rebalance", "bucket").write.partitionBy("bucket"), path)
         return {int(f.rsplit("=", 1)[1]): f for f in self.ws.folders(path) if "bucket=" in f}
 
     def _read(self, paths: list[str], schema: str) -> DataFrame:
@@ -84,19 +85,16 @@ class CopyLedger:
         rows = (
             batch.select(seq.cast("bigint").alias("seq"), key.alias("key"))
             .where(F.col("seq").isNotNull())
-            .withColumn("bucket", self._bucket("seq"))
-            .repartition("bucket")
-            .groupBy("bucket", "seq")
+            .groupBy("seq")
             .agg(F.min("key").alias("key"))
             .where(F.col("key").isNotNull())  # above the aggregate: below, it would copy the key's expression
         )
-        new = self._write(rows, "batch")
+        new = self._write(rows.withColumn("bucket", self._bucket("seq")), "batch")
         before = [f for b in new for f in self._members.get(b, [])]
         if before:
-            got = self._read(list(new.values()), MEMBERS).withColumn("bucket", self._bucket("seq"))
-            seen = self._read(before, MEMBERS).select("seq").withColumn("bucket", self._bucket("seq"))
             batch_folders = list(new.values())
-            new = self._write(got.repartition("bucket").join(seen.repartition("bucket").hint("merge"), ["bucket", "seq"], "left_anti"), "new")
+            fresh = self._read(batch_folders, MEMBERS).join(self._read(before, MEMBERS).select("seq").hint("merge"), "seq", "left_anti")
+            new = self._write(fresh.withColumn("bucket", self._bucket("seq")), "new")
             self.ws.drop_paths(batch_folders)
         for b, folder in new.items():
             self._members.setdefault(b, []).append(folder)
@@ -109,7 +107,7 @@ class CopyLedger:
             (F.coalesce("a.copies", F.lit(0)) + F.coalesce("b.copies", F.lit(0))).alias("copies"),
             F.least("a.first_seq", "b.first_seq").alias("first_seq"),
         )
-        written = self._write(merged.withColumn("bucket", self._bucket("key")).repartition("bucket"), "ledger")
+        written = self._write(merged.withColumn("bucket", self._bucket("key")), "ledger")
         self.ws.drop_paths([self._ledger[k] for k in written if k in self._ledger])
         self._ledger |= written
         return self
