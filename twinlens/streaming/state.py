@@ -36,7 +36,7 @@ class BucketTable:
         met = [r[0] for r in new.select(self._bucket()).distinct().collect()]
         rows = merge(self._read([self.folders[b] for b in met if b in self.folders]), new)
         path = self.ws.path("table")
-        self.ws.write(rows.withColumn("bucket", self._bucket()).repartition("bucket").write.partitionBy("bucket"), path)
+        self.ws.write(rows.withColumn("bucket", self._bucket()).hint("rebalance", "bucket").write.partitionBy("bucket"), path)
         written = {int(f.rsplit("=", 1)[1]): f for f in self.ws.folders(path) if "bucket=" in f}
         self.ws.drop_paths([self.folders[b] for b in written if b in self.folders])
         self.ws.drop(new)
